@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, warc
+from . import decontam, langid, licences, ngram_join, packing, quality, secret_scan, sharding, substring, warc
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_language_id": langid.op2_language_id,
+        "op3_suffix_automata": substring.op3_suffix_automata,
         "op4_hypergeometric_shards": sharding.op4_hypergeometric_shards,
+        "op5_signature_tree_join": ngram_join.op5_signature_tree_join,
+        "op6_secret_ownership": secret_scan.op6_secret_ownership,
         "op7_warc": warc.op7_warc,
+        "op8_licence_rules": licences.op8_licence_rules,
+        "op9_fm_index": decontam.op9_fm_index,
         "op10_compression_bands": quality.op10_compression_bands,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.OP7_SQL}
+    return {"op7_warc": warc.OP7_SQL, "op8_licence_rules": licences.OP8_SQL}

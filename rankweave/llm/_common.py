@@ -14,6 +14,7 @@ BATCH_BYTES = 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def configure(spark: SparkSession) -> None:
@@ -55,8 +56,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     with _shuffles_removed_after(spark):
         df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession, still_read: DataFrame) -> None:
+    """Delete the intermediate tables written so far, except those that ``still_read`` reads.
+
+    For drivers that write each result before they ask for the next, as the pipeline's
+    do; anything else may still need its tables.
+    """
+    needed = still_read.inputFiles()
+    for path in list(_written):
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in needed):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _written.remove(path)

@@ -140,26 +140,27 @@ PREDICTED = "lang_pred string, score double, ambiguous boolean"
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, width: int) -> Iterator[pa.RecordBatch]:
+    """Columns kept, then the text, then whether it has a letter."""
     for batch in batches:
         texts, letters = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
         got = [model.decode(t) if ok else (UND, 0.0, True) for t, ok in zip(texts, letters, strict=True)]
         cols = list(zip(*got, strict=True)) or [(), (), ()]
         kinds = (pa.string(), pa.float64(), pa.bool_())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:width], *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))],
-            names=[*batch.schema.names[:width], "lang_pred", "score", "ambiguous"],
+            [*batch.columns[: width + 1], *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))],
+            names=[*batch.schema.names[: width + 1], "lang_pred", "score", "ambiguous"],
         )
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` plus lang_pred, score, ambiguous.
+    """Columns ``keep`` of ``docs``, its text as ``__text``, lang_pred, score, ambiguous.
 
     Null text and text without a letter are ``und`` with score 0. Only the text is an
     input. Repeated rows get equal predictions.
     """
-    rows = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(partial(_predict, model=model, width=len(keep)), f"{schema}, {PREDICTED}")
+    rows = docs.select(*keep, docs["text"].alias("__text"), F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__letter").schema)
+    return rows.mapInArrow(partial(_predict, model=model, width=len(keep)), f"{kept}, {PREDICTED}")
 
 
 def held_out(doc_id="doc_id"):
@@ -171,4 +172,4 @@ def op2_language_id(spark, sf_dir):
     configure(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
-    return predict(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
+    return predict(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"]).drop("__text")

@@ -62,8 +62,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterato
             key.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             prefix.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(key, type=pa.binary()), pa.array(prefix, type=pa.list_(pa.int64()))],
-            names=["doc_id", "n", "key", "prefix"],
+            [batch.column("doc_id"), batch.column("th"), pa.array(n, type=pa.int64()), pa.array(key, type=pa.binary()), pa.array(prefix, type=pa.list_(pa.int64()))],
+            names=["doc_id", "th", "n", "key", "prefix"],
         )
 
 
@@ -219,7 +219,8 @@ def _layout(members: DataFrame, percent: int, cell_sets: int) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: int = CELL_SETS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text), with the
+    hash th of its text and the number root of its component (null for an empty set).
 
     Null and empty texts have empty sets, which link with nothing. Repeated rows and
     equal texts share a component; rows of one doc_id with different texts are linked
@@ -227,7 +228,8 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: i
     Further columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(own.mapInArrow(partial(_sets, size=size, percent=percent), "doc_id long, n long, key binary, prefix array<long>"), "join-sets")
+    hashed = own.withColumn("th", F.xxhash64("text"))
+    rows = stage(hashed.mapInArrow(partial(_sets, size=size, percent=percent), "doc_id long, th long, n long, key binary, prefix array<long>"), "join-sets")
     nodes = stage(
         rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
         .withColumn("nid", F.monotonically_increasing_id()),
@@ -246,12 +248,31 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: i
     roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_key = named.join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "n", "key").join(by_key, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_key = named.join(least, "root").select("key", "root", "component_id")
+    out = rows.select("doc_id", "th", "n", "key").join(by_key, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "th", "root")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of one row of each group of near-duplicates, and of rows without words.
+
+    The row with the group's least doc_id stays; where several rows have it, one of them.
+    """
+    groups = similarity_components(docs, size, percent).where("n_shingles > 0")
+    winners = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("th").alias("th"))
+    no_id = F.lit(-(1 << 63))
+    keys = winners.select(F.coalesce("doc_id", no_id).alias("__id"), F.col("th").alias("__th")).distinct()
+    worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("__row"), worded.alias("__worded"),
+        F.coalesce(docs["doc_id"].cast("long"), no_id).alias("__id"), F.xxhash64(docs["text"]).alias("__th"),
+    )
+    kept = rows.where("__worded").join(keys, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+    return kept.select("__row.*").unionByName(rows.where("not __worded").select("__row.*"))
 
 
 def op5_signature_tree_join(spark, sf_dir):
     """Components of all documents under 4-word shingles and similarity 0.85."""
     configure(spark)
-    return similarity_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return similarity_components(table(spark, sf_dir, "documents"), size=4, percent=85).drop("th", "root")

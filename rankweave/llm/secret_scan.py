@@ -99,15 +99,32 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
             F.count_if((F.col("s.rank") < 3) & ~wide).alias("n_owner_specific"),
         )
     )
+    zero = F.lit(0).cast("long")
     none = F.array().cast(found.schema["__base"].dataType)
-    out = found.join(weighed, "__rid", "left")
-    return out.select(
-        *keep, *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.col("__base").alias("base"),
-        F.concat("__base", F.coalesce("__owned", none)).alias("all_spans"),
-        F.coalesce("n_widely_copied", F.lit(0)).alias("n_widely_copied"), F.coalesce("n_owner_specific", F.lit(0)).alias("n_owner_specific"),
+    plain = F.size("__base") + F.size("__live") == 0
+    columns = lambda owned, wide, specific: [
+        *[F.col(c) for c in keep], *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.col("__base").alias("base"),
+        F.concat("__base", owned).alias("all_spans"), wide.alias("n_widely_copied"), specific.alias("n_owner_specific"),
+    ]
+    some = found.where(~plain).join(weighed, "__rid")
+    return found.where(plain).select(*columns(none, zero, zero)).unionByName(
+        some.select(*columns(F.col("__owned"), F.col("n_widely_copied"), F.col("n_owner_specific")))
     )
 
 
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with every run of overlapping spans replaced by ``mark``; null stays null."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, end)).otherwise(text)
+
+
 def op6_secret_ownership(spark, sf_dir):
     configure(spark)
     got = scan(table(spark, sf_dir, "documents"))

@@ -57,13 +57,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     with _shuffles_removed_after(spark):
         df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete intermediate tables that nothing still to run reads."""
+    for df in staged:
+        _delete(df.sparkSession, df.staged_at)
+
+
 def release(spark: SparkSession, still_read: DataFrame) -> None:
     """Delete the intermediate tables written so far, except those that ``still_read`` reads.
 
@@ -74,6 +88,4 @@ def release(spark: SparkSession, still_read: DataFrame) -> None:
     for path in list(_written):
         name = path.rsplit("/", 1)[1]
         if not any(f"/{name}/" in f for f in needed):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _written.remove(path)
+            _delete(spark, path)

@@ -3,9 +3,12 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are joined
 by their digest first; one row per distinct set goes on.
 
-Routing is exact: two sets of Jaccard similarity ``t`` or more share a shingle among
-the ``n - ceil(t n) + 1`` least of each (prefix filter). Sets that share such a shingle
-meet in the block of the least set that has it. Blocks above ``CELL_SETS`` sets are cut
+Routing is exact: two sets of Jaccard similarity ``t`` or more share ``l`` shingles among
+the ``n - ceil(t n) + l`` least of each (prefix filter). Sets that share such a shingle
+meet in the block of the least set that has it. A set that shares but few shingles with
+a block, as long texts do by chance, may leave it as long as it gives up no more than
+``SLACK`` of its shingles in all; ``l`` is so large that two similar sets still meet in
+some block. Blocks above ``CELL_SETS`` sets are cut
 into size bands (a pair's sizes differ by the factor ``t`` at most, so neighbours
 overlap by one band) and, where a band is still too large, into a grid of cells that
 together hold every pair of it. No set is left out.
@@ -27,15 +30,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import configure, stage, table
+from ._common import configure, discard, stage, table
 from ._graph import components
 from ._words import ASCII_LOWER, window_hashes, word_hashes
 
 CELL_SETS = 1000
 FAN_OUT = 4
+#: Percent of its shingles that a set may give up by leaving blocks.
+SLACK = 3
 #: Memory of the bitmaps of one chunk of node pairs.
 CHUNK_BYTES = 8 << 20
 
@@ -49,8 +54,13 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """n - ceil(t n) + 1, in whole numbers."""
-    return n - -(-percent * n // 100) + 1
+    """n - ceil(t n) + l with l = 1 + 2 ceil(SLACK n), n at most.
+
+    The least l common shingles of two similar sets are in both prefixes. Of these the
+    larger set gives up SLACK t n, the smaller no more than its own share, together
+    less than the smaller set's l; so one is left that both have kept.
+    """
+    return min(n, n - -(-percent * n // 100) + 1 + 2 * -(-SLACK * n // 100))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -209,7 +219,7 @@ def _layout(members: DataFrame, percent: int, cell_sets: int) -> DataFrame:
     """members (hub, nid, n) -> (hub, band, i, j, sub, nid): the cells that hold each set."""
     width = math.log(100 / percent) * (1 + 1e-7)  # a little wide, so that rounding can't part a pair by two bands
     band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    sizes = members.groupBy("hub").agg(F.count("*").alias("m"))
+    sizes = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1")
     cut = members.join(sizes, "hub").withColumn("band", F.explode(F.when(F.col("m") > cell_sets, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))))
     bands = cut.groupBy("hub", "band").agg(F.count("*").alias("k"))
     grid = F.ceil(F.col("k") / cell_sets).cast("int")
@@ -228,24 +238,34 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: i
     Further columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashed = own.withColumn("th", F.xxhash64("text"))
-    rows = stage(hashed.mapInArrow(partial(_sets, size=size, percent=percent), "doc_id long, th long, n long, key binary, prefix array<long>"), "join-sets")
+    sets = stage(own.withColumn("th", F.xxhash64("text")).mapInArrow(
+        partial(_sets, size=size, percent=percent), "doc_id long, th long, n long, key binary, prefix array<long>"), "join-sets")
     nodes = stage(
-        rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+        sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .withColumn("nid", F.monotonically_increasing_id()),
         "join-nodes",
     )
-    at_least = rows.where("key is not null").join(nodes.select("key", "nid", F.col("doc_id").alias("least")), "key").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    tokens = at_least.select("nid", "n", F.explode("prefix").alias("token")).distinct()
-    shared = tokens.groupBy("token").agg(F.min("nid").alias("hub"), F.max("nid").alias("other")).where("hub < other").select("token", "hub")
-    members = stage(tokens.join(shared, "token").select("hub", "nid", "n").distinct(), "join-members")
-    wanted = members.select("nid").distinct().join(nodes, "nid").select("nid", "key", "doc_id")
-    texts = own.where("text is not null").withColumnRenamed("doc_id", "__id").join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")))
-    packed = stage(texts.select("nid", "key", "text").mapInArrow(partial(_fetch, size=size), "nid long, packed binary"), "join-packed").dropDuplicates(["nid"])
-    cells = _layout(members, percent, cell_sets).join(packed, "nid")
-    dealt = cells.repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j")
+    rows = stage(sets.drop("prefix"), "join-rows")
+    discard(sets)
+    tokens = nodes.select("nid", "n", F.explode("prefix").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.min("nid").alias("hub"), F.max("nid").alias("other")).where("hub < other").select("token", "hub"), "join-shared")
+    least = Window.partitionBy("nid").orderBy("c", "hub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = stage(
+        tokens.join(shared, "token").groupBy("nid", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        .withColumn("given_up", F.sum("c").over(least))
+        .where(F.col("given_up") * 10_000 > F.col("n") * (SLACK * percent)).select("hub", "nid", "n"),
+        "join-members",
+    )
+    discard(shared)
+    cells = stage(_layout(members, percent, cell_sets), "join-cells")
+    discard(members)
+    wanted = cells.select("nid").distinct().join(nodes, "nid").select("nid", "key", F.col("doc_id").alias("__id"))
+    texts = own.where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("nid", "key", "text")
+    packed = stage(texts.mapInArrow(partial(_fetch, size=size), "nid long, packed binary"), "join-packed")
+    dealt = cells.join(packed, "nid").repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j")
     links = dealt.select("hub", "band", "i", "j", "sub", "nid", "packed").mapInArrow(partial(_cells, percent=percent), "a long, b long")
     roots = components(links)
+    discard(cells, packed)
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = named.join(least, "root").select("key", "root", "component_id")
@@ -276,3 +296,19 @@ def op5_signature_tree_join(spark, sf_dir):
     """Components of all documents under 4-word shingles and similarity 0.85."""
     configure(spark)
     return similarity_components(table(spark, sf_dir, "documents"), size=4, percent=85).drop("th", "root")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, k FROM (
+  SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT e.y, reach.r FROM reach JOIN edges e ON e.x = reach.doc_id)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM w JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY w.doc_id
+"""

@@ -119,7 +119,7 @@ def number_text(c: Column | str) -> Column:
     """Integers without decimals, others rounded to four."""
     x = _col(c)
     short = F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
-    return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(short)
+    return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).when(x.isNotNull(), short)
 
 
 def edition_text(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import acronym_of_name, and_variant, compact, issn_key, loose_name, nfkc, optional_set, ordered_set, venue_name
-from ..schema import DEFAULT_SCHOOL, SCHOOL, STRINGS, VENUE
+from ..schema import DEFAULT_SCHOOL, LABEL, SCHOOL, STRINGS, VENUE
 from .matching import VenueIndex, cross_type, signature
 
 # Fixed values of the derived rule and of the controlled spelling.
@@ -30,16 +30,21 @@ def _list(c: str | Column) -> Column:
 def label_set(labels: Column) -> Column:
     """Labels distinct by kind and folded text, the first of each; null if none."""
     keyed = F.transform(labels, lambda x: F.struct(F.concat(x["kind"], F.lit("\u0000"), F.lower(nfkc(x["text"]))).alias("k"), x.alias("v")))
-    seen = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
-    out = F.transform(seen, lambda k: F.get(F.filter(keyed, lambda x: x["k"] == k), F.lit(0))["v"])
+    start = F.array().cast(f"array<struct<k:string,v:{LABEL.simpleString()}>>")
+    put = lambda acc, x: F.when(F.exists(acc, lambda a: a["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x)))
+    out = F.aggregate(keyed, start, put, lambda acc: F.transform(acc, lambda a: a["v"]))
     return F.when(F.size(out) > 0, out)
 
 
 def merge_schools(schools: Column) -> Column:
     """Of each catalog the last entry, at the place of its first."""
-    named = F.transform(schools, lambda s: F.struct(F.coalesce(s["catalog"], F.lit(DEFAULT_SCHOOL)).alias("c"), s.alias("s")))
-    order = F.array_distinct(F.transform(named, lambda x: x["c"]))
-    return F.transform(order, lambda c: F.try_element_at(F.filter(named, lambda x: x["c"] == c), F.lit(-1))["s"])
+    name = lambda s: F.coalesce(s["catalog"], F.lit(DEFAULT_SCHOOL))
+
+    def put(acc: Column, s: Column) -> Column:
+        swapped = F.transform(acc, lambda a: F.when(name(a) == name(s), s).otherwise(a))
+        return F.when(F.exists(acc, lambda a: name(a) == name(s)), swapped).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(schools, F.array().cast(VENUE["schools"].dataType), put)
 
 
 def venue_schools(school: Column | str = "school", schools: Column | str = "schools") -> Column:
@@ -265,11 +270,13 @@ def merge_management(source: DataFrame, target: DataFrame, known: Iterable[tuple
         **{c: keep(c) for c in ("dblp_key", "ccf", "cas", "impact_factor", "school")}, "labels": label_set(F.concat(labels("labels"), labels("s_labels"))),
     }
     base = j.select(*[F.when(has, folded[c]).otherwise(F.col(c)).alias(c) if c in folded else F.col(c) for c in VENUE.names])
-    rows = source.join(told.select("pos", "venue_id", "outcome"), "pos")
+    named = F.array(F.struct(venue_name("canonical_name").alias("k"), F.col("canonical_name").alias("n")))
+    others = F.transform(_list("aliases"), lambda a: F.struct(F.lit(None).cast("string").alias("k"), a.alias("n")))
+    rows = source.join(told.select("pos", "venue_id", "outcome"), "pos").withColumn("__names", F.concat(named, others))
     is_management = lambda x: (x["kind"] == "cast-tier") & x["text"].rlike(MANAGEMENT)
     at = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("v")))), lambda x: x["v"]))
     gained = rows.where("venue_id is not null").groupBy(F.col("venue_id").alias("id")).agg(
-        at(F.concat(F.array(F.struct(venue_name("canonical_name").alias("k"), F.col("canonical_name").alias("n"))), F.transform(_list("aliases"), lambda a: F.struct(F.lit(None).cast("string").alias("k"), a.alias("n"))))).alias("u_names"),
+        at(F.col("__names")).alias("u_names"),
         at(F.when(F.col("outcome") == "drop-issn", F.array().cast(STRINGS)).otherwise(_list("issn"))).alias("u_issn"),
         F.max_by(F.slice(F.filter(labels("labels"), is_management), 1, 1), "pos").alias("u_label"))
     k = base.join(gained, "id", "left")

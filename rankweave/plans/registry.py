@@ -307,7 +307,8 @@ x AS (SELECT o_custkey, c, min(o_orderkey) AS f, arg_max(o_orderpriority, o_orde
 SELECT o_custkey, string_agg(c || '=' || r, ';' ORDER BY f) AS schools FROM x GROUP BY o_custkey""")
 def school_upsert(spark, sf_dir):
     """A7."""
-    s = F.struct(F.nullif("o_orderstatus", F.lit("P")).alias("catalog"), F.col("o_orderpriority").alias("rank"))
+    none = F.lit(None).cast("string")
+    s = F.struct(F.nullif("o_orderstatus", F.lit("P")).alias("catalog"), F.col("o_orderpriority").alias("rank"), none.alias("edition"), none.alias("source_url"))
     per = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", s.alias("s")))).alias("l"))
     merged = merging.merge_schools(F.transform("l", lambda x: x["s"]))
     shown = F.transform(merged, lambda x: F.concat(F.coalesce(x["catalog"], F.lit(DEFAULT_SCHOOL)), F.lit("="), x["rank"]))

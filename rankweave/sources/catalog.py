@@ -214,14 +214,18 @@ def _number(x: Column) -> Column:
 
 def venues_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(venues, errors): nested rows, and row_no, error of rows that fail, by the first failing check."""
-    name, kind = read_string("name"), F.lower(read_string("type"))
+    kind = F.lower(read_string("type"))
     typed = F.when(kind.isNull() | kind.isin("journal", "期刊"), "journal").when(kind.isin("conference", "会议"), "conference")
-    ccf, cas = F.upper(read_string("ccfRank")), F.nullif(F.regexp_replace(read_string("casQuartile"), "区$", ""), F.lit(""))
-    factor, year, school = read_string("impactFactor"), read_string("impactFactorYear"), read_string("schoolRank")
-    url, null = read_string("sourceUrl"), F.lit(None).cast("string")
+    null = F.lit(None).cast("string")
+    rows = rows.withColumns({
+        "__name": read_string("name"), "__type": typed, "__ccf": F.upper(read_string("ccfRank")), "__factor": read_string("impactFactor"),
+        "__cas": F.nullif(F.regexp_replace(read_string("casQuartile"), "区$", ""), F.lit("")), "__year": read_string("impactFactorYear"), "__url": read_string("sourceUrl"),
+    }).withColumn("__value", _number(F.col("__factor")))
+    ccf, cas, factor, year, url, value = (F.col(c) for c in ("__ccf", "__cas", "__factor", "__year", "__url", "__value"))
+    school = read_string("schoolRank")
     ranking = lambda rank, edition, catalog: F.when(rank.isNotNull(), F.struct(
         rank.alias("rank"), read_string(edition).alias("edition"), url.alias("source_url"), catalog.alias("catalog")))
-    keyed = rows.withColumn("__name", name).withColumn("__key", venue_name("__name")).withColumn("__type", typed)
+    keyed = rows.withColumn("__key", venue_name("__name"))
     own = Window.partitionBy("__type", "__key").orderBy("row_no")
     keyed = keyed.withColumn("__first", F.when(F.col("__type").isNotNull() & F.col("__name").isNotNull(), F.first("row_no").over(own)))
     line = lambda *x: F.concat(F.lit("第 "), F.col("row_no").cast("string"), *[F.lit(v) if isinstance(v, str) else v for v in x])
@@ -231,7 +235,7 @@ def venues_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("__first") < F.col("row_no"), line(" 行与第 ", F.col("__first").cast("string"), " 行的同类型名称重复：", F.col("__name"))),
         F.when(~ccf.isin("A", "B", "C"), line(" 行 CCF 级别只能是 A、B 或 C。")),
         F.when(~cas.isin("1", "2", "3", "4"), line(" 行中科院分区只能是 1区、2区、3区或4区。")),
-        F.when(factor.isNotNull() & (_number(factor).isNull() | (_number(factor) < 0)), line(" 行影响因子必须是大于等于 0 的数字。")),
+        F.when(factor.isNotNull() & (value.isNull() | (value < 0)), line(" 行影响因子必须是大于等于 0 的数字。")),
         F.when(factor.isNotNull() & (year.isNull() | ~year.rlike(r"^\d{4}$")), line(" 行填写影响因子时必须同时填写四位年份。")),
         F.col("schools_error"),
     )
@@ -241,7 +245,7 @@ def venues_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.filter(split_list("aliases"), lambda a: venue_name(a) != F.col("__key")).cast(STRINGS).alias("aliases"),
         optional("acronyms").alias("acronyms"), optional("issn").alias("issn"), null.alias("dblp_key"),
         ranking(ccf, "ccfEdition", F.lit("CCF")).alias("ccf"), ranking(cas, "casEdition", F.lit("中科院分区")).alias("cas"),
-        F.when(factor.isNotNull(), F.struct(_number(factor).alias("value"), year.alias("year"), url.alias("source_url"),
+        F.when(factor.isNotNull(), F.struct(value.alias("value"), year.alias("year"), url.alias("source_url"),
                                             read_string("impactFactorSource").alias("source_label"))).alias("impact_factor"),
         ranking(school, "schoolEdition", F.coalesce(read_string("schoolName"), F.lit(DEFAULT_SCHOOL))).alias("school"),
         "schools", _labels().alias("labels"), (F.col("row_no") - 2).alias("pos"),

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import configure, stage, table
+from ._common import configure, discard, stage, table
 from ._words import runs, window_hashes, word_hashes
 
 WINDOW = 13
 ANCHOR = 5
 HOT = 300
+#: A run of windows with one anchor is first window * _RUN + windows, in one number.
+_RUN = 64
 
 
 def _raw(text: str | None) -> bytes:
@@ -66,8 +68,8 @@ def _emit(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterat
         key, first, n = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, dtype=np.int64) for k in range(3))
         yield pa.RecordBatch.from_arrays(
             [pa.array(key, type=pa.int64()), pa.array(np.repeat(np.array(ids, dtype=np.int64), count)), pa.array(np.repeat(np.array(th, dtype=np.int64), count)),
-             pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-            names=["key", "doc_id", "th", "first", "n"],
+             pa.array(first * _RUN + n)],
+            names=["key", "doc_id", "th", "place"],
         )
 
 
@@ -83,7 +85,7 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             words, hashes = raw.split(), None
             by_hub: dict[int, np.ndarray] = {}
             for p in places:
-                hub, first, n = p["hub"], p["first"], p["n"]
+                hub, (first, n) = p["hub"], divmod(p["place"], _RUN)
                 if hub is None:
                     if hashes is None:
                         hashes = window_hashes(word_hashes(raw), window).view(np.int64)
@@ -207,13 +209,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot
     Rows of one doc_id, repeated or not, are no reference for each other. Further
     columns are ignored.
     """
+    if not anchor <= window < anchor + _RUN - 1:
+        raise ValueError("the anchor must fit into the window, and their difference into a place")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     rows = stage(own.where("doc_id is not null and text is not null").mapInArrow(
-        partial(_emit, window=window, anchor=anchor), "key long, doc_id long, th long, first int, n int"), "substring-anchors")
+        partial(_emit, window=window, anchor=anchor), "key long, doc_id long, th long, place long"), "substring-anchors")
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), F.count("*").alias("m")).where("hub < other")
-    shared = shared.select("key", F.when(F.col("m") <= hot, F.col("hub")).alias("hub"))
-    places = rows.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hub", "first", "n")).alias("places"))
+    shared = stage(shared.select("key", F.when(F.col("m") <= hot, F.col("hub")).alias("hub")), "substring-shared")
+    places = stage(rows.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hub", "place")).alias("places")), "substring-places")
+    discard(rows, shared)
     found = stage(own.join(places, ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(partial(_passages, window=window), PASSAGES), "substring-passages")
+    discard(places)
     streamed = (
         found.where("hub is not null").select("hub", "doc_id", "th", "first", "words")
         .repartition("hub").sortWithinPartitions("hub", "doc_id", "first")
@@ -222,7 +228,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot
     windows = found.where("whash is not null").select("whash", "doc_id", "th", "first")
     least = windows.groupBy("whash").agg(F.min("doc_id").alias("least"))
     hot_spans = windows.join(least, "whash").where("least < doc_id").select("doc_id", "th", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    spans = streamed.unionByName(hot_spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = stage(streamed.unionByName(hot_spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "substring-spans")
+    discard(found)
     kept = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return kept.mapInArrow(partial(_remove, keep_text=keep_text), schema)
@@ -231,3 +238,16 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot
 def op3_suffix_automata(spark, sf_dir):
     configure(spark)
     return deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+least AS (SELECT k, min(doc_id) AS first_id FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN least USING (k) WHERE first_id < doc_id),
+lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(g), 0) AS r,
+  CASE WHEN g IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda p: NOT list_contains(g, p[2])), lambda p: p[1]) END AS ks
+  FROM w LEFT JOIN lists USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""

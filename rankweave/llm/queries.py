@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.OP7_SQL, "op8_licence_rules": licences.OP8_SQL}
+    return {
+        "op3_suffix_automata": substring.OP3_SQL,
+        "op5_signature_tree_join": ngram_join.OP5_SQL,
+        "op6_secret_ownership": secret_scan.OP6_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op8_licence_rules": licences.OP8_SQL,
+        "op9_fm_index": decontam.OP9_SQL,
+    }

@@ -130,3 +130,33 @@ def op6_secret_ownership(spark, sf_dir):
     got = scan(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                       _joined(F.col("all_spans")).alias("spans"), "n_widely_copied", "n_owner_specific")
+
+
+def _sql() -> str:
+    def spans(rank: int, pattern: str, where: str) -> str:
+        p = pattern.replace("'", "''")
+        return (
+            f"SELECT doc_id, source, {rank} AS rank, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + "
+            f"coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS a FROM (SELECT doc_id, source, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM "
+            f"(SELECT doc_id, source, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits FROM d)) WHERE {where}"
+        )
+
+    value = "regexp_extract(hit, '{}', 2)".format(ASSIGN.replace("'", "''"))
+    live = (f"regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{PLACEHOLDER}') "
+            f"AND len(list_distinct(string_split(hit, ''))) >= {LIVE_DISTINCT}")
+    kinds = "CASE rank " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS)) + " END"
+    key = f"{kinds} || ':' || a || ':' || b"
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({spans(0, ASSIGN, f"length({value}) >= 8")} UNION ALL {spans(1, ACCESS, "true")} UNION ALL {spans(2, HEX, "true")} UNION ALL {spans(3, TOKEN, live)}),
+placed AS (SELECT doc_id, coalesce(source, '') AS owner, rank, a::BIGINT AS a, (a + length(hit))::BIGINT AS b, CASE rank WHEN 0 THEN {value} ELSE hit END AS v FROM found),
+apart AS (SELECT * FROM placed p WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM placed q WHERE q.doc_id = p.doc_id AND q.rank < 3 AND q.a < p.b AND p.a < q.b)),
+owners AS (SELECT v, count(DISTINCT owner) >= {WIDE_OWNERS} AS wide FROM apart GROUP BY v),
+sums AS (SELECT doc_id, count(*) FILTER (rank = 0) AS x, count(*) FILTER (rank = 1) AS y, count(*) FILTER (rank = 2) AS z,
+  string_agg({key}, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg({key}, ',' ORDER BY a, rank) FILTER (rank < 3 OR NOT wide) AS spans,
+  count(*) FILTER (rank < 3 AND wide) AS w, count(*) FILTER (rank < 3 AND NOT wide) AS s FROM apart JOIN owners USING (v) GROUP BY doc_id)
+SELECT doc_id, coalesce(x, 0)::BIGINT AS n_assign, coalesce(y, 0)::BIGINT AS n_access, coalesce(z, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(w, 0)::BIGINT AS n_widely_copied, coalesce(s, 0)::BIGINT AS n_owner_specific FROM d LEFT JOIN sums USING (doc_id)"""
+
+
+OP6_SQL = _sql()

@@ -8,6 +8,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import reach
+
 #: Bounds the memory of one Arrow batch; texts stay whole, only rows per batch shrink.
 BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
@@ -19,6 +21,7 @@ _written: list[str] = []
 
 def configure(spark: SparkSession) -> None:
     """Set Arrow batch bounds for the session (results do not depend on them)."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

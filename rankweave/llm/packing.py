@@ -30,12 +30,15 @@ from ._common import configure, stage, table
 
 MAX_LEN = 4096
 EOS = 1
-#: Chunks between white space whose ids a worker remembers; the memory is emptied when full.
-CACHE_CHUNKS = 400_000
+#: Chunks between white space whose ids a worker remembers, in each of two generations:
+#: a full one replaces the older, from which chunks in use come back.
+CACHE_CHUNKS = 500_000
 _SHIFT = 44
 _cache: dict[str, bytes] = {}
+_older: dict[str, bytes] = {}
 _tokenizers: dict = {}
 #: White space to str.split() but not to the tokenizers; such texts are encoded whole.
+_MARKS = ".,;:!?"
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -53,12 +56,50 @@ def _le(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+def _learn(chunks: set[str], tok) -> None:
+    """Ids of chunks that are not in the memory.
+
+    Letters with marks after them are two pre-tokens, so the ids of the letters come
+    from the memory too.
+    """
+    global _older
+    if len(_cache) + len(chunks) > CACHE_CHUNKS:
+        _older = dict(_cache)
+        _cache.clear()
+    back = {c: i for c in chunks if (i := _older.get(c)) is not None}
+    _cache.update(back)
+    ask, parts = [], []
+    for c in chunks.difference(back) if back else chunks:
+        base = c.rstrip(_MARKS)
+        if len(base) < len(c) and base.isalpha() and c.isascii():
+            parts.append((c, base, c[len(base) :]))
+        else:
+            ask.append(c)
+    more = {x for _, base, marks in parts for x in (base, marks) if x not in _cache}.difference(ask)
+    ask += [x for x in more if x not in _older]
+    for c, e in zip(ask, tok.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+        _cache[c] = _le(e.ids)
+    for c, base, marks in parts:
+        _cache[c] = (_cache.get(base) or _older[base]) + (_cache.get(marks) or _older[marks])
+
+
+def _chunks(text: str) -> list[str]:
+    """White-space-delimited chunks; Latin-1 texts are lower-cased, as the tokenizer does."""
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return text.split()
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The pre-tokenizer never joins text across white space, so the ids of a text are
     those of its white-space-delimited chunks in order; each distinct chunk is encoded
-    once per worker.
+    once per worker, as long as it is remembered.
     """
     tok = _tokenizer(path)
     out: list[bytes] = []
@@ -66,15 +107,15 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         if any(c in text for c in _ODD):
             out.append(_le(tok.encode(text, add_special_tokens=False).ids))
             continue
-        chunks = text.split()
-        new = [c for c in set(chunks) if c not in _cache]
-        if new:
-            if len(_cache) + len(new) > CACHE_CHUNKS:
-                _cache.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                _cache[c] = _le(e.ids)
-        out.append(b"".join(map(_cache.__getitem__, chunks)))
+        chunks = _chunks(text)
+        try:
+            out.append(b"".join(map(_cache.__getitem__, chunks)))
+        except KeyError:
+            own = set(chunks)
+            _learn(own.difference(_cache), tok)
+            if not all(c in _cache for c in own):
+                _learn(own.difference(_cache), tok)
+            out.append(b"".join(map(_cache.__getitem__, chunks)))
     return out
 
 

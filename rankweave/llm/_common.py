@@ -16,11 +16,18 @@ BATCH_BYTES = 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
-_written: list[str] = []
+#: Intermediate tables, each with whether a pipeline stage has written it.
+_written: dict[str, bool] = {}
+_staging = False
 
 
-def configure(spark: SparkSession) -> None:
-    """Set Arrow batch bounds for the session (results do not depend on them)."""
+def configure(spark: SparkSession, staging: bool = False) -> None:
+    """Set Arrow batch bounds for the session (results do not depend on them).
+
+    staging: what is written from now on belongs to a stage of the pipeline.
+    """
+    global _staging
+    _staging = staging
     reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -59,7 +66,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     with _shuffles_removed_after(spark):
         df.write.parquet(path)
-    _written.append(path)
+    _written[path] = _staging
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
     return out
@@ -72,7 +79,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written.remove(path)
+    _written.pop(path, None)
 
 
 def discard(*staged: DataFrame) -> None:
@@ -82,13 +89,13 @@ def discard(*staged: DataFrame) -> None:
 
 
 def release(spark: SparkSession, still_read: DataFrame) -> None:
-    """Delete the intermediate tables written so far, except those that ``still_read`` reads.
+    """Delete the tables of earlier pipeline stages, except those that ``still_read`` reads.
 
-    For drivers that write each result before they ask for the next, as the pipeline's
-    do; anything else may still need its tables.
+    Each stage's result is written before the next stage is asked for, so nothing else
+    can still need them; tables of other queries stay.
     """
     needed = still_read.inputFiles()
-    for path in list(_written):
+    for path in [p for p, own in _written.items() if own]:
         name = path.rsplit("/", 1)[1]
         if not any(f"/{name}/" in f for f in needed):
             _delete(spark, path)

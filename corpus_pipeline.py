@@ -29,7 +29,7 @@ def _flat(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told go on; the rest are rejected: texts
     without a letter, and texts whose two nearest codewords are equally near."""
-    configure(spark)
+    configure(spark, staging=True)
     release(spark, docs)
     model = langid.train(docs)
     if not model.languages:
@@ -40,14 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group under five-word shingles and similarity 0.8 stays."""
-    configure(spark)
+    configure(spark, staging=True)
     release(spark, docs)
     return ngram_join.one_of_each(docs, size=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every passage that a benchmark window covers is cut from its document."""
-    configure(spark)
+    configure(spark, staging=True)
     release(spark, docs)
     found = decontam.decontaminate(_nested(docs), table(spark, sf_dir, "benchmark"), ["__row"], clean=True)
     return _flat(found, "clean_text", docs.columns)
@@ -55,7 +55,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, of the base kinds or owner-specific, is replaced by a mark."""
-    configure(spark)
+    configure(spark, staging=True)
     release(spark, docs)
     found = secret_scan.scan(_nested(docs), keep=("__row", "text"))
     return _flat(found.select("__row", secret_scan.redact(F.col("text"), F.col("all_spans")).alias("text")), "text", docs.columns)
@@ -63,7 +63,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places in sequences of 4096 tokens."""
-    configure(spark)
+    configure(spark, staging=True)
     release(spark, docs)
     return packing.pack(docs, packing.tokenizer_path(), keep_ids=True)
 

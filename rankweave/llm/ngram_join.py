@@ -216,12 +216,16 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _layout(members: DataFrame, percent: int, cell_sets: int) -> DataFrame:
-    """members (hub, nid, n) -> (hub, band, i, j, sub, nid): the cells that hold each set."""
+    """members (hub, nid, n) -> (hub, band, i, j, sub, nid): the cells that hold each set.
+
+    The counts are written first, so that a join meets them through an exchange of its
+    own and adaptive execution can split a hub with very many sets.
+    """
     width = math.log(100 / percent) * (1 + 1e-7)  # a little wide, so that rounding can't part a pair by two bands
     band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    sizes = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = stage(members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1"), "join-sizes")
     cut = members.join(sizes, "hub").withColumn("band", F.explode(F.when(F.col("m") > cell_sets, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))))
-    bands = cut.groupBy("hub", "band").agg(F.count("*").alias("k"))
+    bands = stage(cut.groupBy("hub", "band").agg(F.count("*").alias("k")), "join-bands")
     grid = F.ceil(F.col("k") / cell_sets).cast("int")
     dealt = cut.join(bands, ["hub", "band"]).withColumn("g", grid).withColumn("sub", F.pmod(F.xxhash64("nid"), F.col("g")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))

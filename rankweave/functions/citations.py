@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, _col, some, squeeze
+from .text import WS, _col, let, some, squeeze
 
 YEAR = "(?:19|20)\\d{2}"
 ELLIPSIS_EDGE = "^(?:…|\\.\\.\\.)|(?:…|\\.\\.\\.)$"
@@ -18,22 +18,27 @@ def _extract(x: Column, pattern: str, group: int = 1) -> Column:
 
 def scholar_metadata(c: Column | str) -> Column:
     """``authors - publication - publisher`` to a struct of fields."""
-    text = squeeze(c)
-    parts = F.filter(F.transform(F.split(text, f"[{WS}]+[-–—][{WS}]+", -1), squeeze), lambda p: F.lit(True))
-    n = F.size(parts)
-    second = some(F.get(parts, F.lit(1)))
-    dated = F.coalesce(second.rlike(f"^(.*),[{WS}]*({YEAR})$"), F.lit(False))
-    publication = F.when(n >= 3, some(squeeze(F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), " - ")))).when((n == 2) & dated, second)
-    publisher = F.when(n >= 3, some(F.element_at(parts, -1))).when((n == 2) & ~dated, second)
-    only = publication.rlike(f"^{YEAR}$")
-    both = f"^(.*),[{WS}]*({YEAR})$"
-    venue = F.when(only, F.lit(None)).when(publication.rlike(both), some(squeeze(F.regexp_extract(publication, both, 1)))).otherwise(publication)
-    year = F.when(only, publication).when(publication.rlike(both), F.regexp_extract(publication, both, 2)).cast("int")
-    return F.struct(
-        text.alias("metadata_text"), some(F.get(parts, F.lit(0))).alias("authors_text"), publication.alias("publication_text"),
-        venue.alias("venue_candidate"), publisher.alias("publisher_text"), year.alias("year"),
-        F.coalesce(venue.rlike(ELLIPSIS_EDGE), F.lit(False)).alias("source_truncated"),
-    )
+    dated = f"^(.*),[{WS}]*({YEAR})$"
+
+    def of_parts(text: Column, parts: Column) -> Column:
+        n, second = F.size(parts), some(F.get(parts, F.lit(1)))
+        middle = some(squeeze(F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), " - ")))
+        publication = F.when(n >= 3, middle).when((n == 2) & second.rlike(dated), second)
+        publisher = F.when(n >= 3, some(F.element_at(parts, -1))).when((n == 2) & ~F.coalesce(second.rlike(dated), F.lit(False)), second)
+        return let(F.struct(publication.alias("publication"), publisher.alias("publisher")), lambda p: of_publication(text, parts, p["publication"], p["publisher"]))
+
+    def of_publication(text: Column, parts: Column, publication: Column, publisher: Column) -> Column:
+        only, both = publication.rlike(f"^{YEAR}$"), publication.rlike(dated)
+        venue = F.when(only, F.lit(None)).when(both, some(squeeze(F.regexp_extract(publication, dated, 1)))).otherwise(publication)
+        year = F.when(only, publication).when(both, F.regexp_extract(publication, dated, 2)).cast("int")
+        return let(venue, lambda v: F.struct(
+            text.alias("metadata_text"), some(F.get(parts, F.lit(0))).alias("authors_text"), publication.alias("publication_text"),
+            v.alias("venue_candidate"), publisher.alias("publisher_text"), year.alias("year"),
+            F.coalesce(v.rlike(ELLIPSIS_EDGE), F.lit(False)).alias("source_truncated"),
+        ))
+
+    split = lambda text: F.transform(F.split(text, f"[{WS}]+[-–—][{WS}]+", -1), squeeze)
+    return let(squeeze(c), lambda text: let(split(text), lambda parts: of_parts(text, parts)))
 
 
 def pubmed_journal(c: Column | str) -> Column:

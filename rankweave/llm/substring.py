@@ -226,10 +226,10 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot
         .mapInArrow(partial(_stream, window=window), "doc_id long, th long, start int, stop int")
     )
     windows = found.where("whash is not null").select("whash", "doc_id", "th", "first")
-    least = windows.groupBy("whash").agg(F.min("doc_id").alias("least"))
+    least = stage(windows.groupBy("whash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last"), "substring-least")
     hot_spans = windows.join(least, "whash").where("least < doc_id").select("doc_id", "th", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
     spans = stage(streamed.unionByName(hot_spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "substring-spans")
-    discard(found)
+    discard(found, least)
     kept = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return kept.mapInArrow(partial(_remove, keep_text=keep_text), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -582,10 +583,10 @@ def latest_snapshot(spark, sf_dir):
 def streaming_upsert(spark, sf_dir):
     """Pages as a stream of snapshots, upserted by micro-batch, read back."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rankweave-stream-')}"
-    sink = f"{folder.rstrip('/')}/pages-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**9}-{len(spark._jsc.sc().getExecutorMemoryStatus().toString())}"
-    static = _t(spark, sf_dir, "pages")
-    source = f"{sf_dir}/pages.parquet"
-    snapshots = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(source) if _is_folder(spark, source) else spark.readStream.schema(static.schema).parquet(f"{sf_dir}/pages.parque[t]")
+    sink = f"{folder.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    static, source = _t(spark, sf_dir, "pages"), f"{sf_dir}/pages.parquet"
+    # a file source reads folders or patterns; a single file is named by a pattern that fits it alone
+    snapshots = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/pages.parque[t]")
     heads = lambda df: pages.select_elements(df, "h1").where("nth = 0").select("page_id", F.lit(0).alias("node_pos"), F.col("text").alias("title"))
     streaming.stream_pages(snapshots.withColumn("revision", F.lit(1)), sink, f"{sink}.checkpoint", extract=heads).awaitTermination()
     rows = spark.read.parquet(sink)

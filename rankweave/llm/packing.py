@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ EOS = 1
 #: Chunks between white space whose ids a worker remembers, in each of two generations:
 #: a full one replaces the older, from which chunks in use come back.
 CACHE_CHUNKS = 500_000
+#: Chunks that are encoded in one call.
+ASK_CHUNKS = 50_000
 _SHIFT = 44
 _cache: dict[str, bytes] = {}
 _older: dict[str, bytes] = {}
@@ -56,8 +59,8 @@ def _le(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _learn(chunks: set[str], tok) -> None:
-    """Ids of chunks that are not in the memory.
+def _learn(chunks: set[str], tok) -> dict[str, bytes]:
+    """Ids of chunks that are not in the memory, which keeps as many as it holds.
 
     Letters with marks after them are two pre-tokens, so the ids of the letters come
     from the memory too.
@@ -66,21 +69,29 @@ def _learn(chunks: set[str], tok) -> None:
     if len(_cache) + len(chunks) > CACHE_CHUNKS:
         _older = dict(_cache)
         _cache.clear()
-    back = {c: i for c in chunks if (i := _older.get(c)) is not None}
-    _cache.update(back)
+    ids = {c: i for c in chunks if (i := _older.get(c)) is not None}
     ask, parts = [], []
-    for c in chunks.difference(back) if back else chunks:
+    for c in chunks.difference(ids) if ids else chunks:
         base = c.rstrip(_MARKS)
         if len(base) < len(c) and base.isalpha() and c.isascii():
             parts.append((c, base, c[len(base) :]))
         else:
             ask.append(c)
-    more = {x for _, base, marks in parts for x in (base, marks) if x not in _cache}.difference(ask)
-    ask += [x for x in more if x not in _older]
-    for c, e in zip(ask, tok.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-        _cache[c] = _le(e.ids)
+    bases = {x for _, base, marks in parts for x in (base, marks)}.difference(ids, ask)
+    for x in bases:
+        i = _cache.get(x) or _older.get(x)
+        if i is None:
+            ask.append(x)
+        else:
+            ids[x] = i
+    for at in range(0, len(ask), ASK_CHUNKS):
+        own = ask[at : at + ASK_CHUNKS]
+        for c, e in zip(own, tok.encode_batch_fast(own, add_special_tokens=False), strict=True):
+            ids[c] = _le(e.ids)
     for c, base, marks in parts:
-        _cache[c] = (_cache.get(base) or _older[base]) + (_cache.get(marks) or _older[marks])
+        ids[c] = ids[base] + ids[marks]
+    _cache.update(islice(ids.items(), max(0, CACHE_CHUNKS - len(_cache))))
+    return ids
 
 
 def _chunks(text: str) -> list[str]:
@@ -111,11 +122,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         try:
             out.append(b"".join(map(_cache.__getitem__, chunks)))
         except KeyError:
+            # the text's own ids: the memory may be too small for all of them
             own = set(chunks)
-            _learn(own.difference(_cache), tok)
-            if not all(c in _cache for c in own):
-                _learn(own.difference(_cache), tok)
-            out.append(b"".join(map(_cache.__getitem__, chunks)))
+            ids = {c: i for c in own if (i := _cache.get(c)) is not None}
+            ids |= _learn(own.difference(ids), tok)
+            out.append(b"".join(map(ids.__getitem__, chunks)))
     return out
 
 

@@ -120,6 +120,19 @@ def test_packing_matches_the_tokenizer(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_packing_of_more_chunks_than_are_remembered(monkeypatch):
+    path = packing.tokenizer_path()
+    tok = packing._tokenizer(path)
+    monkeypatch.setattr(packing, "_cache", {})
+    monkeypatch.setattr(packing, "_older", {})
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(packing, "ASK_CHUNKS", 7, raising=False)
+    many = " ".join(f"x{k} word{chr(97 + k % 26)}{chr(97 + k // 26)}," for k in range(400))
+    texts = ["the first words, and x5", many, "the first words again.", f"the {many} x5 x6.", ""]
+    assert packing.encode(texts, path) == [packing._le(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(packing._cache) <= 50 and len(packing._older) <= 50
+
+
 # 2 language
 
 

@@ -416,3 +416,34 @@ def test_compression_bands_reject_both_ends():
     assert not quality.compression(prose[:40] * 400, packer)[0]
     assert not quality.compression(base64.b85encode(os.urandom(9000)), packer)[0]
     assert quality.compression(b"", packer)[0]
+
+
+@pytest.mark.parametrize("n", [400, 499, 500, 599, 600, 699, 700, 999, 1000, 1099, 1249, 1499, 1999, 2000, 2999, 3000, 4095, 4096, 4999, 9999, 60_000])
+def test_compression_bands_reject_noise_of_every_length(n):
+    import zstandard
+
+    rng = random.Random(n)
+    low, let = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    noise = lambda alpha: " ".join("".join(rng.choices(alpha, k=rng.randint(4, 12))) for _ in range(n)).encode()[:n]
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    assert not quality.compression(noise(let + "0123456789+/"), packer)[0]
+    # random letters are as dense as real text in shorter ones
+    assert n < 700 or not quality.compression(noise(let), packer)[0]
+    assert n < 4096 or not quality.compression(noise(low), packer)[0]
+
+
+def test_compression_judges_parts_and_the_rest():
+    import base64
+
+    import zstandard
+
+    rng = random.Random(3)
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(700)]
+    prose = " ".join(rng.choices(vocabulary, k=20_000)).encode()
+    noise = base64.b64encode(rng.randbytes(40_000))
+    assert quality.compression(prose[:8192], packer)[::2] == (True, 0)
+    assert quality.compression(prose[:8192] + noise[:4000], packer)[2:] == (1, 3)
+    assert not quality.compression(prose[:8192] + noise[:4000], packer)[0]
+    assert not quality.compression(prose[: 4 * 4096] + noise[: 3 * 4096] + prose[: 1 * 4096], packer)[0]
+    assert quality.compression(prose[: 8 * 4096] + noise[:4096], packer)[0]

@@ -347,6 +347,114 @@ def test_licence_rules(spark):
     assert got[7][1] == ["Apache-2.0", "CC-BY-NC-4.0"]
 
 
+APACHE_HEADER = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_HEADER = """<one line to give the program's name and a brief idea of what it does.>
+Copyright (C) 2020  Some One
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+HEADERS = [
+    ("Apache-2.0", "apache-2.0-header", APACHE_HEADER),
+    ("Apache-2.0", "apache-2.0-joined-header", APACHE_HEADER.replace("\n\n    ", "\n    ").replace("2.0\n\n", "2.0\n")),
+    ("GPL-3.0-or-later", "gpl-3.0-header", GPL_HEADER),
+    ("GPL-3.0-or-later", "gpl-3.0-short-header", GPL_HEADER.split("This program is distributed")[0]),
+    ("GPL-2.0-or-later", "gpl-2.0-or-later-program", GPL_HEADER.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")),
+    ("AGPL-3.0-or-later", "agpl-3.0-or-later", GPL_HEADER.replace("GNU General", "GNU Affero General")),
+    ("LGPL-2.1-or-later", "lgpl-2.1-or-later-library", GPL_HEADER.replace("This program is free software:", "This library is free software;").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")),
+    ("MPL-2.0", "mpl-2.0-reference", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""),
+    ("MIT", "mit-text", """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""),
+    ("ISC", "isc-grant", """Copyright 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""),
+    ("Unlicense", "unlicense-dedication", """This is free and unencumbered software released into the public domain.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors.
+"""),
+    ("CC0-1.0", "cc0-1.0-dedication", """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.
+"""),
+    ("EPL-2.0", "epl-2.0-header", """Copyright (c) 2020 Some One
+
+This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0
+"""),
+    ("BSD-3-Clause", "bsd-3-clause-text", """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""),
+]
+
+
+def test_licence_headers_as_published(spark):
+    for mark in ("", "# ", " * ", "// "):
+        rows = [(k, "".join(f"{mark}{line}".rstrip() + "\n" for line in text.splitlines())) for k, (_, _, text) in enumerate(HEADERS)]
+        got = {r.doc_id: (r.rules, r.licences) for r in licences.licences(frame(spark, rows)).collect()}
+        assert [got[k] for k in range(len(HEADERS))] == [([rule], [spdx]) for spdx, rule, _ in HEADERS]
+
+
 # 9 decontamination
 
 

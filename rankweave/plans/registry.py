@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -511,12 +512,12 @@ def tooltip_text(spark, sf_dir):
 @query("""SELECT s_suppkey::INT AS pos, s_name || ', "quoted"' AS canonical_name, 'journal' AS type, 'a' || s_nationkey || '|b' AS aliases, floor(s_acctbal)::INT::VARCHAR AS factor FROM supplier WHERE s_acctbal >= 0
   ORDER BY s_suppkey LIMIT 30000""")
 def csv_roundtrip_rows(spark, sf_dir):
-    """Supplier rows written as a catalog and read again (30,000 rows at most by the format's rule)."""
-    rows = _t(spark, sf_dir, "supplier").where("s_acctbal >= 0").orderBy("s_suppkey").limit(30_000)
+    """Supplier rows written as catalogs of at most 30,000 rows, by the format's rule, and read again."""
+    rows = _t(spark, sf_dir, "supplier").where("s_acctbal >= 0")
     v = _venues(rows, id="concat('s:', s_suppkey)", type="'journal'", canonical_name="concat(s_name, ', \"quoted\"')", aliases="array(concat('a', s_nationkey), 'b')",
                 impact_factor=F.expr("cast(struct(cast(cast(floor(s_acctbal) as int) as double), '2025', null, null) as struct<value:double,year:string,source_url:string,source_label:string>)"),
                 pos="cast(s_suppkey as int)")
-    back, _ = catalog.parse_catalog(spark, catalog.serialize_catalog(v))
+    back = reduce(DataFrame.unionByName, (catalog.parse_catalog(spark, x)[0] for x in catalog.serialize_catalogs(v)))
     number = F.regexp_extract("canonical_name", r"#(\d+)", 1).cast("int")
     return back.select(number.alias("pos"), "canonical_name", "type", F.array_join("aliases", "|").alias("aliases"), F.col("impact_factor.value").cast("int").cast("string").alias("factor"))
 

@@ -338,16 +338,33 @@ def _quoted(c: Column) -> Column:
     return F.substring(F.to_json(F.struct(c.alias("v"))), 6, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
 
 
+def _lines(venues: DataFrame) -> DataFrame:
+    columns = export_columns(venues)
+    return columns.select("pos", F.concat_ws(",", *[csv_cells(F.col(f"c{k}")) for k in range(len(EXPORT_HEADERS))]).alias("line")).orderBy("pos")
+
+
 def serialize_catalog(venues: DataFrame) -> str:
     """The file's text: LF between lines, none at the end."""
-    columns = export_columns(venues)
-    line = columns.select("pos", F.concat_ws(",", *[csv_cells(F.col(f"c{k}")) for k in range(len(EXPORT_HEADERS))]).alias("line"))
-    rows = line.orderBy("pos").limit(MAX_RECORDS + 1).collect()
+    rows = _lines(venues).limit(MAX_RECORDS + 1).collect()
     if len(rows) > MAX_RECORDS:
         raise ValueError(f"目录最多允许 {MAX_RECORDS} 条记录。")
     return "\n".join([",".join(map(csv_cell, EXPORT_HEADERS)), *(r["line"] for r in rows)])
 
 
+def serialize_catalogs(venues: DataFrame) -> Iterator[str]:
+    """The texts of as many files as the rows need within the format's rules, one at least."""
+    head = ",".join(map(csv_cell, EXPORT_HEADERS))
+    lines, size = [head], len(head.encode())
+    for r in _lines(venues).toLocalIterator():
+        more = len(r["line"].encode()) + 1
+        if len(lines) > MAX_RECORDS or (len(lines) > 1 and size + more > MAX_FILE_BYTES):
+            yield "\n".join(lines)
+            lines, size = [head], len(head.encode())
+        lines.append(r["line"])
+        size += more
+    yield "\n".join(lines)
+
+
 def write_catalog(venues: DataFrame, path: str, bom: bool = False) -> None:
     """One file, for download with a byte-order mark if asked."""
     with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:

@@ -81,3 +81,23 @@ def test_base_tables_are_parameters(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"id":"x:1","type":"journal","canonical_name":"A","aliases":[],"acronyms":["AA"],"issn":[],"rank":"B","pos":0}\n')
     r = catalog.table_of(spark, str(tmp_path / "t.json"), "C", "2026", "school").first()
     assert (r.school.rank, r.school.edition, r.ccf, r.issn, r.acronyms) == ("B", "2026", None, None, ["AA"])
+
+
+def test_round_trip_of_more_rows_than_a_catalog_holds(spark, tmp_path):
+    from rankweave.plans import registry
+
+    n = 30_005
+    spark.range(1, n + 1).selectExpr("id as s_suppkey", "concat('Supplier#', lpad(id, 9, '0')) as s_name", "cast(id % 25 as int) as s_nationkey", "cast(id % 900 as double) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.queries()["csv_roundtrip_rows"](spark, str(tmp_path)).select("pos").collect()
+    assert sorted(r.pos for r in got) == list(range(1, n + 1))
+
+
+def test_catalogs_keep_within_the_bytes_of_a_file(spark, monkeypatch):
+    from .helpers import venue, venues
+
+    some = venues(spark, *[venue(k, f"v{k}", f"Journal {k}") for k in range(7)])
+    head = len(catalog.serialize_catalog(some).split("\n")[0].encode())
+    monkeypatch.setattr(catalog, "MAX_FILE_BYTES", head + 150)
+    texts = list(catalog.serialize_catalogs(some))
+    assert len(texts) > 1 and all(len(x.encode()) <= head + 150 for x in texts)
+    assert [line for x in texts for line in x.split("\n")[1:]] == catalog.serialize_catalog(some).split("\n")[1:]

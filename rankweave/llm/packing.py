@@ -32,13 +32,16 @@ from ._common import configure, stage, table
 MAX_LEN = 4096
 EOS = 1
 #: Chunks between white space whose ids a worker remembers, in each of two generations:
-#: a full one replaces the older, from which chunks in use come back.
-CACHE_CHUNKS = 500_000
+#: a full one replaces the older, from which chunks in use come back. Longer chunks than
+#: ``CACHE_CHARS`` are encoded each time, so the memory is bounded in bytes too.
+CACHE_CHUNKS = 100_000
+CACHE_CHARS = 40
 #: Chunks that are encoded in one call.
 ASK_CHUNKS = 50_000
 _SHIFT = 44
 _cache: dict[str, bytes] = {}
 _older: dict[str, bytes] = {}
+#: By path: the tokenizer, and whether chunks may be encoded apart.
 _tokenizers: dict = {}
 #: White space to str.split() but not to the tokenizers; such texts are encoded whole.
 _MARKS = ".,;:!?"
@@ -50,11 +53,23 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        tok = Tokenizer.from_file(path)
+        _tokenizers[path] = tok, _parts_at_space(tok)
         _cache.clear()
+        _older.clear()
     return _tokenizers[path]
 
 
+def _parts_at_space(tok) -> bool:
+    """Whether the tokenizer parts text at white space and drops it, folds Latin-1
+    capitals, and parts letters from marks; probed on every Latin-1 character."""
+    ids = lambda x: tok.encode(x, add_special_tokens=False).ids
+    seen = [chr(c) for c in range(0x21, 0x100) if chr(c) not in _ODD and not chr(c).isspace()]
+    probes = [f"{c}a \t{c}\n\nB{c}  {c}{c} d" for c in seen] + [" a", "a ", "\n", "a  b"]
+    chunks = all(ids(p) == [i for c in p.lower().split() for i in ids(c)] for p in probes)
+    return chunks and all(ids(f"word{m}{n}") == ids("word") + ids(m + n) for m in _MARKS for n in ["", *_MARKS])
+
+
 def _le(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -65,9 +80,9 @@ def _learn(chunks: set[str], tok) -> dict[str, bytes]:
     Letters with marks after them are two pre-tokens, so the ids of the letters come
     from the memory too.
     """
-    global _older
     if len(_cache) + len(chunks) > CACHE_CHUNKS:
-        _older = dict(_cache)
+        _older.clear()
+        _older.update(_cache)
         _cache.clear()
     ids = {c: i for c in chunks if (i := _older.get(c)) is not None}
     ask, parts = [], []
@@ -90,7 +105,8 @@ def _learn(chunks: set[str], tok) -> dict[str, bytes]:
             ids[c] = _le(e.ids)
     for c, base, marks in parts:
         ids[c] = ids[base] + ids[marks]
-    _cache.update(islice(ids.items(), max(0, CACHE_CHUNKS - len(_cache))))
+    short = (x for x in ids.items() if len(x[0]) <= CACHE_CHARS)
+    _cache.update(islice(short, max(0, CACHE_CHUNKS - len(_cache))))
     return ids
 
 
@@ -108,14 +124,14 @@ def _chunks(text: str) -> list[str]:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    The pre-tokenizer never joins text across white space, so the ids of a text are
+    Where the tokenizer never joins text across white space, the ids of a text are
     those of its white-space-delimited chunks in order; each distinct chunk is encoded
-    once per worker, as long as it is remembered.
+    once per worker, as long as it is remembered. Other tokenizers get whole texts.
     """
-    tok = _tokenizer(path)
+    tok, apart = _tokenizer(path)
     out: list[bytes] = []
     for text in texts:
-        if any(c in text for c in _ODD):
+        if not apart or any(c in text for c in _ODD):
             out.append(_le(tok.encode(text, add_special_tokens=False).ids))
             continue
         chunks = _chunks(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,22 +13,18 @@ from .. import reach
 
 #: Bounds the memory of one Arrow batch; texts stay whole, only rows per batch shrink.
 BATCH_ROWS = 500
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Row groups of intermediate tables: a writer holds one in memory.
+ROW_GROUP_BYTES = 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
-#: Intermediate tables, each with whether a pipeline stage has written it.
-_written: dict[str, bool] = {}
-_staging = False
+#: Tables that the run at hand has written, where a run collects them.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
 
 
-def configure(spark: SparkSession, staging: bool = False) -> None:
-    """Set Arrow batch bounds for the session (results do not depend on them).
-
-    staging: what is written from now on belongs to a stage of the pipeline.
-    """
-    global _staging
-    _staging = staging
+def configure(spark: SparkSession) -> None:
+    """Set Arrow batch bounds for the session (results do not depend on them)."""
     reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -36,11 +33,14 @@ def configure(spark: SparkSession, staging: bool = False) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is used.
+    Only where the session names none and runs in this process alone (local tests) a
+    temporary folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="rankweave-")
@@ -65,8 +65,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     with _shuffles_removed_after(spark):
-        df.write.parquet(path)
-    _written[path] = _staging
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
     return out
@@ -79,7 +81,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written.pop(path, None)
 
 
 def discard(*staged: DataFrame) -> None:
@@ -88,14 +89,17 @@ def discard(*staged: DataFrame) -> None:
         _delete(df.sparkSession, df.staged_at)
 
 
-def release(spark: SparkSession, still_read: DataFrame) -> None:
-    """Delete the tables of earlier pipeline stages, except those that ``still_read`` reads.
+@contextmanager
+def collected(spark: SparkSession, keep: str):
+    """Delete, at the end, the intermediate tables written inside, but for those whose label is ``keep``.
 
-    Each stage's result is written before the next stage is asked for, so nothing else
-    can still need them; tables of other queries stay.
+    Tables belong to the block that wrote them, so runs side by side don't meet.
     """
-    needed = still_read.inputFiles()
-    for path in [p for p, own in _written.items() if own]:
-        name = path.rsplit("/", 1)[1]
-        if not any(f"/{name}/" in f for f in needed):
-            _delete(spark, path)
+    token = _made.set([])
+    try:
+        yield
+        for path in _made.get():
+            if not path.rsplit("/", 1)[1].startswith(f"{keep}-"):
+                _delete(spark, path)
+    finally:
+        _made.reset(token)

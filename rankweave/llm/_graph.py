@@ -14,7 +14,7 @@ from ._common import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a long, b long); root is the least node."""
+    """(node, root) for every node of ``edges`` (a long, b long), written; root is the least node."""
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         if sums == seen:
             break
         seen = sums
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+    roots = stage(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    ), "edge-roots")
+    discard(now)
+    return roots

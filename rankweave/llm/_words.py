@@ -7,8 +7,13 @@ on the content alone and are equal on every machine.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Bytes hashed at once; texts are cut at white space, so memory does not grow with them.
+PIECE = 1 << 19
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _P, _PI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,11 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, in order."""
+def _hashes(raw: bytes) -> np.ndarray:
     a = np.frombuffer(raw, dtype=np.uint8)
-    if not len(a):
-        return np.zeros(0, dtype=np.uint64)
     solid = ~_SPACE[a]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -50,6 +52,22 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _LANES[63])
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, in order.
+
+    Only a single word longer than ``PIECE`` makes a piece longer than that.
+    """
+    parts, at = [np.zeros(0, dtype=np.uint64)], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        if end < len(raw):
+            gap = _GAP.search(raw, end)
+            end = gap.start() if gap else len(raw)
+        parts.append(_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, by its first word."""
     n = len(words) - size + 1

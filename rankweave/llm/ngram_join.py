@@ -4,11 +4,13 @@ A document's set holds the hashes of its distinct word shingles. Equal sets are
 by their digest first; one row per distinct set goes on.
 
 Routing is exact: two sets of Jaccard similarity ``t`` or more share ``l`` shingles among
-the ``n - ceil(t n) + l`` least of each (prefix filter). Sets that share such a shingle
-meet in the block of the least set that has it. A set that shares but few shingles with
-a block, as long texts do by chance, may leave it as long as it gives up no more than
-``SLACK`` of its shingles in all; ``l`` is so large that two similar sets still meet in
-some block. Blocks above ``CELL_SETS`` sets are cut
+the ``n - ceil(t n) + l`` first of each in any one order of all shingles (prefix filter).
+The order is rarest first: by the document frequency that a sketch of fixed size counted
+over all documents, then by hash. So shingles of boilerplate come last and make no
+blocks. Sets that share a prefix shingle meet in the block of the least set that has it.
+A set that shares but few shingles with a block, as long texts do by chance, may leave
+it as long as it gives up no more than ``SLACK`` of its shingles in all; ``l`` is so
+large that two similar sets still meet in some block. Blocks above ``CELL_BYTES`` are cut
 into size bands (a pair's sizes differ by the factor ``t`` at most, so neighbours
 overlap by one band) and, where a band is still too large, into a grid of cells that
 together hold every pair of it. No set is left out.
@@ -37,8 +39,12 @@ from ._common import configure, discard, stage, table
 from ._graph import components
 from ._words import ASCII_LOWER, window_hashes, word_hashes
 
-CELL_SETS = 1000
+#: Memory of the sets of one side of a cell, by ``_WEIGHT``; a longer single set is a side of its own.
+CELL_BYTES = 4 << 20
 FAN_OUT = 4
+#: Document frequencies are counted by the first bits of the shingle hash.
+SKETCH_BITS = 18
+_SLICES = 64
 #: Percent of its shingles that a set may give up by leaving blocks.
 SLACK = 3
 #: Memory of the bitmaps of one chunk of node pairs.
@@ -54,23 +60,65 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """n - ceil(t n) + l with l = 1 + 2 ceil(SLACK n), n at most.
+    """n - ceil(t n) + l with l = 1 + 2 floor(SLACK n), n at most.
 
-    The least l common shingles of two similar sets are in both prefixes. Of these the
-    larger set gives up SLACK t n, the smaller no more than its own share, together
-    less than the smaller set's l; so one is left that both have kept.
+    The first l common shingles of two similar sets, l of the smaller, are in both
+    prefixes. Of these a set of m gives up floor(SLACK t m) at most, which is no more
+    than floor(SLACK n) for either, n being the smaller size and t m <= n; so one is
+    left that both have kept.
     """
-    return min(n, n - -(-percent * n // 100) + 1 + 2 * -(-SLACK * n // 100))
+    return min(n, n - -(-percent * n // 100) + 1 + 2 * (SLACK * n // 100))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for batch in batches:
+        sets = [_bucket(shingle_set(t, size)) for t in batch.column(0).to_pylist()]
+        if sets:
+            counts += np.bincount(np.concatenate(sets), minlength=len(counts))
+    yield _slices(dict(enumerate(counts.reshape(_SLICES, -1))))
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(raw, dtype="<i8")
+    yield _slices(sums)
+
+
+def _slices(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(parts), type=pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts.values()], type=pa.binary())], names=["slice", "counts"])
+
+
+def frequency_order(texts: DataFrame, size: int) -> np.ndarray:
+    """A byte for each bucket of shingles: the higher, the more documents have one of them.
+
+    Every task sends ``_SLICES`` rows, which are summed as they come; the driver gets the
+    sums, 2 MB whatever the input.
+    """
+    schema = "slice int, counts binary"
+    sums = texts.select("text").mapInArrow(partial(_count, size=size), schema).repartition(_SLICES, "slice").mapInArrow(_add, schema).collect()
+    counts = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), dtype=np.int64)
+    for r in sums:
+        counts[r["slice"]] = np.frombuffer(r["counts"], dtype="<i8")
+    return np.minimum(255, np.round(6 * np.log2(counts.ravel() + 1.0))).astype(np.uint8)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, key, prefix = [], [], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(text, size)
             n.append(len(s))
             key.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            prefix.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [])
+            first = np.argsort(order[_bucket(s)], kind="stable")[: prefix_length(len(s), percent)]
+            prefix.append(s[first].view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("th"), pa.array(n, type=pa.int64()), pa.array(key, type=pa.binary()), pa.array(prefix, type=pa.list_(pa.int64()))],
             names=["doc_id", "th", "n", "key", "prefix"],
@@ -215,7 +263,11 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield out(solve())
 
 
-def _layout(members: DataFrame, percent: int, cell_sets: int) -> DataFrame:
+#: Bytes that a set of n takes in a cell: hashes, bitmaps, and what holds them.
+_WEIGHT = "12 * n + 512"
+
+
+def _layout(members: DataFrame, percent: int, cell_bytes: int) -> DataFrame:
     """members (hub, nid, n) -> (hub, band, i, j, sub, nid): the cells that hold each set.
 
     The counts are written first, so that a join meets them through an exchange of its
@@ -223,16 +275,16 @@ def _layout(members: DataFrame, percent: int, cell_sets: int) -> DataFrame:
     """
     width = math.log(100 / percent) * (1 + 1e-7)  # a little wide, so that rounding can't part a pair by two bands
     band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    sizes = stage(members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1"), "join-sizes")
-    cut = members.join(sizes, "hub").withColumn("band", F.explode(F.when(F.col("m") > cell_sets, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))))
-    bands = stage(cut.groupBy("hub", "band").agg(F.count("*").alias("k")), "join-bands")
-    grid = F.ceil(F.col("k") / cell_sets).cast("int")
+    sizes = stage(members.groupBy("hub").agg(F.count("*").alias("m"), F.sum(F.expr(_WEIGHT)).alias("w")).where("m > 1").drop("m"), "join-sizes")
+    cut = members.join(sizes, "hub").withColumn("band", F.explode(F.when(F.col("w") > cell_bytes, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))))
+    bands = stage(cut.groupBy("hub", "band").agg(F.sum(F.expr(_WEIGHT)).alias("k")), "join-bands")
+    grid = F.ceil(F.col("k") / cell_bytes).cast("int")
     dealt = cut.join(bands, ["hub", "band"]).withColumn("g", grid).withColumn("sub", F.pmod(F.xxhash64("nid"), F.col("g")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     return dealt.select("hub", "band", F.least("sub", "o").alias("i"), F.greatest("sub", "o").alias("j"), "sub", "nid")
 
 
-def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: int = CELL_SETS) -> DataFrame:
+def similarity_components(docs: DataFrame, size: int, percent: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text), with the
     hash th of its text and the number root of its component (null for an empty set).
 
@@ -242,8 +294,9 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: i
     Further columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = frequency_order(own, size)
     sets = stage(own.withColumn("th", F.xxhash64("text")).mapInArrow(
-        partial(_sets, size=size, percent=percent), "doc_id long, th long, n long, key binary, prefix array<long>"), "join-sets")
+        partial(_sets, size=size, percent=percent, order=order), "doc_id long, th long, n long, key binary, prefix array<long>"), "join-sets")
     nodes = stage(
         sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .withColumn("nid", F.monotonically_increasing_id()),
@@ -261,7 +314,7 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: i
         "join-members",
     )
     discard(shared)
-    cells = stage(_layout(members, percent, cell_sets), "join-cells")
+    cells = stage(_layout(members, percent, cell_bytes), "join-cells")
     discard(members)
     wanted = cells.select("nid").distinct().join(nodes, "nid").select("nid", "key", F.col("doc_id").alias("__id"))
     texts = own.where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("nid", "key", "text")
@@ -272,10 +325,13 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_sets: i
     discard(cells, packed)
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_key = named.join(least, "root").select("key", "root", "component_id")
+    by_key = stage(named.join(least, "root").select("key", "root", "component_id"), "join-keys")
+    discard(nodes, roots)
     out = rows.select("doc_id", "th", "n", "key").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "th", "root")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "th", "root")
+    out.reads = (rows, by_key)
+    return out
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -283,10 +339,11 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     The row with the group's least doc_id stays; where several rows have it, one of them.
     """
-    groups = similarity_components(docs, size, percent).where("n_shingles > 0")
-    winners = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("th").alias("th"))
+    groups = similarity_components(docs, size, percent)
+    winners = groups.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("th").alias("th"))
     no_id = F.lit(-(1 << 63))
-    keys = winners.select(F.coalesce("doc_id", no_id).alias("__id"), F.col("th").alias("__th")).distinct()
+    keys = stage(winners.select(F.coalesce("doc_id", no_id).alias("__id"), F.col("th").alias("__th")).distinct(), "join-winners")
+    discard(*groups.reads)
     worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("__row"), worded.alias("__worded"),

@@ -122,7 +122,8 @@ def test_packing_matches_the_tokenizer(spark):
 
 def test_packing_of_more_chunks_than_are_remembered(monkeypatch):
     path = packing.tokenizer_path()
-    tok = packing._tokenizer(path)
+    tok, apart = packing._tokenizer(path)
+    assert apart
     monkeypatch.setattr(packing, "_cache", {})
     monkeypatch.setattr(packing, "_older", {})
     monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
@@ -133,6 +134,28 @@ def test_packing_of_more_chunks_than_are_remembered(monkeypatch):
     assert len(packing._cache) <= 50 and len(packing._older) <= 50
 
 
+def test_packing_of_one_very_long_chunk_is_not_remembered(monkeypatch):
+    path = packing.tokenizer_path()
+    tok, _ = packing._tokenizer(path)
+    monkeypatch.setattr(packing, "_cache", {})
+    monkeypatch.setattr(packing, "_older", {})
+    long = "ab1" * 1_000_000
+    texts = [f"a {long} b", "一" * 5000]
+    assert packing.encode(texts, path) == [packing._le(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert max(map(len, packing._cache)) <= packing.CACHE_CHARS
+
+
+def test_packing_with_a_tokenizer_that_keeps_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert not packing._tokenizer(path)[1]
+    texts = ["Some  Words\nand words.", "", "the words The words"]
+    assert packing.encode(texts, path) == [packing._le(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # 2 language
 
 
@@ -230,13 +253,28 @@ def test_shards_are_even_and_gapless(spark, n):
 # 5 join
 
 
-@pytest.mark.parametrize(("size", "percent", "cell"), [(4, 85, 1000), (4, 85, 3), (5, 80, 2), (1, 50, 4)])
+@pytest.mark.parametrize(("size", "percent", "cell"), [(4, 85, 1 << 20), (4, 85, 3000), (5, 80, 1), (1, 50, 4000)])
 def test_join_against_brute_force(spark, size, percent, cell):
     rows = corpus(seed=8)
-    got = ngram_join.similarity_components(frame(spark, rows), size, percent, cell_sets=cell).collect()
+    got = ngram_join.similarity_components(frame(spark, rows), size, percent, cell_bytes=cell).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute.components(rows, size, percent)
 
 
+def test_a_shingle_that_all_sets_share_makes_no_block(spark):
+    """20,000 short sets share one shingle and nothing else; a few are near copies."""
+    text = F.concat(F.lit("the same five words here x"), "id", F.lit(" y"), "id", F.lit(" z"), "id", F.lit(" u"), "id", F.lit(" v"), "id", F.lit(" w"), "id")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    order = ngram_join.frequency_order(docs, 5)
+    shared = int(ngram_join.shingle_set("the same five words here", 5)[0] >> np.uint64(64 - ngram_join.SKETCH_BITS))
+    assert order[shared] == order.max() and (order == order.max()).sum() == 1
+    for t in ("the same five words here x1 y1 z1 u1 v1 w1", "the same five words here x7 y7 z7 u7 v7 w7"):
+        s = ngram_join.shingle_set(t, 5)
+        first = np.argsort(order[ngram_join._bucket(s)], kind="stable")[: ngram_join.prefix_length(len(s), 80)]
+        assert shared not in (s[first] >> np.uint64(64 - ngram_join.SKETCH_BITS)).tolist()
+    got = ngram_join.similarity_components(docs.union(docs.where("doc_id = 5").select(F.lit(30_000), "text")), 5, 80)
+    assert got.where("doc_id <> component_id").select("doc_id", "component_id").collect() == [(30_000, 5)]
+
+
 def test_signature_tree_loses_no_pair():
     rng = random.Random(4)
     for _ in range(30):

@@ -99,6 +99,11 @@ def test_run(spark, folder, stages):
     assert corpus_pipeline.run(spark, folder).count() == stages[-1][1].count()
 
 
+def test_two_runs_do_not_disturb_each_other(spark, folder, stages):
+    first, second = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
+    assert first.count() == second.count() == stages[-1][1].count()
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import decontam, langid, ngram_join, packing, secret_scan
-from rankweave.llm._common import configure, release, stage, table
+from rankweave.llm._common import collected, configure, discard, stage, table
 
 
 def _nested(docs: DataFrame) -> DataFrame:
@@ -29,8 +29,7 @@ def _flat(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told go on; the rest are rejected: texts
     without a letter, and texts whose two nearest codewords are equally near."""
-    configure(spark, staging=True)
-    release(spark, docs)
+    configure(spark)
     model = langid.train(docs)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -40,31 +39,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group under five-word shingles and similarity 0.8 stays."""
-    configure(spark, staging=True)
-    release(spark, docs)
+    configure(spark)
     return ngram_join.one_of_each(docs, size=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every passage that a benchmark window covers is cut from its document."""
-    configure(spark, staging=True)
-    release(spark, docs)
+    configure(spark)
     found = decontam.decontaminate(_nested(docs), table(spark, sf_dir, "benchmark"), ["__row"], clean=True)
     return _flat(found, "clean_text", docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, of the base kinds or owner-specific, is replaced by a mark."""
-    configure(spark, staging=True)
-    release(spark, docs)
+    configure(spark)
     found = secret_scan.scan(_nested(docs), keep=("__row", "text"))
     return _flat(found.select("__row", secret_scan.redact(F.col("text"), F.col("all_spans")).alias("text")), "text", docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places in sequences of 4096 tokens."""
-    configure(spark, staging=True)
-    release(spark, docs)
+    configure(spark)
     return packing.pack(docs, packing.tokenizer_path(), keep_ids=True)
 
 
@@ -80,8 +75,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over all documents of ``sf_dir``.
+
+    What a stage has written goes once its result is written; the tables that the last
+    result reads stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with collected(spark, keep=f"pipeline-{name}"):
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*before)  # the pieces are written
+    return packed

@@ -8,16 +8,17 @@ rank sums, and every ``SAMPLE``-th suffix position. All benchmark windows are se
 backwards at once through wavelet ranks; occurrences are located by walking to a
 sampled position, and their spans are merged.
 
-The benchmark is measured first. It is taken in blocks of at most ``BLOCK_BYTES`` of
-text, one pass over the documents each, so that what is sent to the executors is
-bounded however large it is; an item's windows stay in one block.
+The benchmark's windows are counted first. They are taken in blocks of about
+``BLOCK_WINDOWS``, one pass over the documents each, so that what is built on the driver
+and sent to the executors is bounded however large the benchmark or one of its items is:
+long items are cut into parts that share the words of a window less one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import partial
 from itertools import repeat
 
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import configure, stage, table
+from ._common import configure, discard, stage, table
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
-#: Text of one shard, in bytes; a longer document is a shard of its own.
-SHARD_BYTES = 8 << 20
+#: Windows of one block (about 100 bytes each on a worker) and of one part of an item.
+BLOCK_WINDOWS = 100_000
+PART_WINDOWS = 10_000
+#: Symbols of one index (about 200 bytes each while it is built); longer runs are cut with overlap.
+SHARD_WORDS = 1 << 18
 SAMPLE = 16
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 0x20 for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -48,26 +51,30 @@ class Phrases:
     vocabulary: dict[bytes, int]
     symbols: np.ndarray  # window x WINDOW, right-aligned, 0 before short ones
     lengths: np.ndarray
-    items: list[list] = field(default_factory=list)  # of each window
+    items: list[str]  # distinct ids
+    first: np.ndarray  # of each window, its place in owner
+    owner: np.ndarray  # numbers of items
 
     @classmethod
     def of(cls, items: list[tuple], window: int = WINDOW) -> Phrases:
         vocabulary: dict[bytes, int] = {}
-        known: dict[tuple, int] = {}
-        owners: list[list] = []
+        names: dict[str, int] = {}
+        rows, owners = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for item, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
             n = min(window, len(ids))
-            for i in range(len(ids) - n + 1) if n else ():
-                w = known.setdefault(tuple(ids[i : i + n]), len(known))
-                if w == len(owners):
-                    owners.append([])
-                if not owners[w] or owners[w][-1] != item:
-                    owners[w].append(item)
-        symbols = np.zeros((len(known), window), dtype=np.int64)
-        for w, k in known.items():
-            symbols[k, window - len(w) :] = w
-        return cls(vocabulary, symbols, np.array([len(w) for w in known], dtype=np.int64), owners)
+            if n:
+                own = np.zeros((len(ids) - n + 1, window), dtype=np.int32)
+                own[:, window - n :] = np.lib.stride_tricks.sliding_window_view(ids, n)
+                rows.append(own)
+                owners.append(np.full(len(own), -1 if item is None else names.setdefault(str(item), len(names)), dtype=np.int64))
+        symbols, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), np.concatenate(owners)]), axis=1)
+        pairs = pairs[:, pairs[1] >= 0]
+        return cls(vocabulary, symbols, (symbols > 0).sum(axis=1), list(names), np.searchsorted(pairs[0], np.arange(len(symbols) + 1)), pairs[1].astype(np.int32))
+
+    def owners(self, window: int) -> list[str]:
+        return [self.items[k] for k in self.owner[self.first[window] : self.first[window + 1]].tolist()]
 
 
 class FMIndex:
@@ -142,32 +149,48 @@ class FMIndex:
         return out
 
 
-def occurrences(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[np.ndarray, np.ndarray, set]]:
-    """For each document: merged starts and ends of hit words, and the items."""
-    none = (np.zeros(0, dtype=np.int64),) * 2
-    out: list = [(*none, set()) for _ in docs]
-    if not len(phrases.lengths):
-        return out
-    least, get = int(phrases.lengths.min()), phrases.vocabulary.get
-    parts, owner, place = [], [], []
+def _runs(docs: list[list[bytes]], phrases: Phrases, least: int, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, first word, symbols) of runs of known words, long ones cut with the overlap that windows need."""
+    get = phrases.vocabulary.get
     for d, words in enumerate(docs):
         if len(words) < least:
             continue
-        ids = np.fromiter(map(get, words, repeat(0)), dtype=np.int64, count=len(words))
-        known = np.concatenate([[0], (ids > 0).astype(np.int8), [0]])
-        turn = np.flatnonzero(np.diff(known))
-        for a, b in zip(turn[::2], turn[1::2], strict=True):
-            if b - a >= least:
-                parts.append(np.append(ids[a:b], 0))
-                owner.append(np.full(b - a + 1, d))
-                place.append(np.arange(a, b + 1))
-    if not parts:
-        return out
-    seq, owner, place = np.concatenate(parts), np.concatenate(owner), np.concatenate(place)
+        ids = np.fromiter(map(get, words, repeat(0)), dtype=np.int32, count=len(words))
+        turn = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]])))
+        for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            for at in range(a, max(a + 1, b - most + 1), SHARD_WORDS):
+                if b - at >= least:
+                    yield d, at, ids[at : min(b, at + SHARD_WORDS + most - 1)]
+
+
+def occurrences(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list, set]]:
+    """For each document: merged spans of hit words, and the items."""
+    spans: list[list] = [[] for _ in docs]
+    found: list[set] = [set() for _ in docs]
+    if len(phrases.lengths):
+        least, most = int(phrases.lengths.min()), int(phrases.lengths.max())
+        shard, size = [], 0
+        for run in _runs(docs, phrases, least, most):
+            shard.append(run)
+            size += len(run[2])
+            if size >= SHARD_WORDS:
+                _search(shard, phrases, spans, found)
+                shard, size = [], 0
+        if shard:
+            _search(shard, phrases, spans, found)
+    return [(_union(s), f) for s, f in zip(spans, found, strict=True)]
+
+
+def _search(shard: list[tuple[int, int, np.ndarray]], phrases: Phrases, spans: list[list], found: list[set]) -> None:
+    """Search all windows in the index of a shard's runs; adds to spans and items."""
+    seq = np.concatenate([np.append(ids, 0) for _, _, ids in shard])
+    count = np.array([len(ids) + 1 for _, _, ids in shard])
+    owner = np.repeat([d for d, _, _ in shard], count)
+    place = np.concatenate([np.arange(at, at + len(ids) + 1) for _, at, ids in shard])
     index = FMIndex(seq)
     which, lo, hi = index.search(phrases.symbols, phrases.lengths)
     if not len(which):
-        return out
+        return
     count = hi - lo
     window = np.repeat(which, count)
     rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -175,19 +198,11 @@ def occurrences(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[np.ndar
     step = np.zeros(len(seq) + 1, dtype=np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, at + phrases.lengths[window], -1)
-    hit = np.concatenate([[0], (np.cumsum(step)[: len(seq)] > 0).astype(np.int8), [0]])
-    turn = np.flatnonzero(np.diff(hit))
-    start, end = turn[::2], turn[1::2]
-    pairs = np.unique(np.stack([owner[at], window]), axis=1)
-    spans: dict[int, list] = {}
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        spans.setdefault(int(owner[a]), []).append((int(place[a]), int(place[a]) + b - a))
-    for d, got in spans.items():
-        lines = np.array(got, dtype=np.int64)
-        out[d] = (lines[:, 0], lines[:, 1], set())
-    for d, w in pairs.T.tolist():
-        out[d][2].update(phrases.items[w])
-    return out
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(step)[: len(seq)] > 0).astype(np.int8), [0]])))
+    for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+        spans[owner[a]].append((int(place[a]), int(place[a]) + b - a))
+    for d, w in np.unique(np.stack([owner[at], window]), axis=1).T.tolist():
+        found[d].update(phrases.owners(w))
 
 
 def _union(a: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,17 +227,6 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _shards(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > SHARD_BYTES:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: int, text_at: int, first: bool, clean: bool) -> Iterator[pa.RecordBatch]:
     pairs = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
@@ -230,12 +234,11 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: int, text_a
         n_words, spans, items, cleaned = [], [], [], []
         old = [[] for _ in texts] if first else batch.column(keep + 1).to_pylist()
         was = [[] for _ in texts] if first else batch.column(keep + 2).to_pylist()
-        for a, b in _shards(texts):
-            docs = [words_of(t) for t in texts[a:b]]
-            for k, (start, end, found) in enumerate(occurrences(docs, phrases), a):
-                n_words.append(len(docs[k - a]))
-                spans.append(_union([*map(tuple, old[k]), *zip(start.tolist(), end.tolist(), strict=True)]))
-                items.append(sorted({*was[k], *(str(i) for i in found if i is not None)}))
+        docs = [words_of(t) for t in texts]
+        for k, (got, found) in enumerate(occurrences(docs, phrases)):
+            n_words.append(len(docs[k]))
+            spans.append(_union([*map(tuple, old[k]), *got]) if old[k] else got)
+            items.append(sorted({*was[k], *found}))
         arrays = [*batch.columns[:keep], pa.array(n_words, type=pa.int64()), pa.array([[list(s) for s in x] for x in spans], type=pairs), pa.array(items, type=pa.list_(pa.string()))]
         names = [*batch.schema.names[:keep], "n_words", "spans", "items"]
         if clean:
@@ -244,7 +247,23 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: int, text_a
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], clean: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _parts(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Items as parts of at most ``most`` windows; neighbours share window - 1 words."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text)
+            for k, at in enumerate(range(0, max(1, len(words) - window + 1), most) if words else ()):
+                own = words[at : at + most + window - 1]
+                rows.append((item, k, max(1, len(own) - window + 1), b" ".join(own).decode("utf-8", "surrogatepass")))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["item", "part", "windows", "text"])
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, keep: list[str], clean: bool = True, block_windows: int = BLOCK_WINDOWS, part_windows: int = PART_WINDOWS
+) -> DataFrame:
     """Columns ``keep`` of ``docs`` plus n_words, spans (of word numbers), items and,
     if ``clean``, clean_text without the spans.
 
@@ -252,20 +271,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], clean:
     no item; repeated items count once. An empty benchmark leaves all as it is. Columns
     not in ``keep`` are dropped, so their names can't clash.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
+    parts = stage(benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").mapInArrow(
+        partial(_parts, window=WINDOW, most=part_windows), "item string, part int, windows long, text string"), "decontam-parts")
+    size = parts.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block_windows))
     fields = docs.select(*keep).schema
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     found = "n_words long, spans array<array<long>>, items array<string>"
     at_text, at_keep = len(keep), len(keep) + 1
     now = docs.select(*keep, F.col("text").alias("__text"))
     for b in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        phrases = Phrases.of([(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()])  # about block_bytes
+        own = parts.where(F.pmod(F.xxhash64("item", "part", "text"), F.lit(blocks)) == b)
+        phrases = Phrases.of([(r["item"], r["text"]) for r in own.select("item", "text").distinct().collect()])  # about block_windows
         last = b == blocks - 1
         schema = f"{kept}, __text string, {found}" + (", clean_text string" if clean and last else "")
         now = now.mapInArrow(partial(_scan, phrases=phrases, keep=at_keep, text_at=at_text, first=b == 0, clean=clean and last), schema)
         now = now if last else stage(now, "decontam-block")
+    discard(parts)
     return now.drop("__text")
 
 

@@ -34,7 +34,7 @@ EOS = 1
 #: Chunks between white space whose ids a worker remembers, in each of two generations:
 #: a full one replaces the older, from which chunks in use come back. Longer chunks than
 #: ``CACHE_CHARS`` are encoded each time, so the memory is bounded in bytes too.
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 500_000
 CACHE_CHARS = 40
 #: Chunks that are encoded in one call.
 ASK_CHUNKS = 50_000
@@ -74,13 +74,13 @@ def _le(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _learn(chunks: set[str], tok) -> dict[str, bytes]:
+def _learn(chunks: set[str], tok, remember: int) -> dict[str, bytes]:
     """Ids of chunks that are not in the memory, which keeps as many as it holds.
 
     Letters with marks after them are two pre-tokens, so the ids of the letters come
     from the memory too.
     """
-    if len(_cache) + len(chunks) > CACHE_CHUNKS:
+    if len(_cache) + len(chunks) > remember:
         _older.clear()
         _older.update(_cache)
         _cache.clear()
@@ -106,7 +106,7 @@ def _learn(chunks: set[str], tok) -> dict[str, bytes]:
     for c, base, marks in parts:
         ids[c] = ids[base] + ids[marks]
     short = (x for x in ids.items() if len(x[0]) <= CACHE_CHARS)
-    _cache.update(islice(short, max(0, CACHE_CHUNKS - len(_cache))))
+    _cache.update(islice(short, max(0, remember - len(_cache))))
     return ids
 
 
@@ -121,7 +121,7 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, remember: int | None = None) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
     Where the tokenizer never joins text across white space, the ids of a text are
@@ -141,7 +141,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             # the text's own ids: the memory may be too small for all of them
             own = set(chunks)
             ids = {c: i for c in own if (i := _cache.get(c)) is not None}
-            ids |= _learn(own.difference(ids), tok)
+            ids |= _learn(own.difference(ids), tok, remember or CACHE_CHUNKS)
             out.append(b"".join(map(ids.__getitem__, chunks)))
     return out
 
@@ -149,12 +149,12 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, max_len: int, eos: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, max_len: int, eos: int, keep_ids: bool, remember: int | None) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     seen = np.zeros(max_len + 1, dtype=np.int64).tolist()
     tail, width = _le([eos]), 4 * max_len
     for batch in batches:
-        ids = encode([x or "" for x in batch.column(1).to_pylist()], path)
+        ids = encode([x or "" for x in batch.column(1).to_pylist()], path, remember)
         cols: list[list] = [[] for _ in range(8)]
         for doc, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
             raw += tail
@@ -233,16 +233,20 @@ def _slots(batches: Iterator[pa.RecordBatch], keys: np.ndarray, per: np.ndarray,
         )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, eos: int = EOS, keep_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, eos: int = EOS, keep_ids: bool = True, remember: int | None = None
+) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text; further columns are ignored) with their places.
 
+    remember: chunks whose ids a worker keeps (twice at most); the result does not depend on it.
+
     Null text is empty text, which still has the closing id. Repeated rows are packed
     each for itself; an empty table gives an empty result.
     """
     kept = ", ids array<int>" if keep_ids else ""
     pieces = stage(
         docs.select("doc_id", "text").mapInArrow(
-            partial(_pieces, path=tokenizer_path, max_len=max_len, eos=eos, keep_ids=keep_ids), PIECES + kept
+            partial(_pieces, path=tokenizer_path, max_len=max_len, eos=eos, keep_ids=keep_ids, remember=remember), PIECES + kept
         ),
         "pack-pieces",
     )

@@ -14,6 +14,10 @@ from rankweave.llm import decontam, langid, ngram_join, packing, secret_scan
 from rankweave.llm._common import collected, configure, discard, stage, table
 
 
+#: Workers that have run other stages have less room for the ids of chunks.
+REMEMBERED_CHUNKS = 100_000
+
+
 def _nested(docs: DataFrame) -> DataFrame:
     """The columns that stages read, and all others in ``__row``, where their names can't clash."""
     return docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("__row"))
@@ -60,7 +64,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places in sequences of 4096 tokens."""
     configure(spark)
-    return packing.pack(docs, packing.tokenizer_path(), keep_ids=True)
+    return packing.pack(docs, packing.tokenizer_path(), keep_ids=True, remember=REMEMBERED_CHUNKS)
 
 
 STAGES = [

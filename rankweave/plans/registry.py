@@ -464,6 +464,73 @@ def page_papers(spark, sf_dir):
     return got.select("page_id", "adapter", "title", F.col("venue_candidate").alias("venue"), "year", F.col("source_truncated").alias("truncated"))
 
 
+# 2.3 adapters: pages made of part rows; every fourth breaks the rule of its site
+
+
+def _pages_of(name: str, ops: str, url: str, html: str, adapter: str, venue: str, where: str = "p_partkey % 4 <> 0", cut: str = "false", title: str = "p_name") -> None:
+    """Register an adapter's query; texts are SQL that Spark and DuckDB share."""
+
+    def read(spark, sf_dir):
+        made = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.expr(url).alias("url"), F.expr(html).alias("html"))
+        return pages.extract_papers(made).select("page_id", "adapter", "title", F.col("venue_candidate").alias("venue"), F.col("source_truncated").alias("truncated"))
+
+    read.__name__, read.__doc__ = name, ops
+    query(f"SELECT p_partkey AS page_id, '{adapter}' AS adapter, {title} AS title, {venue} AS venue, {cut} AS truncated FROM part WHERE {where}")(read)
+
+
+_ODD = "CASE WHEN p_partkey % 4 = 0 THEN {} ELSE {} END"
+_META = """concat('<meta name="citation_title" content="', p_name, '"><meta name="citation_', {kind}, '_title" content="', {venue}, '"><h2>', {heading}, '</h2>')"""
+
+
+def _meta(venue: str, kind: str = "'conference'", heading: str = "p_name") -> str:
+    return _META.format(venue=venue, kind=kind, heading=heading)
+
+
+_pages_of("cnki_rows", "X1", "'https://kns.example.org/'", f"""concat('<table class="result-table-list"><tbody><tr id="r"><td class="name"><a href="/a">', p_name, '</a></td><td class="source">',
+  {_ODD.format("''", "concat('来源：', p_brand, ' 学报', CASE WHEN p_size % 5 = 0 THEN '…' ELSE '' END)")}, '</td><td class="date">2024-05-01</td></tr></tbody></table>')""",
+          "知网兼容页面", "concat(p_brand, ' 学报', CASE WHEN p_size % 5 = 0 THEN '…' ELSE '' END)", cut="p_size % 5 = 0")
+_pages_of("cnki_details", "X2", "'https://kns.example.org/d'", f"""concat('<div class="', {_ODD.format("'other'", "'wx-tit'")}, '"><h1>', p_name, '</h1></div><div class="top-tip"><a>刊名: ', p_brand, '</a></div>')""",
+          "知网兼容页面", "p_brand")
+_pages_of("scholar_pro_cards", "X5", "'https://www.googlescholar.pro/s'", f"""concat('<div class="search-results"><div class="card"><div class="card-body"><div class="card-main-content"><h5 class="card-title"><a href="x">[PDF] ', p_name,
+  '</a></h5><p class="card-meta">A - ', p_brand, {_ODD.format("''", "', 2021'")}, ' - P</p></div></div></div></div>')""", "GoogleScholar.pro", "p_brand")
+_pages_of("pubmed_rows", "X6", "'https://pubmed.ncbi.nlm.nih.gov/'", f"""concat('<article class="full-docsum"><div class="docsum-content"><a class="docsum-title" href="/', {_ODD.format("'x'", "CAST(p_partkey AS STRING)")}, '/">', p_name,
+  '</a><span class="full-journal-citation">', p_brand, '. 2020 May;1.</span></div></article>')""", "PubMed", "p_brand")
+_pages_of("jmlr_volumes", "X8", "concat('https://jmlr.org/papers/v', CAST(p_size AS STRING), '/')", f"""concat('<div id="content"><h1>JMLR Volume ', CAST(p_size AS STRING), '</h1><dl><dt>', p_name, '</dt><dd><a href="/papers/v',
+  CAST({_ODD.format("p_size + 1", "p_size")} AS STRING), '/a.html">abs</a></dd></dl></div>')""", "JMLR", "'Journal of Machine Learning Research'")
+_pages_of("dblp_entries", "X9", "'https://dblp.org/pid/1.html'", f"""concat('<ul><li class="entry article" id="journals/eswa/X"><cite class="data"><span class="title">', p_name, '</span><a href="/db/journals/', {_ODD.format("'other'", "'eswa'")},
+  '/v1.html"><span itemprop="isPartOf" itemtype="http://schema.org/Periodical"><span itemprop="name">', {"CASE WHEN p_size % 2 = 0 THEN 'Expert Syst. Appl.' ELSE p_brand END"}, '</span></span></a></cite></li></ul>')""",
+          "DBLP", "CASE WHEN p_size % 2 = 0 THEN 'Expert Systems with Applications' ELSE p_brand END")
+_pages_of("pmlr_volumes", "X10, X17, N15", "concat('https://proceedings.mlr.press/v', CAST(p_size AS STRING), '/')", f"""concat('<div class="paper"><p class="title">', p_name, '</p><p class="details"><span class="info"><i>',
+  CASE WHEN p_size % 3 = 0 THEN 'Proceedings of the 12th International Conference on Machine Learning' ELSE concat(p_brand, '…') END, '</i></span></p><p class="links"><a href="/v', CAST({_ODD.format("p_size + 1", "p_size")} AS STRING), '/a.html">abs</a></p></div>')""",
+          "PMLR", "CASE WHEN p_size % 3 = 0 THEN 'International Conference on Machine Learning' ELSE concat(p_brand, '…') END", cut="p_size % 3 <> 0")
+_pages_of("cvf_lists", "X11, X17", "'https://openaccess.thecvf.com/ICCV2023'", f"""concat('<dl><dt class="ptitle"><a href="/content/ICCV2023', {_ODD.format("'W'", "''")}, '/html/A_paper.html">', p_name, '</a></dt></dl>')""",
+          "CVF Open Access", f"'{citations.CVF_VENUES['ICCV']}'")
+_pages_of("neurips_lists", "X12, X17, N16", "'https://papers.nips.cc/paper/2019'", f"""concat('<h1 class="book-title">Advances in Neural Information Processing Systems 32</h1><ul><li><a title="paper title" href="/paper/',
+  {_ODD.format("'2018'", "'2019'")}, '/hash/', repeat('0a', 16), '-Abstract.html">', p_name, '</a></li></ul>')""", "NeurIPS Proceedings", f"'{citations.NEURIPS_VENUE}'")
+_pages_of("usenix_sessions", "X13, X17", "'https://www.usenix.org/conference/fast23/technical-sessions'", f"""concat('<div class="node-paper"><h2><a href="/conference/fast23/presentation/', {_ODD.format("'keynote'", "'p'")}, '-1">', p_name,
+  '</a></h2><span class="usenix-schedule-media pdf"></span></div>')""", "USENIX", f"'{citations.USENIX_VENUES['fast']}'")
+_pages_of("citation_details", "X14, J18", "'https://papers.example.org/1'", _meta("concat(p_brand, CASE WHEN p_size % 5 = 0 THEN ' … x' ELSE '' END)", "'journal'", _ODD.format("'Other'", "p_name")),
+          "论文元数据", "concat(p_brand, CASE WHEN p_size % 5 = 0 THEN ' … x' ELSE '' END)", cut="p_size % 5 = 0")
+_pages_of("cvf_details", "X15", "'https://openaccess.thecvf.com/content/WACV2022/html/A_paper.html'", _meta(_ODD.format("'Winter Workshop'", "'IEEE/CVF Winter Conference on Applications of Computer Vision'")),
+          "CVF Open Access", f"'{citations.CVF_VENUES['WACV']}'")
+_pages_of("usenix_details", "X15, N26", "'https://www.usenix.org/conference/nsdi22/presentation/a'", _META.format(
+    kind="'conference'", venue=f"concat('19th {citations.USENIX_VENUES['nsdi']} (NSDI ', {_ODD.format(chr(39) + '21' + chr(39), chr(39) + '22' + chr(39))}, ')')", heading="p_name").replace("'\"><meta name", "'{}\"><meta name", 1),
+          "USENIX", f"'{citations.USENIX_VENUES['nsdi']}'")
+
+
+@query("""SELECT p_partkey AS page_id, adapter, p_name AS title, venue FROM part, (VALUES ('Scholar 兼容页面', 0), ('DBLP', 1)) a(adapter, k),
+  LATERAL (SELECT CASE k WHEN 0 THEN p_brand ELSE p_type END AS venue) v""")
+def mixed_pages(spark, sf_dir):
+    """Rows of several adapters from one page; metadata is not read where rows are found."""
+    p = _t(spark, sf_dir, "part")
+    card = F.expr("""concat('<meta name="citation_title" content="x"><meta name="citation_journal_title" content="y"><h1>x</h1><div class="gs_r gs_or gs_scl"><div class="gs_ri"><h3 class="gs_rt">', p_name, '</h3><div class="gs_a">A - ', p_brand,
+      ', 2001 - P</div></div></div>')""")
+    entry = F.expr("""concat('<ul><li class="entry article" id="journals/k/X"><cite class="data"><span class="title">', p_name, '</span><a href="/db/journals/k/v1.html"><span itemprop="isPartOf" itemtype="http://schema.org/Periodical"><span itemprop="name">',
+      p_type, '</span></span></a></cite></li></ul>')""")
+    made = p.select(F.col("p_partkey").alias("page_id"), F.lit("https://dblp.org/x").alias("url"), F.concat(card, entry).alias("html"))
+    return pages.extract_papers(made).select("page_id", "adapter", "title", F.col("venue_candidate").alias("venue"))
+
+
 # 2.10 presentation
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import reach
 from ..functions.text import acronym_of_name, and_variant, compact, issn_key, loose_name, nfkc, optional_set, ordered_set, venue_name
 from ..schema import DEFAULT_SCHOOL, LABEL, SCHOOL, STRINGS, VENUE
 from .matching import VenueIndex, cross_type, signature
@@ -166,40 +168,59 @@ def core_venues(first: DataFrame, second: DataFrame) -> DataFrame:
     return derived_rank(merged.unionByName(new.select(*merged.columns)))
 
 
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Who owns each addition, in order: an owner of its name or id, from the base or from before, or itself."""
+    named: dict[tuple, set] = {}
+    by_id: dict[tuple, set] = {}
+    out = []
+    for pos, kind, ident, own, names, base in rows.sort_values("pos").itertuples(index=False):
+        hits = {(i, -1) for i in (base if base is not None else ())} | named.get((kind, own), set()) | by_id.get((kind, ident), set())
+        owner = min(hits) if hits else (ident, pos)
+        if not hits:
+            by_id.setdefault((kind, ident), set()).add(owner)
+        for k in {own, *names}:
+            named.setdefault((kind, k), set()).add(owner)
+        out.append((pos, owner[0], owner[1], len(hits) > 1))
+    return pd.DataFrame(out, columns=["pos", "owner", "owner_pos", "clash"])
+
+
+def _school_owners(base: DataFrame, additions: DataFrame) -> DataFrame:
+    """(pos, owner, owner_pos, clash) of each addition; owner_pos is -1 for base venues, else the addition's place.
+
+    Each addition depends on those before it, so the few columns that decide (names and
+    ids, with the base venues they hit) are read in order by one task; a catalog has at
+    most 30,000 rows by the format's rule.
+    """
+    names = F.transform(F.concat(F.array("canonical_name"), _list("aliases")), venue_name)
+    adds = additions.select("pos", "type", "id", venue_name("canonical_name").alias("own"), F.array_distinct(names).alias("names"))
+    by_name = adds.select("pos", "type", F.col("own").alias("k")).join(base.select("id", "type", F.explode(names).alias("k")), ["type", "k"]).select("pos", F.col("id").alias("venue_id"))
+    by_id = adds.select("pos", "id", "type").join(base.select("id", "type"), ["id", "type"]).select("pos", F.col("id").alias("venue_id"))
+    hits = by_name.unionByName(by_id).groupBy("pos").agg(F.collect_set("venue_id").alias("base"))
+    rows = adds.join(hits, "pos", "left").select("pos", "type", "id", "own", "names", "base")
+    return rows.groupBy().applyInPandas(_in_order, "pos int, owner string, owner_pos int, clash boolean")
+
+
 def add_school_data(base: DataFrame, additions: DataFrame) -> DataFrame:
     """School ranks to the venue of the same type with the same id or name; else appended.
 
-    Additions that share a name with one another see each other's effect, so those few
-    are applied one wave after the other, in order.
+    An addition sees what those before it have added: names they gave to a venue, and
+    venues they appended. All are resolved first and then folded into their owners at once.
     """
-    keys = additions.select("pos", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), _list("aliases")), venue_name))).alias("k"), "type")
-    rank = F.dense_rank().over(Window.partitionBy("type", "k").orderBy("pos"))
-    waves = keys.withColumn("wave", rank).groupBy("pos").agg(F.max("wave").alias("wave"))
-    out = base
-    for wave in range(1, (waves.agg(F.max("wave").alias("m")).first()["m"] or 0) + 1):
-        out = _add_wave(out, additions.join(waves.where(F.col("wave") == wave).select("pos"), "pos"))
-    return out
-
-
-def _add_wave(base: DataFrame, add: DataFrame) -> DataFrame:
-    names = base.select("id", "type", F.explode(F.transform(F.concat(F.array("canonical_name"), _list("aliases")), venue_name)).alias("k"))
-    by_name = add.select("pos", "type", venue_name("canonical_name").alias("k"), "canonical_name").join(names, ["type", "k"]).select("pos", F.col("id").alias("venue_id"))
-    by_id = add.select("pos", "id", "type").join(base.select("id", "type"), ["id", "type"]).select("pos", F.col("id").alias("venue_id"))
-    hits = by_name.unionByName(by_id).distinct().groupBy("pos").agg(F.count("*").alias("n"), F.min("venue_id").alias("venue_id"))
-    clash = hits.where("n > 1").join(add, "pos").orderBy("pos").limit(1).collect()
+    reach(base.sparkSession)
+    told = additions.join(_school_owners(base, additions), "pos")
+    clash = told.where("clash").orderBy("pos").limit(1).collect()
     if clash:
         raise ValueError(f"内置学校目录名称冲突：{clash[0]['canonical_name']}")
-    told = add.join(hits, "pos", "left")
     lists = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), c.alias("v")))), lambda x: x["v"]))
-    gained = told.where("venue_id is not null").groupBy(F.col("venue_id").alias("id")).agg(
+    gained = told.where("owner_pos <> pos").groupBy("owner", "owner_pos").agg(
         lists(F.concat(F.array("canonical_name"), _list("aliases"))).alias("u_aliases"), lists(venue_schools()).alias("u_schools"))
-    j = base.join(gained, "id", "left")
-    hit = F.col("u_aliases").isNotNull()
-    new = {"aliases": F.array_distinct(F.concat(_list("aliases"), _list("u_aliases"))), "schools": merge_schools(F.concat(venue_schools(), F.col("u_schools")))}
-    merged = j.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in VENUE.names])
     behind = base.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("m"))
-    more = told.where("venue_id is null").crossJoin(F.broadcast(behind)).withColumn("pos", F.col("pos") + F.col("m") + 1).withColumn("schools", venue_schools())
-    return merged.unionByName(more.select(*VENUE.names))
+    new = told.where("owner_pos = pos").withColumn("schools", venue_schools()).crossJoin(F.broadcast(behind)).withColumn("pos", F.col("pos") + F.col("m") + 1)
+    every = base.withColumn("owner", F.col("id")).withColumn("owner_pos", F.lit(-1)).unionByName(new.select(*VENUE.names, "owner", "owner_pos"))
+    j = every.join(gained, ["owner", "owner_pos"], "left")
+    hit = F.col("u_aliases").isNotNull()
+    merged = {"aliases": F.array_distinct(F.concat(_list("aliases"), _list("u_aliases"))), "schools": merge_schools(F.concat(venue_schools(), F.col("u_schools")))}
+    return j.select(*[F.when(hit, merged[c]).otherwise(F.col(c)).alias(c) if c in merged else F.col(c) for c in VENUE.names])
 
 
 def rename_or_truncation(a: Column, b: Column) -> Column:
@@ -247,29 +268,54 @@ def resolve_management(source: DataFrame, target: DataFrame, known: Iterable[tup
     return j.select("pos", "by_name", "by_issn", outcome.alias("outcome"), F.coalesce("by_name", "by_issn").alias("venue_id"))
 
 
+def _fold_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of folds in order: each record that goes, the record that has it in the end, and its place there.
+
+    At most one row a source row, which a catalog has 30,000 of by the format's rule.
+    """
+    holds: dict[str, list[str]] = {}
+    into: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while x in into:
+            x = into[x]
+        return x
+
+    for _, owner, gone in rows.sort_values("pos").itertuples(index=False):
+        a, b = find(owner), find(gone)
+        if a != b:
+            into[b] = a
+            holds.setdefault(a, []).extend([b, *holds.pop(b, [])])
+    return pd.DataFrame([(g, a, k) for a, own in holds.items() for k, g in enumerate(own)], columns=["gone", "owner", "nth"])
+
+
 def merge_management(source: DataFrame, target: DataFrame, known: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
     """Management labels, names and ISSNs of ``source`` into ``target``.
 
-    Rows that consolidate two target records fold the ISSN owner into the name owner.
-    Raises on the first row whose resolution is an error.
+    Rows that consolidate two target records fold the ISSN owner, with all it has taken
+    in before, into the name owner, one row after the other. Raises on the first row whose resolution is an error.
     """
     told = resolve_management(source, target, known)
     bad = told.where("outcome = 'error'").join(source, "pos").orderBy("pos").limit(1).collect()
     if bad:
         raise ValueError(f"FMS 记录“{bad[0]['canonical_name']}”的名称与 ISSN 指向不同记录。")
-    folds = told.where("outcome = 'consolidate'").select(F.col("by_name").alias("id"), F.col("by_issn").alias("gone"))
-    second = target.select(*[F.col(c).alias(f"s_{c}") for c in VENUE.names])
-    j = target.join(folds.select(F.col("gone").alias("id")).distinct(), "id", "left_anti").join(
-        folds.groupBy("id").agg(F.min("gone").alias("gone")), "id", "left").join(second.withColumnRenamed("s_id", "gone"), "gone", "left")
-    has = F.col("gone").isNotNull()
-    keep = lambda c: F.coalesce(c, f"s_{c}")
+    folds = told.where("outcome = 'consolidate'").select("pos", F.col("by_name").alias("owner"), F.col("by_issn").alias("gone"))
+    folds = folds.groupBy().applyInPandas(_fold_order, "gone string, owner string, nth int")
+    lists = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c.alias("v")))), lambda x: x["v"]))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("nth")))
     labels = lambda c: F.coalesce(c, F.array().cast(VENUE["labels"].dataType))
+    single = ("dblp_key", "ccf", "cas", "impact_factor", "school")
+    absorbed = target.join(folds, F.col("id") == F.col("gone")).groupBy(F.col("owner").alias("id")).agg(
+        lists(F.concat(F.array("canonical_name"), _list("aliases"))).alias("s_aliases"), lists(_list("acronyms")).alias("s_acronyms"), lists(_list("issn")).alias("s_issn"),
+        lists(labels("labels")).alias("s_labels"), *[first(c).alias(f"s_{c}") for c in single])
+    j = target.join(folds.select(F.col("gone").alias("id")), "id", "left_anti").join(absorbed, "id", "left")
+    has = F.col("s_aliases").isNotNull()
     folded = {
-        "aliases": ordered_set(F.concat(_list("aliases"), F.array("s_canonical_name"), _list("s_aliases"))),
-        "acronyms": optional_set(F.concat(_list("acronyms"), _list("s_acronyms"))), "issn": optional_set(F.concat(_list("issn"), _list("s_issn"))),
-        **{c: keep(c) for c in ("dblp_key", "ccf", "cas", "impact_factor", "school")}, "labels": label_set(F.concat(labels("labels"), labels("s_labels"))),
+        "aliases": ordered_set(F.concat(_list("aliases"), "s_aliases")), "acronyms": optional_set(F.concat(_list("acronyms"), "s_acronyms")),
+        "issn": optional_set(F.concat(_list("issn"), "s_issn")), **{c: F.coalesce(c, f"s_{c}") for c in single}, "labels": label_set(F.concat(labels("labels"), "s_labels")),
     }
     base = j.select(*[F.when(has, folded[c]).otherwise(F.col(c)).alias(c) if c in folded else F.col(c) for c in VENUE.names])
+    told = told.join(folds.select(F.col("gone").alias("venue_id"), "owner"), "venue_id", "left").withColumn("venue_id", F.coalesce("owner", "venue_id"))
     named = F.array(F.struct(venue_name("canonical_name").alias("k"), F.col("canonical_name").alias("n")))
     others = F.transform(_list("aliases"), lambda a: F.struct(F.lit(None).cast("string").alias("k"), a.alias("n")))
     rows = source.join(told.select("pos", "venue_id", "outcome"), "pos").withColumn("__names", F.concat(named, others))

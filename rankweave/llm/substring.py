@@ -8,15 +8,18 @@ their matches:
 1. Every window has an anchor, the least hash among its ``ANCHOR``-word runs. Equal
    windows have equal anchors. One aggregation finds the anchors of two documents or
    more; its least document is the anchor's hub.
-2. The passages around shared anchors go to the hub's shard. There the documents come
-   in order of their ids. Each is streamed through the shard's suffix automaton;
-   matching statistics of ``WINDOW`` words or more mark its windows as seen, and then
-   its unseen passages are added to the automaton. So a shard holds each passage once.
-3. An anchor that more than ``HOT`` rows share is not gathered in a shard: its windows
-   are compared by their own hashes in an aggregation with map-side combining and a
-   join that adaptive execution can split. This is exact too.
-
-Spans are then merged and removed from the texts.
+2. The passages around shared anchors go to the shard of the hub's section that the
+   anchor lies in, so no shard has more than ``SECTION`` anchors. An anchor of more than
+   ``SHARD_ROWS`` rows has as many sub-shards as that takes, and its windows are dealt
+   among them one by one by their hash; equal windows still meet.
+3. In every shard equal passages are one, with their least document: an aggregation with
+   map-side combining, so a passage that very many documents share is not gathered. The
+   passages are streamed, by least document, through the shard's suffix automaton;
+   matching statistics of ``WINDOW`` words or more mark their windows as seen, and then
+   the unseen parts are added. Other documents with the same passage lose all of it.
+
+Hashes only route; passages and windows are compared by their words. Spans are then
+merged and removed from the texts.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from ._words import runs, window_hashes, word_hashes
 
 WINDOW = 13
 ANCHOR = 5
-HOT = 300
+#: Anchors of one shard, and rows of one anchor there; together they bound a shard's automaton.
+SECTION = 128
+SHARD_ROWS = 300
 #: A run of windows with one anchor is first window * _RUN + windows, in one number.
 _RUN = 64
 
@@ -73,32 +78,36 @@ def _emit(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterat
         )
 
 
-PASSAGES = "hub long, doc_id long, th long, first int, words binary, whash long"
+SHARD = ("hub", "section", "sub")
+PASSAGES = "hub long, section int, sub int, doc_id long, th long, first int, n int, words binary"
 
 
 def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Passages for shards (hub set), and windows of hot anchors (whash set)."""
+    """Passages for shards; of an anchor with several sub-shards, its single windows."""
+    names = [x.split()[0] for x in PASSAGES.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         rows: list[tuple] = []
         for doc, th, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")), strict=True):
             raw = _raw(text)
             words, hashes = raw.split(), None
-            by_hub: dict[int, np.ndarray] = {}
+            masks: dict[tuple, np.ndarray] = {}
             for p in places:
-                hub, (first, n) = p["hub"], divmod(p["place"], _RUN)
-                if hub is None:
+                first, n = divmod(p["place"], _RUN)
+                if p["subs"] > 1:
                     if hashes is None:
-                        hashes = window_hashes(word_hashes(raw), window).view(np.int64)
-                    rows += [(None, doc, th, k, None, int(hashes[k])) for k in range(first, first + n)]
+                        hashes = window_hashes(word_hashes(raw), window)
+                    rows += [(p["hub"], p["section"], 1 + int(hashes[k]) % p["subs"], doc, th, k, window, b" ".join(words[k : k + window])) for k in range(first, first + n)]
                 else:
-                    mask = by_hub.setdefault(hub, np.zeros(len(words), dtype=bool))
-                    mask[first : first + n + window - 1] = True
-            for hub, mask in by_hub.items():
-                for a, b in zip(*runs(mask), strict=True):
-                    rows.append((hub, doc, th, int(a), b" ".join(words[a:b]), None))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PASSAGES.split(", ")])
+                    at = (p["hub"], p["section"])
+                    if at not in masks:
+                        masks[at] = np.zeros(len(words), dtype=bool)
+                    masks[at][first : first + n + window - 1] = True
+            for (hub, section), mask in masks.items():
+                rows += [(hub, section, 0, doc, th, int(a), int(b - a), b" ".join(words[a:b])) for a, b in zip(*runs(mask), strict=True)]
+            del masks
+        cols = list(zip(*rows, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 class SuffixAutomaton:
@@ -158,29 +167,28 @@ class SuffixAutomaton:
 
 
 def _stream(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hub and doc_id; gives the spans of words to remove."""
-    hub = doc = None
+    """Distinct passages sorted by shard and least document; gives the spans of their words to remove."""
+    shard = doc = None
     automaton, waiting = SuffixAutomaton(), []
     for batch in batches:
         out: list[tuple] = []
-        for h, d, th, first, packed in zip(*(batch.column(c).to_pylist() for c in ("hub", "doc_id", "th", "first", "words")), strict=True):
-            if h != hub:
-                hub, doc, automaton, waiting = h, d, SuffixAutomaton(), []
+        for *at, d, wid, packed in zip(*(batch.column(c).to_pylist() for c in (*SHARD, "least", "wid", "words")), strict=True):
+            if at != shard:
+                shard, doc, automaton, waiting = at, d, SuffixAutomaton(), []
             elif d != doc:
                 for w in waiting:
                     automaton.add(w)
                 doc, waiting = d, []
             words = packed.split()
             seen = np.array(automaton.statistics(words)) >= window
-            for a, b in zip(*runs(seen), strict=True):
-                out.append((d, th, first + int(a) - window + 1, first + int(b)))
+            out += [(wid, int(a) - window + 1, int(b)) for a, b in zip(*runs(seen), strict=True)]
             fresh = ~seen
             fresh[: window - 1] = False
             for a, b in zip(*runs(fresh), strict=True):
                 waiting.append(words[a - window + 1 : b])
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "th", "start", "stop"])
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["wid", "start", "stop"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -202,7 +210,7 @@ def _remove(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=False)], names=names)
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, keep_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_rows: int = SHARD_ROWS, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of ``docs``.
 
     Null texts have no words. Rows without a doc_id lose nothing and are no reference.
@@ -214,28 +222,39 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     rows = stage(own.where("doc_id is not null and text is not null").mapInArrow(
         partial(_emit, window=window, anchor=anchor), "key long, doc_id long, th long, place long"), "substring-anchors")
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), F.count("*").alias("m")).where("hub < other")
-    shared = stage(shared.select("key", F.when(F.col("m") <= hot, F.col("hub")).alias("hub")), "substring-shared")
-    places = stage(rows.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hub", "place")).alias("places")), "substring-places")
+    shared = rows.groupBy("key").agg(
+        F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), F.min_by("place", "doc_id").alias("at"), F.count("*").alias("m")).where("hub < other")
+    section, subs = F.floor(F.col("at") / (_RUN * SECTION)).cast("int"), F.ceil(F.col("m") / shard_rows).cast("int")
+    shared = stage(shared.select("key", "hub", section.alias("section"), subs.alias("subs")), "substring-shared")
+    places = stage(rows.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hub", "section", "subs", "place")).alias("places")), "substring-places")
     discard(rows, shared)
     found = stage(own.join(places, ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(partial(_passages, window=window), PASSAGES), "substring-passages")
     discard(places)
+    distinct = stage(found.groupBy(*SHARD, "words").agg(F.min("doc_id").alias("least")).withColumn("wid", F.monotonically_increasing_id()), "substring-distinct")
     streamed = (
-        found.where("hub is not null").select("hub", "doc_id", "th", "first", "words")
-        .repartition("hub").sortWithinPartitions("hub", "doc_id", "first")
-        .mapInArrow(partial(_stream, window=window), "doc_id long, th long, start int, stop int")
+        distinct.repartition(*SHARD).sortWithinPartitions(*SHARD, "least")
+        .mapInArrow(partial(_stream, window=window), "wid long, start int, stop int")
+        .groupBy("wid").agg(F.collect_list(F.struct("start", "stop")).alias("seen"))
     )
-    windows = found.where("whash is not null").select("whash", "doc_id", "th", "first")
-    least = stage(windows.groupBy("whash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last"), "substring-least")
-    hot_spans = windows.join(least, "whash").where("least < doc_id").select("doc_id", "th", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    spans = stage(streamed.unionByName(hot_spans).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "substring-spans")
-    discard(found, least)
+    whose = stage(found.join(distinct, [*SHARD, "words"]).select("doc_id", "th", "first", "n", "least", "wid"), "substring-whose")
+    discard(found)
+    later = F.col("doc_id") > F.col("least")
+    whole = F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop")))
+    part = F.transform("seen", lambda s: F.struct((F.col("first") + s["start"]).alias("start"), (F.col("first") + s["stop"]).alias("stop")))
+    gone = whose.where(later).select("doc_id", "th", whole.alias("gone")).unionByName(whose.where(~later).join(streamed, "wid").select("doc_id", "th", part.alias("gone")))
+    spans = stage(gone.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("gone")).alias("spans")), "substring-spans")
+    discard(distinct, whose)
     kept = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return kept.mapInArrow(partial(_remove, keep_text=keep_text), schema)
 
 
 def op3_suffix_automata(spark, sf_dir):
+    """Words of all documents without those of windows that a document of a smaller id has too.
+
+    Null texts have no words; a null doc_id loses nothing; ties and repeated rows of one
+    id are no reference for each other.
+    """
     configure(spark)
     return deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
 

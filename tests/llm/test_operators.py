@@ -199,10 +199,11 @@ def test_language_id_without_labels(spark):
 # 3 substring
 
 
-@pytest.mark.parametrize("hot", [1, 3, 300])
-def test_substring_dedup_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("most", "section"), [(1, 128), (3, 4), (300, 128), (300, 1)])
+def test_substring_dedup_against_brute_force(spark, monkeypatch, most, section):
+    monkeypatch.setattr(substring, "SECTION", section)
     rows = corpus()
-    got = substring.deduplicate(frame(spark, rows), hot=hot).collect()
+    got = substring.deduplicate(frame(spark, rows), shard_rows=most).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.dedup(rows)
     assert sum(r.n_removed for r in got) > 0
 

@@ -109,12 +109,17 @@ def merge_catalogs(user: DataFrame, base: DataFrame) -> DataFrame:
     return merged.unionByName(new.select(*merged.columns))
 
 
+def new_conflicts(records: DataFrame, bundled: DataFrame) -> DataFrame:
+    """(namespace, key, ids, all_types_differ) of conflicts that ``bundled`` does not have alike."""
+    known = VenueIndex(bundled, checked=False).conflicts().select(signature().alias("sig"))
+    index = VenueIndex(records, checked=False)
+    return cross_type(index.conflicts(), records).withColumn("sig", signature()).join(known, "sig", "left_anti").drop("sig")
+
+
 def activate(user: DataFrame, base: DataFrame, bundled: DataFrame | None = None) -> DataFrame:
     """The merged dimension, or an error on the first new conflict within one type."""
     records = merge_catalogs(user, base)
-    index = VenueIndex(records)
-    known = VenueIndex(base if bundled is None else bundled, checked=False).conflicts().select(signature().alias("sig"))
-    new = cross_type(index.conflicts(), records).where("not all_types_differ").withColumn("sig", signature()).join(known, "sig", "left_anti")
+    new = new_conflicts(records, base if bundled is None else bundled).where("not all_types_differ")
     first = new.orderBy("namespace", "key").limit(1).collect()
     if first:
         raise ValueError(f"目录别名冲突“{first[0]['key']}”：{' / '.join(first[0]['ids'])}")
@@ -378,9 +383,14 @@ def collisions(names: DataFrame, venues: DataFrame) -> DataFrame:
     return n.join(owned, (n["k"] == owned["k"]) & (n["venue_id"] != owned["id"]), "left_anti").drop("k")
 
 
+def counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of a column."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
 def expect_counts(df: DataFrame, column: str, expected: dict[str, int]) -> None:
     """Raise unless the counts of ``column`` are those expected."""
-    got = {r[column]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}
+    got = {r["value"]: r["n"] for r in counts(df, column).where(F.col("value").isin(list(expected))).collect()}  # a row an expected value
     for value, n in expected.items():
         if got.get(value, 0) != n:
             raise ValueError(f"{column} {value}: expected {n} rows, found {got.get(value, 0)}")

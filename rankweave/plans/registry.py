@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, text, urls
 from ..operators import badges, matching, merging
 from ..schema import DEFAULT_SCHOOL, STRINGS, VENUE
-from ..sources import catalog, pages
+from ..sources import catalog, distribution, pages
 from ..streaming import pages as streaming
 
 _QUERIES: dict = {}
@@ -208,30 +210,36 @@ def cross_conflicts(spark, sf_dir):
     return got.select("key", F.size("ids").cast("long").alias("n"))
 
 
-@query("""SELECT 'duplicate' AS what, count(*) AS n FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)
-UNION ALL SELECT 'cross-type', count(*) FROM (SELECT 1 FROM nation) WHERE false""")
+@query("""WITH v AS (SELECT 'p:' || p_partkey AS id, p_name, p_size % 2 = 0 AS shipped, CASE WHEN p_partkey % 3 = 0 THEN 'conference' ELSE 'journal' END AS type FROM part),
+g AS (SELECT p_name, count(*) AS n, count(DISTINCT type) AS types, count(*) FILTER (shipped) AS n_shipped FROM v GROUP BY p_name HAVING count(*) > 1)
+SELECT p_name AS key, n, types = n AS all_types_differ FROM g WHERE NOT (n_shipped = n)""")
 def activation_guard(spark, sf_dir):
-    """New conflicts among venues of one type, of those not known before."""
-    parts = _venues(_t(spark, sf_dir, "part"), id="concat('p:', p_partkey)", type="'journal'", canonical_name="p_name", pos="cast(p_partkey as int)")
-    conflicts = matching.VenueIndex(parts, checked=False).conflicts()
-    told = matching.cross_type(conflicts, parts).withColumn("sig", matching.signature())
-    known = told.where("false").select("sig")
-    new = told.join(known, "sig", "left_anti")
-    return new.agg(F.count_if(~F.col("all_types_differ")).alias("d"), F.count_if("all_types_differ").alias("c")).select(
-        F.explode(F.array(F.struct(F.lit("duplicate").alias("what"), F.col("d").alias("n")), F.struct(F.lit("cross-type").alias("what"), F.col("c").alias("n")))).alias("x")).select("x.*")
-
-
-@query("SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2")
-def whitelist_semi(spark, sf_dir):
-    """J12."""
-    kept = _t(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("s_nationkey"))
-    return _t(spark, sf_dir, "supplier").join(kept, "s_nationkey", "left_semi").select("s_suppkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti_new(spark, sf_dir):
-    """J16, U5."""
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Conflicts that the shipped catalog did not have already, and whether all types differ."""
+    parts = _t(spark, sf_dir, "part")
+    made = lambda rows: _venues(rows, id="concat('p:', p_partkey)", type="if(p_partkey % 3 = 0, 'conference', 'journal')", canonical_name="p_name", pos="cast(p_partkey as int)")
+    new = merging.new_conflicts(made(parts), made(parts.where("p_size % 2 = 0")))
+    return new.where("namespace = 'name'").select("key", F.size("ids").cast("long").alias("n"), "all_types_differ")
+
+
+@query("""WITH v AS (SELECT 'p:' || p_partkey AS venue_id, p_name || ' ' || p_size AS name FROM part)
+SELECT venue_id, name FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.venue_id <> a.venue_id AND lower(b.name) = lower(a.name))""")
+def own_spellings(spark, sf_dir):
+    """Spellings that no other venue has."""
+    v = _venues(_t(spark, sf_dir, "part"), id="concat('p:', p_partkey)", type="'journal'", canonical_name="concat(p_name, ' ', p_size)", pos="cast(p_partkey as int)")
+    return merging.collisions(v.select(F.col("id").alias("venue_id"), F.col("canonical_name").alias("name")), v).select("venue_id", "name")
+
+
+@query("""WITH a AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN n_name ELSE 'New ' || (s_suppkey % 7) END AS name, 'S' || (s_suppkey % 5) AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+x AS (SELECT name, c, min(pos) AS f, max(pos) AS r FROM a GROUP BY ALL), w AS (SELECT name, string_agg(c || '=' || r, ';' ORDER BY f) AS schools FROM x GROUP BY name)
+SELECT n_name AS name, coalesce(schools, '') AS schools FROM nation LEFT JOIN w ON name = n_name UNION ALL SELECT name, schools FROM w WHERE name NOT IN (SELECT n_name FROM nation)""")
+def school_additions(spark, sf_dir):
+    """Very many schools that rank the same few venues, some of them new."""
+    base = _venues(_t(spark, sf_dir, "nation"), id="concat('n:', n_nationkey)", type="'journal'", canonical_name="n_name", pos="n_nationkey")
+    rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    add = _venues(rows, id="concat('s:', s_suppkey)", type="'journal'", canonical_name="if(s_suppkey % 2 = 0, n_name, concat('New ', s_suppkey % 7))", pos="cast(s_suppkey as int)",
+                  school=F.expr(f"cast(struct(cast(s_suppkey as string), null, null, concat('S', s_suppkey % 5)) as {_RANK})"))
+    shown = F.transform("schools", lambda x: F.concat(x["catalog"], F.lit("="), x["rank"]))
+    return merging.add_school_data(base, add).select(F.col("canonical_name").alias("name"), F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("schools"))
 
 
 # 2.4 / 2.5 merging
@@ -240,7 +248,7 @@ _RANK = "struct<rank:string,edition:string,source_url:string,catalog:string>"
 
 
 def _user(spark, sf_dir) -> DataFrame:
-    rows = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    rows = _t(spark, sf_dir, "customer")
     return _venues(rows, id="concat('u:', c_custkey)", type="case when c_custkey % 10 = 4 then 'conference' else 'journal' end",
                    canonical_name="case when c_custkey % 4 = 0 then concat('Supplier#', lpad(c_custkey % 50, 9, '0')) else c_name end",
                    aliases="case when c_custkey % 6 = 2 then array(concat(' supplier#', lpad(c_custkey % 40, 9, '0'))) else array() end",
@@ -257,7 +265,7 @@ def _base(spark, sf_dir) -> DataFrame:
 _USER = """u AS (SELECT c_custkey AS pos, CASE WHEN c_custkey % 10 = 4 THEN 'conference' ELSE 'journal' END AS type,
   CASE WHEN c_custkey % 4 = 0 THEN 'Supplier#' || lpad((c_custkey % 50)::VARCHAR, 9, '0') ELSE c_name END AS name,
   CASE WHEN c_custkey % 6 = 2 THEN 'supplier#' || lpad((c_custkey % 40)::VARCHAR, 9, '0') END AS alias,
-  CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::VARCHAR END AS cas, c_mktsegment AS school, 'S' || c_nationkey AS place FROM customer WHERE c_custkey % 2 = 0),
+  CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::VARCHAR END AS cas, c_mktsegment AS school, 'S' || c_nationkey AS place FROM customer),
 k AS (SELECT lower(s_name) AS k, 's:' || s_suppkey AS id FROM supplier GROUP BY ALL),
 h AS (SELECT u.*, CASE WHEN type = 'journal' THEN coalesce(a.id, b.id) END AS hit FROM u LEFT JOIN k a ON a.k = lower(name) LEFT JOIN k b ON b.k = lower(alias))"""
 
@@ -359,11 +367,44 @@ def sequence_continuity(spark, sf_dir):
     return merging.gapless(_t(spark, sf_dir, "part").select("p_type", "p_size").distinct(), ["p_type"], "p_size")
 
 
-@query("""SELECT p_type, count(*) AS total, count(*) FILTER (p_size <= 15) AS small, count(*) FILTER (p_size > 15) AS large FROM part GROUP BY p_type""")
+_MANAGED = "管理科学 A（2025总汇）"
+
+
+@query(f"""WITH b AS (SELECT n_nationkey AS k, n_name AS name FROM nation),
+gone AS (SELECT k FROM b WHERE k % 5 = 1 AND k - 1 IN (SELECT n_nationkey FROM nation)),
+s AS (SELECT k AS pos, CASE k % 5 WHEN 0 THEN 'by-name' WHEN 2 THEN 'by-name' WHEN 3 THEN 'by-issn' WHEN 4 THEN 'append' END AS how FROM b WHERE k % 5 <> 1)
+SELECT 'n:' || b.k AS id, b.name, (CASE b.k % 5 WHEN 0 THEN (b.k + 1 IN (SELECT n_nationkey FROM nation))::INT WHEN 3 THEN 1 ELSE 0 END)::INT AS n_aliases,
+  (CASE b.k % 5 WHEN 0 THEN 1 + (b.k + 1 IN (SELECT n_nationkey FROM nation))::INT ELSE 1 END)::INT AS n_issn, b.k % 5 IN (0, 2, 3) AS managed
+FROM b WHERE b.k NOT IN (SELECT k FROM gone)
+UNION ALL SELECT 'f:' || k, 'appended ' || k, 0, 1, true FROM b WHERE k % 5 = 4""")
+def management_merge(spark, sf_dir):
+    """Rows that find a venue by name, by ISSN, join two venues, have a known wrong ISSN, or are new.
+
+    Nations are the venues; of each five, the second is an older form of the first and is
+    folded into it, the third's source row states the ISSN of the fourth, which is known.
+    """
+    n = _t(spark, sf_dir, "nation").select((F.col("n_nationkey")).alias("k"), F.col("n_name").alias("name"))
+    at = F.col("k")
+    old = n.select((at + 1).alias("k"), F.col("name").alias("older"))
+    formed = n.join(old, "k", "left")
+    target = _venues(formed, id="concat('n:', k)", type="'journal'", canonical_name="if(k % 5 = 1 and older is not null, concat(older, ' formerly ', name), name)",
+                     issn="array(lpad(k, 8, '0'))", pos="k")
+    label = F.array(F.struct(F.lit("cast-tier").alias("kind"), F.lit(_MANAGED).alias("text"), F.lit(None).cast("string").alias("edition")))
+    rows = n.where("k % 5 <> 1")
+    stated = F.when(at % 5 == 0, at + 1).when(at % 5 == 2, at + 1).when(at % 5 == 3, at).otherwise(at + 1000)
+    source = _venues(rows.withColumn("stated", stated), id="concat('f:', k)", type="'journal'", labels=label, pos="k", issn="array(lpad(stated, 8, '0'))",
+                     canonical_name="case when k % 5 in (0, 2) then name when k % 5 = 3 then concat('other ', k) else concat('appended ', k) end")
+    wrong = n.alias("a").where("k % 5 = 2").join(n.select((at - 1).alias("k"), F.col("name").alias("next")), "k").collect()  # nations are 25 by rule
+    known = [(r["name"], f"{r['k'] + 1:08d}", r["next"]) for r in wrong]
+    got = merging.merge_management(source, target, known)
+    managed = F.exists(F.coalesce("labels", F.array().cast(VENUE["labels"].dataType)), lambda x: x["text"] == _MANAGED)
+    return got.select("id", F.col("canonical_name").alias("name"), F.size("aliases").alias("n_aliases"), F.size("issn").alias("n_issn"), managed.alias("managed"))
+
+
+@query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type")
 def counts_by_rank(spark, sf_dir):
-    """A13."""
-    return _t(spark, sf_dir, "part").groupBy("p_type").agg(
-        F.count("*").alias("total"), F.count_if(F.col("p_size") <= 15).alias("small"), F.count_if(F.col("p_size") > 15).alias("large"))
+    """A13, P22."""
+    return merging.counts(_t(spark, sf_dir, "part"), "p_type")
 
 
 # 2.3 extraction
@@ -576,13 +617,11 @@ def tooltip_text(spark, sf_dir):
 # 2.1 / 2.2 sources, sinks, validation
 
 
-@query("""SELECT s_suppkey::INT AS pos, s_name || ', "quoted"' AS canonical_name, 'journal' AS type, 'a' || s_nationkey || '|b' AS aliases, floor(s_acctbal)::INT::VARCHAR AS factor FROM supplier WHERE s_acctbal >= 0
-  ORDER BY s_suppkey LIMIT 30000""")
+@query("""SELECT s_suppkey::INT AS pos, s_name || ', "quoted"' AS canonical_name, 'journal' AS type, 'a' || s_nationkey || '|b' AS aliases, CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal)::INT::VARCHAR END AS factor FROM supplier""")
 def csv_roundtrip_rows(spark, sf_dir):
     """Supplier rows written as catalogs of at most 30,000 rows, by the format's rule, and read again."""
-    rows = _t(spark, sf_dir, "supplier").where("s_acctbal >= 0")
-    v = _venues(rows, id="concat('s:', s_suppkey)", type="'journal'", canonical_name="concat(s_name, ', \"quoted\"')", aliases="array(concat('a', s_nationkey), 'b')",
-                impact_factor=F.expr("cast(struct(cast(cast(floor(s_acctbal) as int) as double), '2025', null, null) as struct<value:double,year:string,source_url:string,source_label:string>)"),
+    v = _venues(_t(spark, sf_dir, "supplier"), id="concat('s:', s_suppkey)", type="'journal'", canonical_name="concat(s_name, ', \"quoted\"')", aliases="array(concat('a', s_nationkey), 'b')",
+                impact_factor=F.expr("cast(if(s_acctbal >= 0, struct(cast(cast(floor(s_acctbal) as int) as double), '2025', null, null), null) as struct<value:double,year:string,source_url:string,source_label:string>)"),
                 pos="cast(s_suppkey as int)")
     back = reduce(DataFrame.unionByName, (catalog.parse_catalog(spark, x)[0] for x in catalog.serialize_catalogs(v)))
     number = F.regexp_extract("canonical_name", r"#(\d+)", 1).cast("int")
@@ -631,10 +670,15 @@ def core_labels(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", catalog.core_label("pku-core", t).alias("label"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha, octet_length(encode(text))::INT AS bytes FROM documents")
-def sha_manifest(spark, sf_dir):
-    """S11, N21, A17."""
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("bytes"))
+@query("SELECT n_name AS canonical_name, n_nationkey::INT AS pos FROM nation")
+def verified_catalog(spark, sf_dir):
+    """A catalog written, described by a manifest, and taken back once size, digest and count agree."""
+    v = _venues(_t(spark, sf_dir, "nation"), id="concat('n:', n_nationkey)", type="'journal'", canonical_name="n_name", pos="n_nationkey").orderBy("pos")
+    content = catalog.serialize_catalog(v).encode()
+    told = {"schemaVersion": 1, "catalogVersion": "1", "label": "x", "generatedAt": "2025-01-01T00:00:00Z", "dataUrl": "c.csv", "fileName": "c.csv",
+            "sha256": hashlib.sha256(content).hexdigest(), "byteLength": len(content), "recordCount": v.count()}
+    manifest = distribution.parse_manifest(json.dumps(told), "https://catalogs.example.org/manifest.json")
+    return distribution.verify_payload(spark, manifest, content)[0].select("canonical_name", "pos")
 
 
 # 2.11 streaming
@@ -650,8 +694,7 @@ def latest_snapshot(spark, sf_dir):
 @query("SELECT count(*) AS n_pages, count(*) AS n_papers FROM pages")
 def streaming_upsert(spark, sf_dir):
     """Pages as a stream of snapshots, upserted by micro-batch, read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rankweave-stream-')}"
-    sink = f"{folder.rstrip('/')}/pages-{uuid.uuid4().hex}"
+    sink = _stream_folder(spark, "pages")
     static, source = _t(spark, sf_dir, "pages"), f"{sf_dir}/pages.parquet"
     # a file source reads folders or patterns; a single file is named by a pattern that fits it alone
     snapshots = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/pages.parque[t]")
@@ -661,6 +704,16 @@ def streaming_upsert(spark, sf_dir):
     return rows.agg(F.count_if(F.col("node_pos").isNull()).alias("n_pages"), F.count_if(F.col("node_pos").isNotNull()).alias("n_papers"))
 
 
+def _stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; only in a local session that names none, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='rankweave-stream-')}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
@@ -668,13 +721,14 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_events(spark, sf_dir):
-    """Event-time windows over the events, as the streaming plan would group them."""
-    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
-
-
-@query("SELECT p_partkey, rn FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)")
-def first_seen(spark, sf_dir):
-    """2.6: first-seen numbering."""
-    w = Window.partitionBy("p_name").orderBy("p_partkey")
-    return _t(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("rn"))
+    """Event-time windows over the events as a stream with a watermark; the last state is read back."""
+    static, source = _t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet"
+    sink = _stream_folder(spark, "hours")
+    events = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/events.parque[t]")
+    hours = streaming.conform_events(events).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/{number:06d}")
+    run = hours.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{sink}.checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress["batchId"]
+    return spark.read.schema("w struct<start:timestamp,end:timestamp>, event_type string, n long").parquet(f"{sink}/{last:06d}").select(
+        F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")

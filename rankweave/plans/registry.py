@@ -700,7 +700,7 @@ def streaming_upsert(spark, sf_dir):
     snapshots = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/pages.parque[t]")
     heads = lambda df: pages.select_elements(df, "h1").where("nth = 0").select("page_id", F.lit(0).alias("node_pos"), F.col("text").alias("title"))
     streaming.stream_pages(snapshots.withColumn("revision", F.lit(1)), sink, f"{sink}.checkpoint", extract=heads).awaitTermination()
-    rows = spark.read.parquet(sink)
+    rows = streaming.snapshot(spark, sink)
     return rows.agg(F.count_if(F.col("node_pos").isNull()).alias("n_pages"), F.count_if(F.col("node_pos").isNotNull()).alias("n_papers"))
 
 
@@ -714,6 +714,18 @@ def _stream_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query("""SELECT user_id AS page_id, arg_max(event_type, rev) AS title, max(rev) AS revision FROM (SELECT user_id, event_type, event_id, event_id AS rev FROM events) GROUP BY user_id""")
+def stale_revisions(spark, sf_dir):
+    """Two batches into one sink, the newer snapshots of half the pages first; older ones change nothing."""
+    sink = _stream_folder(spark, "stale")
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.lit("").alias("url"), F.col("event_type").alias("html"), F.col("event_id").alias("revision"))
+    heads = lambda df: df.select("page_id", F.lit(0).alias("node_pos"), F.col("html").alias("title"))
+    newest = streaming.latest(e)
+    streaming.upsert(newest.where("page_id % 2 = 0").unionByName(e.join(newest.select("page_id", "revision"), ["page_id", "revision"], "left_anti").where("page_id % 2 = 1")), sink, heads)
+    streaming.upsert(e.where("page_id % 2 = 1").unionByName(e.join(newest.select("page_id", "revision"), ["page_id", "revision"], "left_anti").where("page_id % 2 = 0")), sink, heads)
+    return streaming.current(spark, sink).select("page_id", "title", "revision")
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()

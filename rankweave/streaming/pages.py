@@ -1,23 +1,27 @@
 """Page snapshots as a stream: every micro-batch replaces the papers of its pages.
 
 The sink holds the papers of the latest revision of every page, in buckets of pages.
-A batch touches only the buckets of its pages; a snapshot that is older than what the
-sink has for its page is ignored, so a slow refresh can't undo a newer one. Each page
-has a marker row (node_pos null), also when it has no paper, and a replayed batch gives
-the same table.
+A batch writes the buckets of its pages anew, next to the old ones, and then a commit
+that says where each bucket is; the commit appears by one rename. So a batch that stops
+half-way changes nothing, and readers see one commit or the next. A snapshot that is
+older than what the sink has for its page is ignored, so a slow refresh can't undo a
+newer one. Each page has a marker row (node_pos null), also when it has no paper, and a
+replayed batch gives the same table.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.pages import extract_papers
 
+#: Of a new sink; choose more for a sink of very many pages, since a batch rewrites the buckets it touches.
 BUCKETS = 64
 
 
@@ -27,35 +31,70 @@ def latest(snapshots: DataFrame, key: str = "page_id", revision: str = "revision
     return snapshots.groupBy(F.col(key).alias("__k")).agg(best).select("r.*")
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _newest(spark: SparkSession, sink: str) -> tuple[int, dict]:
+    """Number and content of the newest commit; 0 and an empty one before the first."""
+    fs, log = _place(spark, f"{sink}/_log")
+    numbers = [int(x.getPath().getName()) for x in fs.listStatus(log) if x.getPath().getName().isdigit()] if fs.exists(log) else []
+    if not numbers:
+        return 0, {"at": {}, "stale": []}
+    stream = fs.open(_place(spark, f"{sink}/_log/{max(numbers)}")[1])
+    try:
+        return max(numbers), json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, sink: str, number: int, content: dict) -> None:
+    fs, ready = _place(spark, f"{sink}/_log/.{uuid.uuid4().hex}")
+    out = fs.create(ready)
+    out.write(json.dumps(content).encode())
+    out.close()
+    if not fs.rename(ready, _place(spark, f"{sink}/_log/{number}")[1]):
+        raise RuntimeError(f"{sink}: commit {number} exists already")
+
+
 def upsert(batch: DataFrame, sink: str, extract: Callable[[DataFrame], DataFrame] = extract_papers, buckets: int = BUCKETS) -> None:
     """Replace the rows of the pages in ``batch`` (page_id, url, html, revision)."""
     spark = batch.sparkSession
+    number, state = _newest(spark, sink)
+    buckets = state.get("buckets", buckets)
     bucket = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")
     pages = latest(batch)
+    touched = [str(r["b"]) for r in pages.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` rows
+    if not touched:
+        return
     new = extract(pages).join(pages.select("page_id", "revision"), "page_id")
-    marks = pages.select("page_id", "revision")
-    rows = new.unionByName(marks, allowMissingColumns=True).withColumn("bucket", bucket)
-    try:
-        old = spark.read.schema(rows.schema).parquet(sink)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        touched = rows.select("bucket").distinct()
-        near = old.join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
-        every = near.select(*rows.columns).unionByName(rows)
+    rows = new.unionByName(pages.select("page_id", "revision"), allowMissingColumns=True)
+    old = [f"{sink}/{state['at'][b]}" for b in touched if b in state["at"]]
+    if old:
+        every = spark.read.schema(rows.schema).parquet(*old).unionByName(rows)
         newest = F.max("revision").over(Window.partitionBy("page_id"))
         rows = every.withColumn("__newest", newest).where("revision = __newest").drop("__newest").dropDuplicates(["page_id", "node_pos", "revision"])
-    staging = f"{sink}.staging"
-    rows.write.mode("overwrite").parquet(staging)
-    ready = spark.read.schema(rows.schema).parquet(staging)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(sink)
+    version = f"{number + 1:09d}-{uuid.uuid4().hex}"
+    rows.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{sink}/{version}")
+    stale = [state["at"][b] for b in touched if b in state["at"]]
+    _commit(spark, sink, number + 1, {"buckets": buckets, "at": state["at"] | {b: f"{version}/bucket={b}" for b in touched}, "stale": stale})
+    for path in state["stale"]:  # readers of the commit before may still read what this one has replaced, but nothing older
+        fs, where = _place(spark, f"{sink}/{path}")
+        fs.delete(where, True)
+
+
+def snapshot(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows of the newest commit, markers included."""
+    at = _newest(spark, sink)[1]["at"]
+    if not at:
+        raise ValueError(f"{sink} has no commit")
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{sink}/{x}" for x in at.values()])
 
 
-def current(spark, sink: str) -> DataFrame:
+def current(spark: SparkSession, sink: str) -> DataFrame:
     """The papers of the latest revisions."""
-    return spark.read.parquet(sink).where("node_pos is not null").drop("bucket")
+    return snapshot(spark, sink).where("node_pos is not null")
 
 
 def stream_pages(snapshots: DataFrame, sink: str, checkpoint: str, interval: str | None = None, extract=extract_papers) -> StreamingQuery:

@@ -39,3 +39,24 @@ def test_stream(spark, tmp_path):
 def test_latest(spark):
     got = pages.latest(batch(spark, (1, "u", "a", 1), (1, "u", "b", 3), (2, None, None, 0)))
     assert sorted((r.page_id, r.html) for r in got.collect()) == [(1, "b"), (2, None)]
+
+
+def test_a_batch_that_stops_changes_nothing(spark, tmp_path, monkeypatch):
+    sink = str(tmp_path / "sink")
+    pages.upsert(batch(spark, *[(k, "u", f"t{k}", 1) for k in range(20)]), sink, heads, buckets=3)
+    before = papers(spark, sink)
+    assert len(before) == 20
+
+    def stopped(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(pages, "_commit", stopped)
+        try:
+            pages.upsert(batch(spark, (1, "u", "new", 2)), sink, heads)
+        except OSError:
+            pass
+    assert papers(spark, sink) == before
+    pages.upsert(batch(spark, (1, "u", "new", 2)), sink, heads)
+    pages.upsert(batch(spark, (1, "u", "newer", 3)), sink, heads)
+    assert papers(spark, sink) == sorted([*[x for x in before if x[0] != 1], (1, "newer", 3)])

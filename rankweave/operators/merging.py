@@ -20,6 +20,7 @@ from .matching import VenueIndex, cross_type, signature
 # Fixed values of the derived rule and of the controlled spelling.
 RULE_CATALOG, RULE_EDITION = "云南财经大学", "2026"
 CONTROLLED_VARIANTS = {"Future Generation Computer Systems-The International Journal of eScience": ("Future Generation Computer Systems",)}
+MANAGEMENT_COUNTS = {"T1": 28, "T2": 66, "A": 102, "B": 375, "C": 493, "D": 213}
 MANAGEMENT = r"^管理科学 (T1|T2|A|B|C|D)（2025总汇）$"
 RENAMED = r"^(?i:原|原名|曾用名|更名前|formerly|previously)"
 LONG_NAME = 24
@@ -324,19 +325,18 @@ def merge_management(source: DataFrame, target: DataFrame, known: Iterable[tuple
     named = F.array(F.struct(venue_name("canonical_name").alias("k"), F.col("canonical_name").alias("n")))
     others = F.transform(_list("aliases"), lambda a: F.struct(F.lit(None).cast("string").alias("k"), a.alias("n")))
     rows = source.join(told.select("pos", "venue_id", "outcome"), "pos").withColumn("__names", F.concat(named, others))
-    is_management = lambda x: (x["kind"] == "cast-tier") & x["text"].rlike(MANAGEMENT)
     at = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("v")))), lambda x: x["v"]))
     gained = rows.where("venue_id is not null").groupBy(F.col("venue_id").alias("id")).agg(
         at(F.col("__names")).alias("u_names"),
         at(F.when(F.col("outcome") == "drop-issn", F.array().cast(STRINGS)).otherwise(_list("issn"))).alias("u_issn"),
-        F.max_by(F.slice(F.filter(labels("labels"), is_management), 1, 1), "pos").alias("u_label"))
+        F.max_by(F.slice(F.filter(labels("labels"), _management), 1, 1), "pos").alias("u_label"))
     k = base.join(gained, "id", "left")
     hit = F.col("u_names").isNotNull()
     own = venue_name("canonical_name")
     extra = F.transform(F.filter("u_names", lambda x: x["k"].isNull() | (x["k"] != own)), lambda x: x["n"])
     new = {
         "aliases": ordered_set(F.concat(_list("aliases"), extra)), "issn": optional_set(F.concat(_list("issn"), _list("u_issn"))),
-        "labels": label_set(F.concat(F.filter(labels("labels"), lambda x: ~is_management(x)), labels("u_label"))),
+        "labels": label_set(F.concat(F.filter(labels("labels"), lambda x: ~_management(x)), labels("u_label"))),
     }
     merged = k.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in VENUE.names])
     behind = target.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("m"))
@@ -396,6 +396,38 @@ def expect_counts(df: DataFrame, column: str, expected: dict[str, int]) -> None:
             raise ValueError(f"{column} {value}: expected {n} rows, found {got.get(value, 0)}")
 
 
+def expect_no_warnings(label: str, warnings: DataFrame) -> None:
+    """Raise if there are warnings, with their number and the first three."""
+    first = [r["warning"] for r in warnings.orderBy("pos").limit(3).collect()]
+    if first:
+        raise ValueError(f"{label}存在 {warnings.count()} 条解析警告：{'；'.join(first)}")
+
+
+def _management(x: Column) -> Column:
+    return (x["kind"] == "cast-tier") & x["text"].rlike(MANAGEMENT)
+
+
+def check_management(source: DataFrame, expected: dict[str, int] | None = None) -> None:
+    """Raise unless ``source`` has the rows expected of each management rank: journals only, one such label each.
+
+    Checked in this order: the number of rows, then row by row the type and the label, then the ranks.
+    """
+    expected = MANAGEMENT_COUNTS if expected is None else expected
+    total, n = sum(expected.values()), source.count()
+    if n != total:
+        raise ValueError(f"FMS 来源应为 {total} 条，实际为 {n} 条。")
+    texts = F.transform(F.filter(F.coalesce("labels", F.array().cast(VENUE["labels"].dataType)), _management), lambda x: x["text"])
+    rows = source.select("pos", "type", "canonical_name", texts.alias("told"))
+    bad = rows.where("type is null or type <> 'journal' or size(told) <> 1").orderBy("pos").limit(1).collect()
+    if bad:
+        name = bad[0]["canonical_name"]
+        raise ValueError(f"FMS 记录“{name}”必须只有一个管理科学标签。" if bad[0]["type"] == "journal" else f"FMS 记录“{name}”不是期刊类型。")
+    got = {r["value"]: r["n"] for r in counts(rows.select(F.regexp_extract(F.col("told")[0], MANAGEMENT, 1).alias("rank")), "rank").collect()}  # a row a rank
+    for rank, want in expected.items():
+        if got.get(rank, 0) != want:
+            raise ValueError(f"FMS {rank} 应为 {want} 条，实际为 {got.get(rank, 0)} 条。")
+
+
 def gapless(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Per key whether the numbers are exactly 1 to the count."""
     return df.groupBy(*keys).agg(

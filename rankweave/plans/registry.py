@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import citations, text, urls
 from ..operators import badges, matching, merging
 from ..schema import DEFAULT_SCHOOL, STRINGS, VENUE
-from ..sources import catalog, distribution, pages
+from ..sources import bundled, catalog, distribution, files, pages
+from ..streaming import labels
 from ..streaming import pages as streaming
 
 _QUERIES: dict = {}
@@ -681,9 +682,92 @@ def verified_catalog(spark, sf_dir):
     return distribution.verify_payload(spark, manifest, content)[0].select("canonical_name", "pos")
 
 
+@query("""WITH f AS (SELECT n_nationkey, n_name FROM nation), s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN n_name ELSE 'School ' || s_suppkey END AS name, substr('ABCD', 1 + (s_suppkey % 3)::INT, 1) AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+l AS (SELECT name, arg_max(r, s_suppkey) AS r FROM s GROUP BY name)
+SELECT n_name AS name, 'A' AS ccf, coalesce(r, 'C') AS school FROM f LEFT JOIN l ON name = n_name UNION ALL SELECT name, NULL, r FROM l WHERE name NOT IN (SELECT n_name FROM f)
+UNION ALL SELECT 'Added ' || r_name, NULL, NULL FROM region""")
+def bundled_venues(spark, sf_dir):
+    """Base catalogs kept as files, put together, with the additions of a bundled JSON file."""
+    folder = _stream_folder(spark, "bundle")
+    lists = "array() as aliases, array() as acronyms, array() as issn"
+    nation = _t(spark, sf_dir, "nation")
+    first = nation.selectExpr("concat('n:', n_nationkey) as id", "'journal' as type", "n_name as canonical_name", *lists.split(", "), "'A' as rank", "n_nationkey as pos")
+    second = _t(spark, sf_dir, "supplier").join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("n_nationkey") == F.col("s_nationkey")).selectExpr(
+        "concat('s:', s_suppkey) as id", "'journal' as type", "if(s_suppkey % 4 = 0, n_name, concat('School ', s_suppkey)) as canonical_name", *lists.split(", "),
+        "substr('ABCD', 1 + s_suppkey % 3, 1) as rank", "s_suppkey as pos")
+    first.write.json(f"{folder}/{bundled.FILES[0]}")
+    second.write.json(f"{folder}/{bundled.FILES[1]}")
+    more = [{"name": f"Added {r['r_name']}", "schoolRank": "A", "schoolName": "S"} for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # five rows
+    files.write_bytes(f"{folder}/{bundled.FILES[2]}", json.dumps(more).encode())
+    return bundled.load_bundle(spark, folder).venues.select(F.col("canonical_name").alias("name"), F.col("ccf.rank").alias("ccf"),
+                                                            F.when(~F.startswith("canonical_name", F.lit("Added ")), F.col("school.rank")).alias("school"))
+
+
+@query("""WITH u AS (SELECT n_nationkey AS k, n_name AS name FROM nation), b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey <= 20 THEN 'Shared ' || s_suppkey ELSE s_name END AS name FROM supplier)
+SELECT name AS canonical_name, 'B' AS ccf FROM b UNION ALL SELECT 'Shared ' || k, 'A' FROM u WHERE k NOT IN (SELECT k FROM b WHERE k <= 20)""")
+def published_merge(spark, sf_dir):
+    """A source file merged into the base, published, verified with a trial activation, and fetched."""
+    folder = _stream_folder(spark, "published")
+    base = _venues(_t(spark, sf_dir, "supplier"), id="concat('s:', s_suppkey)", type="'journal'", canonical_name="if(s_suppkey <= 20, concat('Shared ', s_suppkey), s_name)",
+                   ccf=F.expr(f"cast(struct('B', '7', null, 'CCF') as {_RANK})"), pos="cast(s_suppkey as int)")
+    lines = [f"Shared {r['n_nationkey']},A" for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    distribution.publish_source(spark, "\n".join(["name,ccf", *lines]), "source.csv", base, "2026.1", "x", folder, "2026-01-01T00:00:00Z")
+    told = distribution.verify_catalog(spark, folder, base)
+    url = "https://catalogs.example.org/manifest.json"
+    _, venues, _ = distribution.fetch_first(spark, [url], lambda u: files.read_bytes(f"{folder}/{u.split('?')[0].rsplit('/', 1)[1]}"))
+    return venues.where(F.lit(told["records"] == told["activeRecords"])).select("canonical_name", F.col("ccf.rank").alias("ccf"))
+
+
+@query("""SELECT s_name || ',journal,' || 'a' || s_nationkey || '|b,,,' || CASE WHEN s_suppkey % 2 = 0 THEN 'A,七' ELSE ',' END || ',' || CASE WHEN s_suppkey % 3 = 0 THEN 'B,某校,2026' ELSE ',,' END AS line FROM supplier
+UNION ALL SELECT '期刊名称,类型,别名,简称,ISSN,CCF级别,CCF版本,学校等级,学校名称,学校版本'""")
+def published_core(spark, sf_dir):
+    """The ten core columns, read back as lines from what was published, in files of at most 30,000 rows."""
+    s = _t(spark, sf_dir, "supplier")
+    v = _venues(s, id="concat('s:', s_suppkey)", type="'journal'", canonical_name="s_name", aliases="array(concat('a', s_nationkey), 'b')",
+                ccf=F.expr(f"cast(if(s_suppkey % 2 = 0, struct('A', '七', null, 'CCF'), null) as {_RANK})"),
+                school=F.expr(f"cast(if(s_suppkey % 3 = 0, struct('B', '2026', null, '某校'), null) as {_RANK})"), pos="cast(s_suppkey as int)")
+    folders = []
+    for k in range(s.agg(F.coalesce(F.max("s_suppkey"), F.lit(0))).first()[0] // catalog.MAX_RECORDS + 1):
+        folders.append(_stream_folder(spark, "core"))
+        distribution.publish_core(v.where(F.floor(F.col("pos") / catalog.MAX_RECORDS) == k), folders[-1])
+    # every file begins with the header line
+    return spark.read.text([f"{f}/{distribution.PUBLIC_NAME}" for f in folders]).select(F.col("value").alias("line")).groupBy("line").agg(F.count("*").alias("n")).select("line")
+
+
+@query("""WITH p AS (SELECT * FROM part ORDER BY p_partkey LIMIT 50)
+SELECT p_partkey::INT AS pos, p_name AS name, CASE WHEN p_size % 2 = 0 THEN '期刊' ELSE '会议' END AS type, CASE WHEN p_size % 3 = 0 THEN '1区' ELSE '—' END AS cas, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE '—' END AS ccf,
+  CASE WHEN p_size % 5 = 0 THEN p_size || '.5（2025）' ELSE '—' END AS impact_factor, CASE WHEN p_size % 4 = 0 THEN p_type || ' ' || p_brand ELSE '—' END AS schools,
+  CASE p_size % 6 WHEN 0 THEN '—' WHEN 1 THEN 'x1' WHEN 2 THEN 'x1 / x2' WHEN 3 THEN 'x1 / x2 / x3' ELSE 'x1 / x2 / x3 / 另 ' || (p_size % 6 - 3) || ' 项' END AS labels FROM p""")
+def catalog_preview(spark, sf_dir):
+    """The first 50 rows of a catalog as a reader sees them; the limit is the feature."""
+    v = _venues(_t(spark, sf_dir, "part"), id="concat('p:', p_partkey)", type="if(p_size % 2 = 0, 'journal', 'conference')", canonical_name="p_name", pos="cast(p_partkey as int)",
+                ccf=F.expr(f"cast(if(p_size % 2 = 0, struct('A', '七', null, 'CCF'), null) as {_RANK})"), cas=F.expr(f"cast(if(p_size % 3 = 0, struct('1', '2025', null, 'X'), null) as {_RANK})"),
+                impact_factor=F.expr("cast(if(p_size % 5 = 0, struct(p_size + 0.5D, '2025', null, null), null) as struct<value:double,year:string,source_url:string,source_label:string>)"),
+                school=F.expr(f"cast(if(p_size % 4 = 0, struct(p_brand, null, null, p_type), null) as {_RANK})"),
+                labels=F.expr("if(p_size % 6 = 0, array(), transform(sequence(1, greatest(1, p_size % 6)), k -> struct('note' as kind, concat('x', k) as text, cast(null as string) as edition)))"))
+    return catalog.preview(v, merging.venue_schools())
+
+
 # 2.11 streaming
 
 
+@query("""SELECT p_partkey::BIGINT AS page_id, CASE WHEN p_size % 2 = 0 THEN 'CCF-B 类推荐' ELSE 'CCF-A 类推荐' END AS labels, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS written_by FROM part""")
+def swapped_catalog(spark, sf_dir):
+    """Papers labelled as a stream; then the catalog is swapped, and only the papers whose labels change are written again."""
+    sink, source = _stream_folder(spark, "labels"), f"{sf_dir}/part.parquet"
+    static = _t(spark, sf_dir, "part")
+    venues = lambda rank: _venues(static, id="concat('p:', p_partkey)", type="'journal'", canonical_name="concat(p_name, ' ', p_partkey)", pos="cast(p_partkey as int)",
+                                  ccf=F.expr(f"cast(struct({rank}, null, null, 'CCF') as {_RANK})"))
+    papers = lambda df: df.select(F.col("p_partkey").alias("page_id"), F.lit(0).alias("node_pos"), F.expr("concat(p_name, ' ', p_partkey)").alias("venue_candidate"), F.lit(False).alias("source_truncated"))
+    settings = badges.DisplaySettings(hidden_kinds=["source"])
+    stream = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/part.parque[t]")
+    labels.stream_labels(papers(stream), lambda: venues("'A'"), sink, f"{sink}.checkpoint", settings).awaitTermination()
+    swapped = venues("if(p_size % 2 = 0, 'B', 'A')")
+    labels.render(papers(static), swapped, sink, settings)
+    labels.render(papers(static), swapped, sink, settings)  # nothing has changed: no commit
+    return labels.rendered(spark, sink).select(F.col("page_id").cast("long").alias("page_id"), F.array_join(F.transform("labels", lambda x: x["text"]), "|").alias("labels"), "written_by")
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_snapshot(spark, sf_dir):
     """T4."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import header_key, nfkc, py_trim, read_string, split_list, trim, venue_name
 from ..operators.merging import label_set
 from ..schema import DEFAULT_SCHOOL, LABEL, LABEL_FIELDS, MAX_FILE_BYTES, MAX_RECORDS, SCHOOL, STRINGS, VENUE
+from . import files
 
 # Fields and the headers that name them.
 HEADERS = {
@@ -351,6 +352,40 @@ def serialize_catalog(venues: DataFrame) -> str:
     return "\n".join([",".join(map(csv_cell, EXPORT_HEADERS)), *(r["line"] for r in rows)])
 
 
+#: Places of the core columns among the exported ones.
+CORE_COLUMNS = (0, 1, 2, 3, 4, 7, 8, 14, 15, 16)
+
+
+def serialize_core(venues: DataFrame) -> str:
+    """The ten core columns; the type as it is stored."""
+    cells = [F.col("type") if k == 1 else F.col(f"c{k}") for k in CORE_COLUMNS]
+    rows = export_columns(venues).join(venues.select("pos", "type"), "pos").select("pos", F.concat_ws(",", *[csv_cells(c) for c in cells]).alias("line"))
+    lines = [r["line"] for r in rows.orderBy("pos").limit(MAX_RECORDS + 1).collect()]
+    if len(lines) > MAX_RECORDS:
+        raise ValueError(f"目录最多允许 {MAX_RECORDS} 条记录。")
+    return "\n".join([",".join(EXPORT_HEADERS[k] for k in CORE_COLUMNS), *lines])
+
+
+PREVIEW_ROWS, PREVIEW_LABELS = 50, 3
+
+
+def preview(venues: DataFrame, schools: Column, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows as a reader sees them: name, type, the rankings, and a few labels with the number of the rest.
+
+    ``schools`` is the array of the venue's school rankings.
+    """
+    dash = lambda c: F.coalesce(c, F.lit("—"))
+    labels = F.transform(F.coalesce("labels", F.array().cast(f"array<{LABEL.simpleString()}>")), lambda x: x["text"])
+    few, more = F.array_join(F.slice(labels, 1, PREVIEW_LABELS), " / "), F.size(labels) - PREVIEW_LABELS
+    ranks = F.transform(schools, lambda s: F.concat(F.coalesce(s["catalog"], F.lit("学校")), F.lit(" "), s["rank"]))
+    return venues.orderBy("pos").limit(rows).select(
+        "pos", F.col("canonical_name").alias("name"), F.when(F.col("type") == "journal", "期刊").otherwise("会议").alias("type"),
+        dash(F.concat("cas.rank", F.lit("区"))).alias("cas"), dash(F.col("ccf.rank")).alias("ccf"),
+        dash(F.concat(js_number(F.col("impact_factor.value")), F.lit("（"), F.col("impact_factor.year"), F.lit("）"))).alias("impact_factor"),
+        F.when(F.size(ranks) > 0, F.array_join(ranks, " / ")).otherwise("—").alias("schools"),
+        F.when(F.size(labels) == 0, "—").when(more > 0, F.concat(few, F.lit(" / 另 "), more.cast("string"), F.lit(" 项"))).otherwise(few).alias("labels"))
+
+
 def serialize_catalogs(venues: DataFrame) -> Iterator[str]:
     """The texts of as many files as the rows need within the format's rules, one at least."""
     head = ",".join(map(csv_cell, EXPORT_HEADERS))
@@ -367,8 +402,7 @@ def serialize_catalogs(venues: DataFrame) -> Iterator[str]:
 
 def write_catalog(venues: DataFrame, path: str, bom: bool = False) -> None:
     """One file, for download with a byte-order mark if asked."""
-    with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        f.write(serialize_catalog(venues))
+    files.write_bytes(path, serialize_catalog(venues).encode("utf-8-sig" if bom else "utf-8"))
 
 
 def table_of(spark: SparkSession, path: str, catalog: str, edition: str, kind: str) -> DataFrame:

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import threading
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.merging import activate as activate_catalog
+from ..operators.merging import merge_catalogs
 from ..schema import MAX_FILE_BYTES, MAX_RECORDS
-from .catalog import parse_catalog, serialize_catalog
+from . import files
+from .catalog import parse_catalog, serialize_catalog, serialize_core
 
 Fetcher = Callable[[str], bytes]
 SCHEMA_VERSION = 1
 MAX_MANIFEST_BYTES = 100 * 1024
 CHECK_HOURS = 12
 VERSION = re.compile("[0-9A-Za-z][0-9A-Za-z._-]{0,79}")
+WARNINGS_TOLD = 20
+# Fixed values of the public and the core catalog.
+PUBLIC_NAME = "public-catalog.csv"
+CORE_VERSION, CORE_MADE = "2026-core.1", "2026-09-01T13:30:00.000Z"
+CORE_LABEL = "CCF 第七版 + 云南财经大学 2026 公开核心目录"
 
 
 @dataclass(frozen=True)
@@ -123,27 +130,61 @@ def fetch_first(spark: SparkSession, urls: Iterable[str], fetch: Fetcher) -> tup
     raise last
 
 
-def publish_catalog(venues: DataFrame, version: str, label: str, folder: str, made: str, name: str = "catalog.csv") -> Manifest:
-    """Write the catalog and its manifest."""
+def _publish(content: str, records: int, version: str, label: str, folder: str, made: str, name: str, url: str) -> Manifest:
     if not VERSION.fullmatch(version):
         raise ValueError("catalog version is not valid")
-    content = serialize_catalog(venues).encode("utf-8")
-    manifest = Manifest(SCHEMA_VERSION, version, label, made, name, name, hashlib.sha256(content).hexdigest(), len(content), venues.count())
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/{name}", "wb") as f:
-        f.write(content)
-    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as f:
-        f.write(json.dumps(asdict(manifest), ensure_ascii=False, indent=2) + "\n")
+    raw = content.encode("utf-8")
+    manifest = Manifest(SCHEMA_VERSION, version, label, made, url, name, hashlib.sha256(raw).hexdigest(), len(raw), records)
+    files.write_bytes(f"{folder}/{name}", raw)
+    files.write_bytes(f"{folder}/manifest.json", (json.dumps(asdict(manifest), ensure_ascii=False, indent=2) + "\n").encode())
     return manifest
 
 
+def publish_catalog(venues: DataFrame, version: str, label: str, folder: str, made: str, name: str = "catalog.csv") -> Manifest:
+    """Write the catalog and its manifest."""
+    return _publish(serialize_catalog(venues), venues.count(), version, label, folder, made, name, name)
+
+
+def publish_source(spark: SparkSession, text: str, file_name: str, base: DataFrame, version: str, label: str, folder: str, made: str,
+                   name: str = PUBLIC_NAME) -> tuple[Manifest, int, list[str]]:
+    """Parse a catalog's text, merge it into ``base``, and publish the outcome.
+
+    Returns the manifest, the number of source records, and the warnings to tell: the
+    first ``WARNINGS_TOLD`` and one line about the rest.
+    """
+    imported, warnings = parse_catalog(spark, text, file_name)
+    records = merge_catalogs(imported, base)
+    manifest = _publish(serialize_catalog(records), records.count(), version, label, folder, made, name, f"./{name}?v={quote(version, safe='')}")
+    return manifest, imported.count(), told_warnings(warnings)
+
+
+def told_warnings(warnings: DataFrame) -> list[str]:
+    first = [r["warning"] for r in warnings.orderBy("pos").limit(WARNINGS_TOLD).collect()]
+    rest = warnings.count() - len(first)
+    return [*first, f"另有 {rest} 条警告未显示。"] if rest else first
+
+
+def publish_core(venues: DataFrame, folder: str, version: str = CORE_VERSION, label: str = CORE_LABEL, made: str = CORE_MADE, name: str = PUBLIC_NAME) -> Manifest:
+    """The ten core columns only, of a fixed version and time unless told otherwise."""
+    return _publish(serialize_core(venues), venues.count(), version, label, folder, made, name, f"./{name}?v={version}")
+
+
 def verify_folder(spark: SparkSession, folder: str, base: str = "https://example.invalid/") -> Manifest:
     """Check a published folder: size, digest, count."""
-    with open(f"{folder}/manifest.json", encoding="utf-8") as f:
-        manifest = parse_manifest(f.read(), base)
-    with open(f"{folder}/{manifest.fileName}", "rb") as f:
-        verify_payload(spark, manifest, f.read())
-    return manifest
+    return _verified(spark, folder, base)[0]
+
+
+def _verified(spark: SparkSession, folder: str, url: str) -> tuple[Manifest, DataFrame, DataFrame]:
+    manifest = parse_manifest(files.read_bytes(f"{folder}/manifest.json").decode("utf-8"), url)
+    return (manifest, *verify_payload(spark, manifest, files.read_bytes(f"{folder}/{manifest.fileName}")))
+
+
+def verify_catalog(spark: SparkSession, folder: str, base: DataFrame, url: str = "https://example.invalid/") -> dict:
+    """Check a published folder and activate it on trial over ``base``; nothing is stored."""
+    manifest, venues, warnings = _verified(spark, folder, url)
+    active = activate_catalog(venues, base)
+    return {"catalogVersion": manifest.catalogVersion, "records": manifest.recordCount, "bytes": manifest.byteLength, "sha256": manifest.sha256,
+            "warnings": warnings.count(), "activeRecords": active.count()}
 
 
 class CatalogStore:
@@ -159,8 +200,7 @@ class CatalogStore:
 
     def metadata(self) -> dict | None:
         try:
-            with open(f"{self.folder}/metadata.json", encoding="utf-8") as f:
-                return json.load(f)
+            return json.loads(files.read_bytes(f"{self.folder}/metadata.json"))
         except FileNotFoundError:
             return None
 
@@ -175,15 +215,11 @@ class CatalogStore:
             if venues is not None:
                 data = f"v{int((data or 'v0')[1:]) + 1}"
                 venues.write.mode("overwrite").parquet(f"{self.folder}/{data}")
-            os.makedirs(self.folder, exist_ok=True)
-            with open(f"{self.folder}/metadata.json.new", "w", encoding="utf-8") as f:
-                json.dump(old | metadata | {"data": data}, f, ensure_ascii=False)
-            os.replace(f"{self.folder}/metadata.json.new", f"{self.folder}/metadata.json")
+            files.write_bytes(f"{self.folder}/metadata.json", json.dumps(old | metadata | {"data": data}, ensure_ascii=False).encode())
 
     def clear(self) -> None:
         with self.lock:
-            if os.path.exists(f"{self.folder}/metadata.json"):
-                os.remove(f"{self.folder}/metadata.json")
+            files.delete(f"{self.folder}/metadata.json")
 
 
 def elapsed_hours(then: str | None, now: datetime) -> float:

@@ -521,11 +521,11 @@ def _pages_of(name: str, ops: str, url: str, html: str, adapter: str, venue: str
 
 
 _ODD = "CASE WHEN p_partkey % 4 = 0 THEN {} ELSE {} END"
-_META = """concat('<meta name="citation_title" content="', p_name, '"><meta name="citation_', {kind}, '_title" content="', {venue}, '"><h2>', {heading}, '</h2>')"""
+_CITATION = """concat('<meta name="citation_title" content="', p_name, '"><meta name="citation_', {kind}, '_title" content="', {venue}, '"><h2>', {heading}, '</h2>')"""
 
 
-def _meta(venue: str, kind: str = "'conference'", heading: str = "p_name") -> str:
-    return _META.format(venue=venue, kind=kind, heading=heading)
+def _citation(venue: str, kind: str = "'conference'", heading: str = "p_name") -> str:
+    return _CITATION.format(venue=venue, kind=kind, heading=heading)
 
 
 _pages_of("cnki_rows", "X1", "'https://kns.example.org/'", f"""concat('<table class="result-table-list"><tbody><tr id="r"><td class="name"><a href="/a">', p_name, '</a></td><td class="source">',
@@ -551,11 +551,11 @@ _pages_of("neurips_lists", "X12, X17, N16", "'https://papers.nips.cc/paper/2019'
   {_ODD.format("'2018'", "'2019'")}, '/hash/', repeat('0a', 16), '-Abstract.html">', p_name, '</a></li></ul>')""", "NeurIPS Proceedings", f"'{citations.NEURIPS_VENUE}'")
 _pages_of("usenix_sessions", "X13, X17", "'https://www.usenix.org/conference/fast23/technical-sessions'", f"""concat('<div class="node-paper"><h2><a href="/conference/fast23/presentation/', {_ODD.format("'keynote'", "'p'")}, '-1">', p_name,
   '</a></h2><span class="usenix-schedule-media pdf"></span></div>')""", "USENIX", f"'{citations.USENIX_VENUES['fast']}'")
-_pages_of("citation_details", "X14, J18", "'https://papers.example.org/1'", _meta("concat(p_brand, CASE WHEN p_size % 5 = 0 THEN ' … x' ELSE '' END)", "'journal'", _ODD.format("'Other'", "p_name")),
+_pages_of("citation_details", "X14, J18", "'https://papers.example.org/1'", _citation("concat(p_brand, CASE WHEN p_size % 5 = 0 THEN ' … x' ELSE '' END)", "'journal'", _ODD.format("'Other'", "p_name")),
           "论文元数据", "concat(p_brand, CASE WHEN p_size % 5 = 0 THEN ' … x' ELSE '' END)", cut="p_size % 5 = 0")
-_pages_of("cvf_details", "X15", "'https://openaccess.thecvf.com/content/WACV2022/html/A_paper.html'", _meta(_ODD.format("'Winter Workshop'", "'IEEE/CVF Winter Conference on Applications of Computer Vision'")),
+_pages_of("cvf_details", "X15", "'https://openaccess.thecvf.com/content/WACV2022/html/A_paper.html'", _citation(_ODD.format("'Winter Workshop'", "'IEEE/CVF Winter Conference on Applications of Computer Vision'")),
           "CVF Open Access", f"'{citations.CVF_VENUES['WACV']}'")
-_pages_of("usenix_details", "X15, N26", "'https://www.usenix.org/conference/nsdi22/presentation/a'", _META.format(
+_pages_of("usenix_details", "X15, N26", "'https://www.usenix.org/conference/nsdi22/presentation/a'", _CITATION.format(
     kind="'conference'", venue=f"concat('19th {citations.USENIX_VENUES['nsdi']} (NSDI ', {_ODD.format(chr(39) + '21' + chr(39), chr(39) + '22' + chr(39))}, ')')", heading="p_name").replace("'\"><meta name", "'{}\"><meta name", 1),
           "USENIX", f"'{citations.USENIX_VENUES['nsdi']}'")
 

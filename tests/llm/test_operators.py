@@ -1,5 +1,6 @@
 """Small cases and brute-force comparisons for the ten operators."""
 
+import math
 import random
 import re
 import zlib
@@ -252,6 +253,56 @@ def test_shards_are_even_and_gapless(spark, n):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(30, 50, 20), (7, 900, 450), (400, 3, 390), (1, 1, 1), (5, 5, 10)])
+def test_chances_of_a_large_draw_are_the_exact_ones(good, bad, n):
+    first, p = sharding._chances(good, bad, n)
+    exact = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+    assert abs(p.sum() - 1) < 1e-12
+    for k, e in exact.items():
+        assert abs((p[k - first] if 0 <= k - first < len(p) else 0) - e) < 1e-12
+
+
+def test_communication_matrix_has_the_law_of_a_shuffle():
+    groups, shards = [30, 1, 50, 19], [34, 33, 33]
+    m = np.array([sharding.communication_matrix(groups, shards, seed) for seed in range(3000)])
+    assert (m.sum(axis=1) == shards).all() and (m.sum(axis=2) == groups).all()
+    for g, n in enumerate(groups):
+        for b, k in enumerate(shards):
+            mean, var = n * k / 100, n * k * (100 - n) * (100 - k) / (100 * 100 * 99)
+            assert abs(m[:, g, b].mean() - mean) < 5 * (var / 3000) ** 0.5
+            assert abs(m[:, g, b].var() - var) < 0.15 * var
+
+
+def test_shuffle_is_uniform_over_many_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 150)
+    monkeypatch.setattr(sharding, "SECTION", 16)
+    n, shards = 12_000, 6
+    got = sharding.shuffle_shards(spark.range(n, numPartitions=3), shards).select("row.id", "shard", "slot").collect()
+    assert sorted(r.id for r in got) == list(range(n))
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(shards) for k in range(n // shards)]
+    cells = np.zeros((10, shards, 10))
+    for r in got:
+        cells[r.id * 10 // n, r.shard, r.slot * 10 * shards // n] += 1
+    expect = n / cells.size
+    assert ((cells - expect) ** 2 / expect).sum() < 750  # 531 degrees of freedom: mean 531, 5 sd above is 694
+    at = {r.id: r.shard * n // shards + r.slot for r in got}
+    assert abs(np.corrcoef(range(n), [at[i] for i in range(n)])[0, 1]) < 0.05
+    near = np.array([abs(at[i + 1] - at[i]) for i in range(n - 1)])
+    assert abs(near.mean() - n / 3) < 0.03 * n  # neighbours don't stay together
+
+
+def test_sharding_query_against_plain_values(spark, tmp_path):
+    rows = [*corpus(seed=12, n=40), (7, "twice"), (7, "twice"), (None, "x"), (950, "é" * 70_000)]
+    frame(spark, rows).withColumn("shard", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op4_hypergeometric_shards(spark, str(tmp_path)).collect()
+    plain = sorted(((-1 if i is None else i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == plain
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    count = [sum(r.shard == s for r in got) for s in range(24)]
+    assert sum(count) == len(rows) and max(count) - min(count) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range(count[s])]
+
+
 # 5 join
 
 

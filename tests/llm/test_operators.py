@@ -453,6 +453,28 @@ def test_archive_round_trip(spark):
     assert {r.page_id for r in large if r.record_type == "revisit"} == {3}
 
 
+def test_archive_records_bear_what_the_format_demands(spark):
+    from datetime import datetime, timedelta, timezone
+
+    rows = [(1, "http://é/\r\n\r\nContent-Length: 9", "<p>é</p>\r\nContent-Length: 7\r\n\r\n"), (-2, "u", "x"), (4, "u", "x"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    at = datetime(2024, 2, 3, 4, 5, 6, tzinfo=timezone(timedelta(hours=2)))
+    back = {r.page_id: r for r in warc.read_archive(warc.write_archive(pages, date=at, archive_id="00-11")).collect()}
+    for k, _, html in rows:
+        r = back[k]
+        lines = bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert fields["WARC-Date"] == "2024-02-03T02:05:06Z" and fields["WARC-Record-ID"] == f"<urn:x-page:00-11:{'null' if k is None else k}>"
+        assert {"WARC-Type", "Content-Length", "WARC-Target-URI"} <= set(fields) and len(fields) == len(lines) - 1
+        assert ("Content-Type" in fields) == (r.record_type == "response")
+        assert bytes(r.block) == ((html or "").encode() if r.record_type == "response" else b"")
+    assert back[4].refers_to == -2
+    first, second = (warc.write_archive(pages).headers.agg(F.min("header")).first()[0] for _ in range(2))
+    assert first != second  # identifiers of two archives don't meet
+    with pytest.raises(ValueError, match="time zone"):
+        warc.write_archive(pages, date=datetime(2024, 1, 1))
+
+
 # 8 licences
 
 

@@ -292,7 +292,12 @@ def decontaminate(
 
 
 def op9_fm_index(spark, sf_dir):
-    """Hits of all benchmark windows in all documents."""
+    """Hits of all benchmark windows in all documents.
+
+    Null and empty texts have no words; an item without words is no window; items of one id
+    count once; a null doc_id stays null, repeated rows are searched one by one. Without
+    items no document is hit.
+    """
     configure(spark)
     got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], clean=False)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])

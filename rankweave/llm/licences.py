@@ -189,6 +189,11 @@ def licences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def op8_licence_rules(spark, sf_dir):
+    """Sentences, rules and licences of all documents, each list joined by commas.
+
+    Null and empty texts have none (empty strings); a null doc_id stays null; repeated rows
+    are judged one by one; a sentence found twice stands twice.
+    """
     configure(spark)
     got = licences(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),

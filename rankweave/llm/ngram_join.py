@@ -354,7 +354,11 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op5_signature_tree_join(spark, sf_dir):
-    """Components of all documents under 4-word shingles and similarity 0.85."""
+    """Components of all documents under 4-word shingles and similarity 0.85.
+
+    Null texts and texts without words are empty and stand alone; shorter texts are one
+    shingle. Equal sets and repeated rows fall into one component.
+    """
     configure(spark)
     return similarity_components(table(spark, sf_dir, "documents"), size=4, percent=85).drop("th", "root")
 

@@ -270,6 +270,10 @@ def tokenizer_path() -> str:
 
 
 def op1_best_fit_packing(spark, sf_dir):
-    """All documents packed into sequences of at most 4096 tokens."""
+    """All documents packed into sequences of at most 4096 tokens.
+
+    A null or empty text is its end token alone; every row, repeated ones too, has pieces of
+    its own; among pieces of one length any may take any of the planned places.
+    """
     configure(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)

@@ -117,5 +117,10 @@ def quality(docs):
 
 
 def op10_compression_bands(spark, sf_dir):
+    """Words, repeats and compression of all documents, with the base rule and the verdict.
+
+    Null and empty texts have no words and fail the base rule; a null doc_id stays null;
+    repeated rows are scored one by one. A ratio on a limit is inside the band.
+    """
     configure(spark)
     return quality(table(spark, sf_dir, "documents"))

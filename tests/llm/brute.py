@@ -1,8 +1,11 @@
 """Plain re-statements of the contracts, to hold the operators against."""
 
 import hashlib
+import math
 import re
 
+import zstandard
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -82,6 +85,51 @@ def secrets(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def features(text):
+    """Hashed byte n-grams, one by one."""
+    letters = bytes(b if b >= 0x80 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    a = b" " + b" ".join(letters.split()) + b" "
+    return [((int.from_bytes(a[i : i + n]) + n) * 2654435761 % 2**32) >> 17 for n in (1, 2, 3, 4) for i in range(len(a) - n + 1)]
+
+
+class Languages:
+    """Every split of the languages is a bit; each has log-ratios of features; the nearest codeword wins."""
+
+    def __init__(self, rows, dim):
+        self.names = sorted({lang for lang, _ in rows})
+        share = {n: dict.fromkeys(range(dim), 0.0) for n in self.names}
+        for lang, text in rows:
+            f = features(text)
+            for x in f:
+                share[lang][x] += 1 / len(f)
+        for n in self.names:
+            total = sum(share[n].values())
+            share[n] = {x: v / total for x, v in share[n].items()}
+        first, *others = self.names
+        self.splits = [{first, *(o for k, o in enumerate(others) if m >> k & 1)} for m in range(2 ** len(others) - 1)]
+        mean = lambda names, x: sum(share[n][x] for n in names) / len(names)
+        self.weights = [
+            [math.log((mean(s, x) + 0.5 / dim) / (mean(set(self.names) - s, x) + 0.5 / dim)) for x in range(dim)] for s in self.splits
+        ]
+
+    def losses(self, text, scale):
+        f = features(text)
+        margins = [scale * sum(w[x] for x in f) / len(f) for w in self.weights]
+        return [sum(math.log1p(math.exp(-m if n in s else m)) for m, s in zip(margins, self.splits, strict=True)) for n in self.names]
+
+
+def compresses(text, level, bands, chunk, chunk_band, share):
+    """Whether the whole and enough of the chunks lie within their bands."""
+    raw = (text or "").encode()
+    if not raw:
+        return True
+    inside = lambda part, band: band[0] <= len(zstandard.compress(part, level)) / len(part) <= band[1]
+    of = lambda part: [b[1:] for b in bands if b[0] <= len(part)][-1]
+    parts = [raw[k : k + chunk] for k in range(0, len(raw), chunk)] if len(raw) >= chunk else []
+    bad = sum(len(x) for x in parts if not inside(x, chunk_band if len(x) == chunk else of(x)))
+    return inside(raw, of(raw)) and bad <= share * len(raw)
+
+
 def quality(text):
     text = text or ""
     w = WORD.findall(text)

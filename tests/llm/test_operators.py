@@ -197,6 +197,41 @@ def test_language_id_without_labels(spark):
     assert langid.predict(docs, one, ["doc_id"]).first().lang_pred == "xx"
 
 
+LANGUAGES = {"aa": "der die das und ist nicht ein", "bb": "the of and to in is that", "cc": "le la les et est que une"}
+
+
+def test_language_id_against_a_plain_statement(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(LANGUAGES[lang].split(), k=rng.randint(3, 40))) + "É"[: k % 2], lang, "s") for k, lang in enumerate(list(LANGUAGES) * 6)]
+    odd = [(100, "x", None, "s"), (101, "1 2 3", None, "s"), (102, None, None, "s"), (103, "", None, "s"), (104, "der the le " * 3000, None, "s"), (105, "日本語", None, "s")]
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
+    model = langid.train(docs)
+    plain = brute.Languages([(r[2], r[1]) for r in rows], langid.DIM)
+    assert model.languages == plain.names
+    monkeypatch.setattr(langid, "_PIECE", 7)
+    for d in (rows[3][1], odd[0][1], odd[5][1]):
+        assert sorted(np.concatenate(list(langid._ngrams(d))).tolist()) == sorted(brute.features(d))
+    for r in langid.predict(docs, model, ["doc_id"]).collect():
+        text = r["__text"]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0.0, True)
+            continue
+        loss = plain.losses(text, langid.SCALE)
+        order = sorted(range(3), key=lambda k: loss[k])
+        p = [np.exp(min(loss) - x) for x in loss]
+        assert r.lang_pred == plain.names[order[0]] and abs(r.score - p[order[0]] / sum(p)) < 1e-4
+        gap = loss[order[1]] - loss[order[0]]
+        assert abs(gap - langid.AMBIGUOUS) < 1e-4 or r.ambiguous == (gap < langid.AMBIGUOUS)
+
+
+def test_language_id_flags_ties_and_mixtures(spark):
+    same = langid.train(spark.createDataFrame([(1, "one text", "yy", ""), (2, "one text", "xx", ""), (2, "one text", "xx", "")], SCHEMA))
+    assert same.decode("one text")[0] == "xx" and same.decode("one text")[2]
+    apart = langid.train(spark.createDataFrame([(1, "kaka kaka", "xx", ""), (2, "pipi pipi", "yy", "")], SCHEMA))
+    assert apart.decode("kaka kaka")[0::2] == ("xx", False) and apart.decode("pipi pipi")[0::2] == ("yy", False)
+    assert apart.decode("kaka pipi")[2]
+
+
 # 3 substring
 
 
@@ -665,6 +700,23 @@ def test_quality_against_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdict_against_a_plain_statement(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    noise = lambda n: " ".join("".join(rng.choices("ABCDEFGHIJabcdefghij0123456789+/", k=8)) for _ in range(n // 9))
+    prose = lambda n: " ".join(rng.choice(words[:600]) for _ in range(n // 6))
+    loop = " ".join(f"{a} {b}" for a in words[:60] for b in words[:3])
+    texts = [None, "", "word", loop, loop * 3, *(f(n) for f in (noise, prose) for n in (150, 350, 800, 2500, 4096, 5000, 20_000, 70_000))]
+    texts += [prose(12_000) + " " + noise(n) for n in (2000, 4500, 9000)] + [prose(8192)[:8192] + noise(n) for n in (300, 3000)]
+    rows = list(enumerate(texts))
+    for r in quality.quality(frame(spark, rows)).collect():
+        text = texts[r.doc_id]
+        ok = brute.compresses(text, quality.LEVEL, quality.WHOLE_BANDS, quality.CHUNK, quality.CHUNK_BAND, quality.CHUNK_SHARE)
+        assert r.kept == (ok and not r.base_failed)
+    verdicts = [r.kept for r in quality.quality(frame(spark, rows)).where("not base_failed").collect()]
+    assert True in verdicts and False in verdicts
+
+
 def test_compression_bands_reject_both_ends():
     import base64
     import os

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licences, ngram_join, packing, quality, secret_scan, sharding, substring, warc
+from . import decontam, divergence, langid, licences, ngram_join, packing, quality, ranking, secret_scan, sharding, spelling, substring, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_licence_rules": licences.op8_licence_rules,
         "op9_fm_index": decontam.op9_fm_index,
         "op10_compression_bands": quality.op10_compression_bands,
+        "op11_errata_trie": spelling.op11_errata_trie,
+        "op12_bradley_terry": ranking.op12_bradley_terry,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.OP7_SQL,
         "op8_licence_rules": licences.OP8_SQL,
         "op9_fm_index": decontam.OP9_SQL,
+        "op11_errata_trie": spelling.OP11_SQL,
+        "op13_source_divergence": divergence.OP13_SQL,
     }

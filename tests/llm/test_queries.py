@@ -20,6 +20,8 @@ def folders(spark, tmp_path_factory):
     for name, few in (("full", False), ("empty", True)):
         spark.createDataFrame([] if few else rows, f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}").coalesce(2).write.parquet(f"{at}/{name}/documents.parquet")
         spark.createDataFrame([] if few else pages, f"page_id long, url string, html string, {EXTRA}").coalesce(2).write.parquet(f"{at}/{name}/pages.parquet")
+        labels = [(i, (i or 0) % 2, None, *more) for i, *_ in rows]
+        spark.createDataFrame([] if few else [*labels, labels[0], (None, 1, 0, *more)], f"doc_id long, quality int, toxic int, {EXTRA}").coalesce(1).write.parquet(f"{at}/{name}/labels.parquet")
         spark.createDataFrame([] if few else [(0, rows[5][1], *more), (1, None, *more), (0, "w1 W2, w3", *more)], f"item_id long, text string, {EXTRA}").coalesce(1).write.parquet(f"{at}/{name}/benchmark.parquet")
     return at
 
@@ -31,7 +33,8 @@ def test_runs_with_clashing_names_and_empty_tables(spark, folders, name):
     df = run(spark, f"{folders}/full")
     table = "pages" if "warc" in name else "documents"
     n = spark.read.parquet(f"{folders}/full/{table}.parquet").count()
-    assert df.count() == n
+    if name not in ("op11_errata_trie", "op13_source_divergence"):  # rows of words and of sources
+        assert df.count() == n
     sql = queries.oracle_sql().get(name)
     if sql:
         con = duckdb.connect()

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import reach
 from ..functions.text import acronym_of_name, and_variant, compact, issn_key, loose_name, nfkc, optional_set, ordered_set, venue_name
 from ..schema import DEFAULT_SCHOOL, LABEL, SCHOOL, STRINGS, VENUE
+from ..scratch import drop, written
+from .forest import fold_order, follow
 from .matching import VenueIndex, cross_type, signature
 
 # Fixed values of the derived rule and of the controlled spelling.
@@ -174,59 +174,84 @@ def core_venues(first: DataFrame, second: DataFrame) -> DataFrame:
     return derived_rank(merged.unionByName(new.select(*merged.columns)))
 
 
-def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Who owns each addition, in order: an owner of its name or id, from the base or from before, or itself."""
-    named: dict[tuple, set] = {}
-    by_id: dict[tuple, set] = {}
-    out = []
-    for pos, kind, ident, own, names, base in rows.sort_values("pos").itertuples(index=False):
-        hits = {(i, -1) for i in (base if base is not None else ())} | named.get((kind, own), set()) | by_id.get((kind, ident), set())
-        owner = min(hits) if hits else (ident, pos)
-        if not hits:
-            by_id.setdefault((kind, ident), set()).add(owner)
-        for k in {own, *names}:
-            named.setdefault((kind, k), set()).add(owner)
-        out.append((pos, owner[0], owner[1], len(hits) > 1))
-    return pd.DataFrame(out, columns=["pos", "owner", "owner_pos", "clash"])
+def _in_sequence(at: str, value: Column | str) -> Column:
+    """Values of an aggregate's rows in order of ``at``."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), (F.col(value) if isinstance(value, str) else value).alias("v")))), lambda x: x["v"])
 
 
 def _school_owners(base: DataFrame, additions: DataFrame) -> DataFrame:
-    """(pos, owner, owner_pos, clash) of each addition; owner_pos is -1 for base venues, else the addition's place.
-
-    Each addition depends on those before it, so the few columns that decide (names and
-    ids, with the base venues they hit) are read in order by one task; a catalog has at
-    most 30,000 rows by the format's rule.
+    """(pos, owner, owner_pos, clash) of each addition, written; owner_pos is -1 for base venues, else the addition's place.
+
+    An addition belongs to the venue that has its name by then. The first that gives a
+    name to a venue, a base venue or an addition before it, leads to that venue; so
+    additions are links to earlier ones, which are followed by doubling. One whose name
+    nobody has given goes to the base venue with its id, else to the first such
+    addition with its id, which is itself a new venue. ``clash`` tells that a second
+    venue has the name, or another the id; it holds for the first one at least.
     """
-    names = F.transform(F.concat(F.array("canonical_name"), _list("aliases")), venue_name)
-    adds = additions.select("pos", "type", "id", venue_name("canonical_name").alias("own"), F.array_distinct(names).alias("names"))
-    by_name = adds.select("pos", "type", F.col("own").alias("k")).join(base.select("id", "type", F.explode(names).alias("k")), ["type", "k"]).select("pos", F.col("id").alias("venue_id"))
-    by_id = adds.select("pos", "id", "type").join(base.select("id", "type"), ["id", "type"]).select("pos", F.col("id").alias("venue_id"))
-    hits = by_name.unionByName(by_id).groupBy("pos").agg(F.collect_set("venue_id").alias("base"))
-    rows = adds.join(hits, "pos", "left").select("pos", "type", "id", "own", "names", "base")
-    return rows.groupBy().applyInPandas(_in_order, "pos int, owner string, owner_pos int, clash boolean")
+    names = F.array_distinct(F.transform(F.concat(F.array("canonical_name"), _list("aliases")), lambda n: F.coalesce(venue_name(n), F.lit(""))))
+    adds = written(additions.select(F.col("pos").cast("long").alias("pos"), "type", "id", F.coalesce(venue_name("canonical_name"), F.lit("")).alias("own"), names.alias("names")), "school-additions")
+    given = base.select("type", F.explode(names).alias("own"), F.lit(-1).cast("long").alias("at"), "id").unionByName(
+        adds.select("type", F.explode("names").alias("own"), F.col("pos").alias("at"), F.lit(None).cast("string").alias("id")))
+    given = written(given.groupBy("type", "own", "at", "id").agg(F.lit(1).alias("one")).drop("one"), "school-names")
+    first = given.groupBy("type", "own").agg(F.min(F.struct("at", "id")).alias("first"))
+    known = base.groupBy("type", "id").agg(F.lit(-1).cast("long").alias("base_at"))
+    named = adds.join(first, ["type", "own"]).join(known, ["type", "id"], "left")
+    free = (F.col("first.at") == F.col("pos")) & F.col("base_at").isNull()
+    founders = named.where(free).groupBy("type", "id").agg(F.min("pos").alias("founded"))
+    to = F.when(F.col("first.at") < F.col("pos"), F.col("first.at")).otherwise(F.coalesce("base_at", "founded"))
+    base_id = F.when(F.col("first.at") < 0, F.col("first.id")).when((F.col("first.at") == F.col("pos")) & (F.col("base_at") == -1), F.col("id"))
+    links = written(named.join(founders, ["type", "id"], "left").select("pos", "type", "id", "own", to.alias("to"), base_id.alias("base_id"), "base_at", "founded"), "school-links")
+    inner = follow(links.where("to >= 0").select(F.col("pos").alias("node"), "to"))
+    ends = links.select(F.col("pos").alias("root"), F.coalesce("base_id", "id").alias("owner"), F.when(F.col("to") < 0, F.lit(-1).cast("long")).otherwise(F.col("pos")).alias("owner_pos"))
+    reached = links.select("pos").join(inner.withColumnRenamed("node", "pos"), "pos", "left").select("pos", F.coalesce("root", "pos").alias("root"))
+    owners = written(reached.join(ends, "root").select("pos", "owner", "owner_pos"), "school-owners")
+    who = given.join(owners.select(F.col("pos").alias("at"), "owner", "owner_pos"), "at", "left").select(
+        "type", "own", "at", F.coalesce("owner", "id").alias("owner"), F.coalesce("owner_pos", F.lit(-1).cast("long")).alias("owner_pos"))
+    since = written(who.groupBy("type", "own", "owner", "owner_pos").agg(F.min("at").alias("at")), "school-since")
+    one = since.groupBy("type", "own").agg(F.min(F.struct("at", "owner", "owner_pos")).alias("one"))
+    second = since.join(one, ["type", "own"]).where("owner <> one.owner or owner_pos <> one.owner_pos").groupBy("type", "own").agg(F.min("at").alias("second"))
+    j = links.join(one, ["type", "own"]).join(second, ["type", "own"], "left")
+    by_name = F.when(F.col("one.at") < F.col("pos"), F.col("one.owner_pos"))
+    by_id = F.coalesce("base_at", F.when(F.col("founded") < F.col("pos"), F.col("founded")))
+    other = (by_name != by_id) | ((by_name == -1) & (by_id == -1) & (F.col("one.owner") != F.col("id")))
+    clash = F.coalesce(F.col("second") < F.col("pos"), F.lit(False)) | F.coalesce(other, F.lit(False))
+    out = written(j.select("pos", clash.alias("clash")).join(owners, "pos"), "school-told")
+    drop(adds, given, links, inner, owners, since)
+    return out
 
 
 def add_school_data(base: DataFrame, additions: DataFrame) -> DataFrame:
     """School ranks to the venue of the same type with the same id or name; else appended.
 
     An addition sees what those before it have added: names they gave to a venue, and
-    venues they appended. All are resolved first and then folded into their owners at once.
+    venues they appended. All are resolved first and then folded into their owners at once;
+    names and schools are made distinct before they are gathered, so a venue that very
+    many additions rank gathers no more than it has in the end. ``pos`` is distinct.
     """
-    reach(base.sparkSession)
     told = additions.join(_school_owners(base, additions), "pos")
     clash = told.where("clash").orderBy("pos").limit(1).collect()
     if clash:
         raise ValueError(f"内置学校目录名称冲突：{clash[0]['canonical_name']}")
-    lists = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), c.alias("v")))), lambda x: x["v"]))
-    gained = told.where("owner_pos <> pos").groupBy("owner", "owner_pos").agg(
-        lists(F.concat(F.array("canonical_name"), _list("aliases"))).alias("u_aliases"), lists(venue_schools()).alias("u_schools"))
     behind = base.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("m"))
     new = told.where("owner_pos = pos").withColumn("schools", venue_schools()).crossJoin(F.broadcast(behind)).withColumn("pos", F.col("pos") + F.col("m") + 1)
-    every = base.withColumn("owner", F.col("id")).withColumn("owner_pos", F.lit(-1)).unionByName(new.select(*VENUE.names, "owner", "owner_pos"))
-    j = every.join(gained, ["owner", "owner_pos"], "left")
-    hit = F.col("u_aliases").isNotNull()
-    merged = {"aliases": F.array_distinct(F.concat(_list("aliases"), _list("u_aliases"))), "schools": merge_schools(F.concat(venue_schools(), F.col("u_schools")))}
-    return j.select(*[F.when(hit, merged[c]).otherwise(F.col(c)).alias(c) if c in merged else F.col(c) for c in VENUE.names])
+    every = base.withColumn("owner", F.col("id")).withColumn("owner_pos", F.lit(-1).cast("long")).unionByName(new.select(*VENUE.names, "owner", "owner_pos"))
+    hits = told.where("owner_pos <> pos")
+    whose = ["owner", "owner_pos"]
+    hit = every.join(hits.select(*whose).distinct(), whose, "left_semi")
+    first = F.lit(-1).cast("long").alias("at")  # what a venue has comes before what it gains
+    names = hit.select(*whose, first, F.posexplode(_list("aliases")).alias("nth", "name")).unionByName(
+        hits.select(*whose, F.col("pos").cast("long").alias("at"), F.posexplode(F.concat(F.array("canonical_name"), _list("aliases"))).alias("nth", "name")))
+    names = names.groupBy(*whose, "name").agg(F.min(F.struct("at", "nth")).alias("at")).groupBy(*whose).agg(_in_sequence("at", "name").alias("u_aliases"))
+    ranks = hit.select(*whose, first, F.posexplode(venue_schools()).alias("nth", "school")).unionByName(
+        hits.select(*whose, F.col("pos").cast("long").alias("at"), F.posexplode(venue_schools()).alias("nth", "school")))
+    at = F.struct("at", "nth")
+    ranks = ranks.groupBy(*whose, F.coalesce("school.catalog", F.lit(DEFAULT_SCHOOL)).alias("catalog")).agg(F.min(at).alias("at"), F.max_by("school", at).alias("school"))
+    ranks = ranks.groupBy(*whose).agg(_in_sequence("at", "school").alias("u_schools"))
+    j = every.join(names, whose, "left").join(ranks, whose, "left")
+    gained = F.col("u_aliases").isNotNull()
+    merged = {"aliases": F.col("u_aliases"), "schools": F.coalesce("u_schools", F.array().cast(VENUE["schools"].dataType))}
+    return j.select(*[F.when(gained, merged[c]).otherwise(F.col(c)).alias(c) if c in merged else F.col(c) for c in VENUE.names])
 
 
 def rename_or_truncation(a: Column, b: Column) -> Column:
@@ -274,27 +299,6 @@ def resolve_management(source: DataFrame, target: DataFrame, known: Iterable[tup
     return j.select("pos", "by_name", "by_issn", outcome.alias("outcome"), F.coalesce("by_name", "by_issn").alias("venue_id"))
 
 
-def _fold_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of folds in order: each record that goes, the record that has it in the end, and its place there.
-
-    At most one row a source row, which a catalog has 30,000 of by the format's rule.
-    """
-    holds: dict[str, list[str]] = {}
-    into: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while x in into:
-            x = into[x]
-        return x
-
-    for _, owner, gone in rows.sort_values("pos").itertuples(index=False):
-        a, b = find(owner), find(gone)
-        if a != b:
-            into[b] = a
-            holds.setdefault(a, []).extend([b, *holds.pop(b, [])])
-    return pd.DataFrame([(g, a, k) for a, own in holds.items() for k, g in enumerate(own)], columns=["gone", "owner", "nth"])
-
-
 def merge_management(source: DataFrame, target: DataFrame, known: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
     """Management labels, names and ISSNs of ``source`` into ``target``.
 
@@ -305,8 +309,7 @@ def merge_management(source: DataFrame, target: DataFrame, known: Iterable[tuple
     bad = told.where("outcome = 'error'").join(source, "pos").orderBy("pos").limit(1).collect()
     if bad:
         raise ValueError(f"FMS 记录“{bad[0]['canonical_name']}”的名称与 ISSN 指向不同记录。")
-    folds = told.where("outcome = 'consolidate'").select("pos", F.col("by_name").alias("owner"), F.col("by_issn").alias("gone"))
-    folds = folds.groupBy().applyInPandas(_fold_order, "gone string, owner string, nth int")
+    folds = fold_order(told.where("outcome = 'consolidate'").select(F.col("pos").cast("long").alias("at"), F.col("by_name").alias("owner"), F.col("by_issn").alias("gone")))
     lists = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c.alias("v")))), lambda x: x["v"]))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("nth")))
     labels = lambda c: F.coalesce(c, F.array().cast(VENUE["labels"].dataType))

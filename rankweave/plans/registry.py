@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import citations, text, urls
 from ..operators import badges, matching, merging
 from ..schema import DEFAULT_SCHOOL, STRINGS, VENUE
+from ..scratch import folder as folder_of
 from ..sources import bundled, catalog, distribution, files, pages
 from ..streaming import labels
 from ..streaming import pages as streaming
@@ -243,6 +242,25 @@ def school_additions(spark, sf_dir):
     return merging.add_school_data(base, add).select(F.col("canonical_name").alias("name"), F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("schools"))
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey // 7 AS g, s_suppkey % 7 AS r FROM supplier),
+m AS (SELECT g, min(r) AS first, max(r) AS last, min(r) = 0 AND g % 2 = 0 AS based FROM s GROUP BY g),
+c AS (SELECT g, 'S' || k % 3 AS catalog, min(k) AS seen, max(k) AS rank FROM s GROUP BY ALL),
+ranks AS (SELECT g, string_agg(catalog || '=' || rank, ';' ORDER BY seen) AS schools FROM c GROUP BY g)
+SELECT CASE WHEN based THEN 'b:' || g ELSE 's:' || (7 * g + first) END AS id, 'Chain ' || g || ' step ' || CASE WHEN based THEN 0 ELSE first END AS name,
+  array_to_string(list_transform(range(CASE WHEN based THEN 0 ELSE first + 1 END, last + 2), lambda x: 'Chain ' || g || ' step ' || x), ';') AS aliases, schools
+FROM m JOIN ranks USING (g)
+UNION ALL SELECT 'b:' || g, 'Chain ' || g || ' step 0', '', '' FROM m WHERE g % 2 = 0 AND NOT based""")
+def school_chains(spark, sf_dir):
+    """Additions of which each is known by a name that the one before it gave; half of the chains begin at a base venue."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 7).alias("g"), (F.col("s_suppkey") % 7).alias("r"))
+    base = _venues(s.where("g % 2 = 0").groupBy("g").agg(F.lit(1).alias("one")), id="concat('b:', g)", type="'journal'", canonical_name="concat('Chain ', g, ' step 0')", pos="cast(g as int)")
+    add = _venues(s, id="concat('s:', k)", type="'journal'", canonical_name="concat('Chain ', g, ' step ', r)", aliases="array(concat('chain ', g, ' step ', r), concat('Chain ', g, ' step ', r + 1))",
+                  pos="cast(k as int)", school=F.expr(f"cast(struct(cast(k as string), null, null, concat('S', k % 3)) as {_RANK})"))
+    add = add.withColumn("aliases", F.slice("aliases", 2, 1))
+    shown = F.transform("schools", lambda x: F.concat(x["catalog"], F.lit("="), x["rank"]))
+    return merging.add_school_data(base, add).select("id", F.col("canonical_name").alias("name"), F.array_join("aliases", ";").alias("aliases"), F.coalesce(F.array_join(shown, ";"), F.lit("")).alias("schools"))
+
+
 # 2.4 / 2.5 merging
 
 _RANK = "struct<rank:string,edition:string,source_url:string,catalog:string>"
@@ -402,6 +420,28 @@ def management_merge(spark, sf_dir):
     return got.select("id", F.col("canonical_name").alias("name"), F.size("aliases").alias("n_aliases"), F.size("issn").alias("n_issn"), managed.alias("managed"))
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS g, s_suppkey % 5 AS r, s_acctbal FROM supplier),
+whole AS (SELECT g FROM s GROUP BY g HAVING count(*) = 5),
+t AS (SELECT s.*, 'Title ' || lpad(g::VARCHAR, 6, '0') || CASE r WHEN 0 THEN '' WHEN 2 THEN ' formerly 1 formerly 2' ELSE ' formerly ' || r END AS name, lpad((k + 1)::VARCHAR, 8, '0') AS issn FROM s)
+SELECT 't:' || max(k) AS id, arg_max(name, k) AS name, string_agg(name, ';' ORDER BY r) FILTER (r < 4) AS aliases, arg_max(issn, k) || ';' || string_agg(issn, ';' ORDER BY r) FILTER (r < 4) AS issn,
+  arg_min(k, CASE r WHEN 4 THEN -1 ELSE r END) FILTER (k % 3 = 0) AS dblp, true AS managed FROM t SEMI JOIN whole USING (g) GROUP BY g
+UNION ALL SELECT 't:' || k, name, '', issn, CASE WHEN k % 3 = 0 THEN k END, false FROM t ANTI JOIN whole USING (g)""")
+def management_folds(spark, sf_dir):
+    """Of every five venues the third goes into the second, the second into the first, the fourth into the first, and the first into the fifth."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 5).alias("g"), (F.col("s_suppkey") % 5).alias("r"))
+    title = lambda r: F.concat(F.lit("Title "), F.lpad(F.col("g").cast("string"), 6, "0"), F.when(r == 0, "").when(r == 2, " formerly 1 formerly 2").otherwise(F.concat(F.lit(" formerly "), r.cast("string"))))
+    number = lambda r: F.lpad((F.col("g") * 5 + r + 1).cast("string"), 8, "0")
+    target = _venues(s, id="concat('t:', k)", type="'journal'", canonical_name=title(F.col("r")), issn=F.array(number(F.col("r"))), dblp_key="if(k % 3 = 0, cast(k as string), null)", pos="cast(k as int)")
+    whole = s.groupBy("g").agg(F.count("*").alias("n")).where("n = 5")
+    steps = F.array(*[F.struct(F.lit(n).alias("step"), F.lit(a).alias("owner"), F.lit(b).alias("gone")) for n, (a, b) in enumerate([(1, 2), (0, 1), (0, 3), (4, 0)])])
+    rows = whole.select("g", F.explode(steps).alias("x")).select("g", "x.*")
+    label = F.array(F.struct(F.lit("cast-tier").alias("kind"), F.lit(_MANAGED).alias("text"), F.lit(None).cast("string").alias("edition")))
+    source = _venues(rows, id="concat('f:', g, ':', step)", type="'journal'", canonical_name=title(F.col("owner")), issn=F.array(number(F.col("gone"))), labels=label, pos="cast(g * 4 + step as int)")
+    managed = F.exists(F.coalesce("labels", F.array().cast(VENUE["labels"].dataType)), lambda x: x["text"] == _MANAGED)
+    got = merging.merge_management(source, target)
+    return got.select("id", F.col("canonical_name").alias("name"), F.array_join("aliases", ";").alias("aliases"), F.array_join("issn", ";").alias("issn"), F.col("dblp_key").cast("long").alias("dblp"), managed.alias("managed"))
+
+
 @query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type")
 def counts_by_rank(spark, sf_dir):
     """A13, P22."""
@@ -688,7 +728,7 @@ SELECT n_name AS name, 'A' AS ccf, coalesce(r, 'C') AS school FROM f LEFT JOIN l
 UNION ALL SELECT 'Added ' || r_name, NULL, NULL FROM region""")
 def bundled_venues(spark, sf_dir):
     """Base catalogs kept as files, put together, with the additions of a bundled JSON file."""
-    folder = _stream_folder(spark, "bundle")
+    folder = folder_of(spark, "bundle")
     lists = "array() as aliases, array() as acronyms, array() as issn"
     nation = _t(spark, sf_dir, "nation")
     first = nation.selectExpr("concat('n:', n_nationkey) as id", "'journal' as type", "n_name as canonical_name", *lists.split(", "), "'A' as rank", "n_nationkey as pos")
@@ -707,7 +747,7 @@ def bundled_venues(spark, sf_dir):
 SELECT name AS canonical_name, 'B' AS ccf FROM b UNION ALL SELECT 'Shared ' || k, 'A' FROM u WHERE k NOT IN (SELECT k FROM b WHERE k <= 20)""")
 def published_merge(spark, sf_dir):
     """A source file merged into the base, published, verified with a trial activation, and fetched."""
-    folder = _stream_folder(spark, "published")
+    folder = folder_of(spark, "published")
     base = _venues(_t(spark, sf_dir, "supplier"), id="concat('s:', s_suppkey)", type="'journal'", canonical_name="if(s_suppkey <= 20, concat('Shared ', s_suppkey), s_name)",
                    ccf=F.expr(f"cast(struct('B', '7', null, 'CCF') as {_RANK})"), pos="cast(s_suppkey as int)")
     lines = [f"Shared {r['n_nationkey']},A" for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
@@ -728,7 +768,7 @@ def published_core(spark, sf_dir):
                 school=F.expr(f"cast(if(s_suppkey % 3 = 0, struct('B', '2026', null, '某校'), null) as {_RANK})"), pos="cast(s_suppkey as int)")
     folders = []
     for k in range(s.agg(F.coalesce(F.max("s_suppkey"), F.lit(0))).first()[0] // catalog.MAX_RECORDS + 1):
-        folders.append(_stream_folder(spark, "core"))
+        folders.append(folder_of(spark, "core"))
         distribution.publish_core(v.where(F.floor(F.col("pos") / catalog.MAX_RECORDS) == k), folders[-1])
     # every file begins with the header line
     return spark.read.text([f"{f}/{distribution.PUBLIC_NAME}" for f in folders]).select(F.col("value").alias("line")).groupBy("line").agg(F.count("*").alias("n")).select("line")
@@ -754,7 +794,7 @@ def catalog_preview(spark, sf_dir):
 @query("""SELECT p_partkey::BIGINT AS page_id, CASE WHEN p_size % 2 = 0 THEN 'CCF-B 类推荐' ELSE 'CCF-A 类推荐' END AS labels, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS written_by FROM part""")
 def swapped_catalog(spark, sf_dir):
     """Papers labelled as a stream; then the catalog is swapped, and only the papers whose labels change are written again."""
-    sink, source = _stream_folder(spark, "labels"), f"{sf_dir}/part.parquet"
+    sink, source = folder_of(spark, "labels"), f"{sf_dir}/part.parquet"
     static = _t(spark, sf_dir, "part")
     venues = lambda rank: _venues(static, id="concat('p:', p_partkey)", type="'journal'", canonical_name="concat(p_name, ' ', p_partkey)", pos="cast(p_partkey as int)",
                                   ccf=F.expr(f"cast(struct({rank}, null, null, 'CCF') as {_RANK})"))
@@ -778,7 +818,7 @@ def latest_snapshot(spark, sf_dir):
 @query("SELECT count(*) AS n_pages, count(*) AS n_papers FROM pages")
 def streaming_upsert(spark, sf_dir):
     """Pages as a stream of snapshots, upserted by micro-batch, read back."""
-    sink = _stream_folder(spark, "pages")
+    sink = folder_of(spark, "pages")
     static, source = _t(spark, sf_dir, "pages"), f"{sf_dir}/pages.parquet"
     # a file source reads folders or patterns; a single file is named by a pattern that fits it alone
     snapshots = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/pages.parque[t]")
@@ -788,20 +828,10 @@ def streaming_upsert(spark, sf_dir):
     return rows.agg(F.count_if(F.col("node_pos").isNull()).alias("n_pages"), F.count_if(F.col("node_pos").isNotNull()).alias("n_papers"))
 
 
-def _stream_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; only in a local session that names none, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='rankweave-stream-')}"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT user_id AS page_id, arg_max(event_type, rev) AS title, max(rev) AS revision FROM (SELECT user_id, event_type, event_id, event_id AS rev FROM events) GROUP BY user_id""")
 def stale_revisions(spark, sf_dir):
     """Two batches into one sink, the newer snapshots of half the pages first; older ones change nothing."""
-    sink = _stream_folder(spark, "stale")
+    sink = folder_of(spark, "stale")
     e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.lit("").alias("url"), F.col("event_type").alias("html"), F.col("event_id").alias("revision"))
     heads = lambda df: df.select("page_id", F.lit(0).alias("node_pos"), F.col("html").alias("title"))
     newest = streaming.latest(e)
@@ -819,7 +849,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def hourly_events(spark, sf_dir):
     """Event-time windows over the events as a stream with a watermark; the last state is read back."""
     static, source = _t(spark, sf_dir, "events"), f"{sf_dir}/events.parquet"
-    sink = _stream_folder(spark, "hours")
+    sink = folder_of(spark, "hours")
     events = spark.readStream.schema(static.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/events.parque[t]")
     hours = streaming.conform_events(events).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/{number:06d}")

@@ -139,6 +139,7 @@ def _compare(batches: Iterator[pa.RecordBatch], top: int, cells: int) -> Iterato
     names = [x.split()[0] for x in COMPARED.split(", ")]
     kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
     sums: dict[str, tuple[list, np.ndarray]] = {}
+    tops: dict[tuple, list] = {}
 
     def pairs(lang: str, sources: list, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         k = len(sources)
@@ -149,6 +150,11 @@ def _compare(batches: Iterator[pa.RecordBatch], top: int, cells: int) -> Iterato
             columns = [[lang] * len(i), ["pair"] * len(i), name[i + at], name[j], [None] * len(i), own[i, j]]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
+    def terms_of() -> Iterator[pa.RecordBatch]:
+        rows = [(lang, "term", source, term, at, -less) for (lang, source), best in tops.items() for less, at, term in best]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("lang", "chunk", "terms", "sources", "who", "ids", "counts", "groups", "v")]
         for lang, chunk, terms, present, who, ids, counts, groups, v in zip(*columns, strict=True):
@@ -157,7 +163,6 @@ def _compare(batches: Iterator[pa.RecordBatch], top: int, cells: int) -> Iterato
             who = np.array([place[s] for s in present], dtype=np.int64)[np.frombuffer(who, dtype="<i4")]
             ids, counts = np.frombuffer(ids, dtype="<i4").astype(np.int64), np.frombuffer(counts, dtype="<i8")
             divergence = np.zeros((len(sources), len(sources)), dtype=np.int64)
-            rows: list[tuple] = []
             width = max(1, cells // len(sources))
             for at in range(0, len(terms), width):
                 w = min(width, len(terms) - at)
@@ -168,11 +173,14 @@ def _compare(batches: Iterator[pa.RecordBatch], top: int, cells: int) -> Iterato
                     found = np.flatnonzero((dense[k] > 0) & (p[k] > q))
                     value = (p[k, found] - q[found]) ** 2 // q[found]
                     best = np.argsort(-value, kind="stable")[:top]  # equal values stay in order of their ids
-                    rows += [(lang, "term", sources[k], terms[at + t], (chunk << 20) + at + t, f) for t, f in zip(found[best].tolist(), value[best].tolist(), strict=True)]
+                    rows = [(-f, (chunk << 20) + at + t, terms[at + t]) for t, f in zip(found[best].tolist(), value[best].tolist(), strict=True)]
+                    if rows:
+                        tops[lang, sources[k]] = sorted(tops.get((lang, sources[k]), []) + rows)[:top]
                     apart = p - p[k]
                     divergence[:, k] += (apart * apart // p[k]).sum(axis=1)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                if len(tops) * top > REMEMBERED:
+                    yield from terms_of()
+                    tops.clear()
             if divergence.size > cells:
                 yield from pairs(lang, sources, divergence)
             elif lang in sums:
@@ -183,6 +191,7 @@ def _compare(batches: Iterator[pa.RecordBatch], top: int, cells: int) -> Iterato
                     for name, x in sums.items():
                         yield from pairs(name, *x)
                     sums = {}
+    yield from terms_of()
     for name, x in sums.items():
         yield from pairs(name, *x)
 
@@ -209,7 +218,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, cells
     totals = stage(totals, "divergence-totals")
     none, nothing = F.array().cast("array<string>"), F.lit(b"")
     empty = totals.select("lang", F.lit(0).cast("long").alias("chunk"), none.alias("terms"), none.alias("sources"), nothing.alias("who"), nothing.alias("ids"), nothing.alias("counts"))
-    compared = chunks.drop("sums").unionByName(empty).join(totals, "lang").mapInArrow(partial(_compare, top=top, cells=cells), COMPARED)
+    rows = chunks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0)).alias("n")).first()["n"] // 4
+    joined = chunks.drop("sums").unionByName(empty).join(totals, "lang").coalesce(1 + rows // chunk_rows)  # as many tasks as there are full chunks
+    compared = joined.mapInArrow(partial(_compare, top=top, cells=cells), COMPARED)
     compared = stage(compared, "divergence-compared")
     discard(chunks, totals)
     rank = lambda *by: F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), *by)).alias("rank")

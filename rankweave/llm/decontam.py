@@ -279,14 +279,17 @@ def decontaminate(
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     found = "n_words long, spans array<array<long>>, items array<string>"
     at_text, at_keep = len(keep), len(keep) + 1
-    now = docs.select(*keep, F.col("text").alias("__text"))
+    now, before = docs.select(*keep, F.col("text").alias("__text")), []
     for b in range(blocks):
         own = parts.where(F.pmod(F.xxhash64("item", "part", "text"), F.lit(blocks)) == b)
         phrases = Phrases.of([(r["item"], r["text"]) for r in own.select("item", "text").distinct().collect()])  # about block_windows
         last = b == blocks - 1
         schema = f"{kept}, __text string, {found}" + (", clean_text string" if clean and last else "")
         now = now.mapInArrow(partial(_scan, phrases=phrases, keep=at_keep, text_at=at_text, first=b == 0, clean=clean and last), schema)
-        now = now if last else stage(now, "decontam-block")
+        if not last:
+            now = stage(now, "decontam-block")
+            discard(*before)
+            before = [now]
     discard(parts)
     return now.drop("__text")
 

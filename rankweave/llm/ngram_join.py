@@ -298,7 +298,8 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_bytes:
     sets = stage(own.withColumn("th", F.xxhash64("text")).mapInArrow(
         partial(_sets, size=size, percent=percent, order=order), "doc_id long, th long, n long, key binary, prefix array<long>"), "join-sets")
     nodes = stage(
-        sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        sets.where("key is not null").groupBy("key").agg(
+            F.min("doc_id").alias("doc_id"), F.min_by("th", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("th"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .withColumn("nid", F.monotonically_increasing_id()),
         "join-nodes",
     )
@@ -316,8 +317,9 @@ def similarity_components(docs: DataFrame, size: int, percent: int, cell_bytes:
     discard(shared)
     cells = stage(_layout(members, percent, cell_bytes), "join-cells")
     discard(members)
-    wanted = cells.select("nid").distinct().join(nodes, "nid").select("nid", "key", F.col("doc_id").alias("__id"))
-    texts = own.where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("nid", "key", "text")
+    wanted = cells.select("nid").distinct().join(nodes, "nid").select("nid", "key", F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    texts = own.where("text is not null").join(wanted, same).select("nid", "key", "text")
     packed = stage(texts.mapInArrow(partial(_fetch, size=size), "nid long, packed binary"), "join-packed")
     dealt = cells.join(packed, "nid").repartition("hub", "band", "i", "j").sortWithinPartitions("hub", "band", "i", "j")
     links = dealt.select("hub", "band", "i", "j", "sub", "nid", "packed").mapInArrow(partial(_cells, percent=percent), "a long, b long")

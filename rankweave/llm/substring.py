@@ -11,7 +11,8 @@ their matches:
 2. The passages around shared anchors go to the shard of the hub's section that the
    anchor lies in, so no shard has more than ``SECTION`` anchors. An anchor of more than
    ``SHARD_ROWS`` rows has as many sub-shards as that takes, and its windows are dealt
-   among them one by one by their hash; equal windows still meet.
+   among them by their next anchors, the second least hash among their runs and so on:
+   neighbours mostly share them and stay one passage, and equal windows meet.
 3. In every shard equal passages are one, with their least document: an aggregation with
    map-side combining, so a passage that very many documents share is not gathered. The
    passages are streamed, by least document, through the shard's suffix automaton;
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import configure, discard, stage, table
-from ._words import runs, window_hashes, word_hashes
+from ._words import mix, runs, window_hashes, word_hashes
 
 WINDOW = 13
 ANCHOR = 5
@@ -78,34 +79,54 @@ def _emit(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterat
         )
 
 
+def next_anchors(grams: np.ndarray, size: int, count: int) -> np.ndarray:
+    """For each run of ``size`` grams one hash of its second least to its ``count``-th next least."""
+    least = np.sort(np.lib.stride_tricks.sliding_window_view(grams, size), axis=1)[:, 1 : 1 + count]
+    out = np.zeros(len(least), dtype=np.uint64)
+    for k in range(least.shape[1]):
+        out = mix(out ^ least[:, k])
+    return out
+
+
 SHARD = ("hub", "section", "sub")
 PASSAGES = "hub long, section int, sub int, doc_id long, th long, first int, n int, words binary"
 
 
-def _passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Passages for shards; of an anchor with several sub-shards, its single windows."""
+def _passages(batches: Iterator[pa.RecordBatch], window: int, anchor: int, shard_rows: int) -> Iterator[pa.RecordBatch]:
+    """Passages for shards: the words of windows in a row that go to one."""
     names = [x.split()[0] for x in PASSAGES.split(", ")]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         rows: list[tuple] = []
         for doc, th, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")), strict=True):
             raw = _raw(text)
-            words, hashes = raw.split(), None
-            masks: dict[tuple, np.ndarray] = {}
+            words, grams = raw.split(), None
+            shards: dict[tuple, np.ndarray] = {}
             for p in places:
                 first, n = divmod(p["place"], _RUN)
+                subs = np.zeros(n, dtype=np.int64)
                 if p["subs"] > 1:
-                    if hashes is None:
-                        hashes = window_hashes(word_hashes(raw), window)
-                    rows += [(p["hub"], p["section"], 1 + int(hashes[k]) % p["subs"], doc, th, k, window, b" ".join(words[k : k + window])) for k in range(first, first + n)]
-                else:
-                    at = (p["hub"], p["section"])
-                    if at not in masks:
-                        masks[at] = np.zeros(len(words), dtype=bool)
-                    masks[at][first : first + n + window - 1] = True
-            for (hub, section), mask in masks.items():
-                rows += [(hub, section, 0, doc, th, int(a), int(b - a), b" ".join(words[a:b])) for a, b in zip(*runs(mask), strict=True)]
-            del masks
+                    if grams is None:
+                        grams = window_hashes(word_hashes(raw), anchor)
+                    more = 1
+                    while shard_rows ** more < p["subs"]:  # so many hashes as part that many rows
+                        more += 1
+                    own = next_anchors(grams[first : first + n + window - anchor], window - anchor + 1, more)
+                    subs = 1 + (own % np.uint64(p["subs"])).astype(np.int64)
+                for sub in np.unique(subs).tolist():
+                    at = (p["hub"], p["section"], sub)
+                    if at not in shards:
+                        shards[at] = np.zeros(len(words) - window + 1, dtype=bool)
+                    shards[at][first : first + n] |= subs == sub
+            for at, starts in shards.items():
+                spans = [(int(a), int(b) + window - 1) for a, b in zip(*runs(starts), strict=True)]
+                if at[2] == 0:  # passages that overlap are one
+                    covered = np.zeros(len(words), dtype=bool)
+                    for a, b in spans:
+                        covered[a:b] = True
+                    spans = [(int(a), int(b)) for a, b in zip(*runs(covered), strict=True)]
+                rows += [(*at, doc, th, a, b - a, b" ".join(words[a:b])) for a, b in spans]
+            del shards
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -226,9 +247,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sha
         F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), F.min_by("place", "doc_id").alias("at"), F.count("*").alias("m")).where("hub < other")
     section, subs = F.floor(F.col("at") / (_RUN * SECTION)).cast("int"), F.ceil(F.col("m") / shard_rows).cast("int")
     shared = stage(shared.select("key", "hub", section.alias("section"), subs.alias("subs")), "substring-shared")
-    places = stage(rows.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hub", "section", "subs", "place")).alias("places")), "substring-places")
+    places = stage(rows.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_set(F.struct("hub", "section", "subs", "place")).alias("places")), "substring-places")
     discard(rows, shared)
-    found = stage(own.join(places, ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(partial(_passages, window=window), PASSAGES), "substring-passages")
+    found = stage(own.join(places, ["doc_id", "th"]).select("doc_id", "th", "text", "places").mapInArrow(partial(_passages, window=window, anchor=anchor, shard_rows=shard_rows), PASSAGES), "substring-passages")
     discard(places)
     distinct = stage(found.groupBy(*SHARD, "words").agg(F.min("doc_id").alias("least")).withColumn("wid", F.monotonically_increasing_id()), "substring-distinct")
     streamed = (
@@ -242,7 +263,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, sha
     whole = F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop")))
     part = F.transform("seen", lambda s: F.struct((F.col("first") + s["start"]).alias("start"), (F.col("first") + s["stop"]).alias("stop")))
     gone = whose.where(later).select("doc_id", "th", whole.alias("gone")).unionByName(whose.where(~later).join(streamed, "wid").select("doc_id", "th", part.alias("gone")))
-    spans = stage(gone.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("gone")).alias("spans")), "substring-spans")
+    spans = stage(gone.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("gone")).alias("spans")), "substring-spans")
     discard(distinct, whose)
     kept = own.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")

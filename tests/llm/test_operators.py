@@ -3,14 +3,17 @@
 import math
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankweave.llm import decontam, langid, licences, ngram_join, packing, quality, secret_scan, sharding, substring, warc
+from rankweave.llm._common import _made, collected
 from rankweave.llm._graph import components as graph_components
 from rankweave.llm._words import runs, window_hashes, word_hashes
 
@@ -265,6 +268,48 @@ def test_suffix_automaton_statistics():
         assert automaton.statistics(query) == expect
 
 
+def test_hot_anchor_goes_through_automata(spark):
+    """A run of words that 400 documents share in 20 different surroundings: sub-shards hold runs of windows, and the automata find them."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    few = [f"w{k}" for k in range(4)]
+    common = "the very common run of words"
+    rows = [(k, " ".join([*(rng.choice(few) for _ in range(3)), common, *(rng.choice(few) for _ in range(9))])) for k in range(400)]
+    got = substring.deduplicate(frame(spark, rows), shard_rows=20).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute.dedup(rows)
+    words = [t.split() for _, t in rows]
+    at = [substring.anchors(word_hashes(t.encode()), 13, 5) for _, t in rows]
+    hot = Counter(k for a in at for k in a[0].tolist()).most_common(1)[0][0]
+    places = [[{"hub": 0, "section": 0, "subs": 20, "place": int(f * 64 + n)} for k, f, n in zip(*a, strict=True) if k == hot] for a in at]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "th": 0, "text": t, "places": p} for (i, t), p in zip(rows, places, strict=True) if p])
+    passages = [r for b in substring._passages(iter([batch]), 13, 5, 20) for r in b.to_pylist()]
+    assert len({r["sub"] for r in passages}) > 5 and any(r["n"] > 13 for r in passages)
+    assert all(" ".join(words[r["doc_id"]][r["first"] : r["first"] + r["n"]]).encode() == r["words"] for r in passages)
+    least = {}
+    for r in passages:
+        key = (r["hub"], r["section"], r["sub"], r["words"])
+        least[key] = min(least.get(key, r["doc_id"]), r["doc_id"])
+    streamed = [{"hub": h, "section": s, "sub": u, "least": d, "wid": k, "words": w} for k, ((h, s, u, w), d) in enumerate(least.items())]
+    streamed.sort(key=lambda r: (r["hub"], r["section"], r["sub"], r["least"]))
+    found = [x for b in substring._stream(iter([pa.RecordBatch.from_pylist(streamed)]), 13) for x in b.to_pylist()]
+    assert found
+
+
+def test_repeated_rows_cost_no_more_than_their_number(spark):
+    text = " ".join(f"y{k}" for k in range(120))
+    rows = [(5, text)] * 3000 + [(7, text + " end"), (3, "z " * 20)]
+    began = time.time()
+    got = Counter((r.doc_id, r.n_removed) for r in substring.deduplicate(frame(spark, rows)).collect())
+    assert got == {(5, 0): 3000, (7, 120): 1, (3, 0): 1} and time.time() - began < 60
+
+
+def test_very_long_text_loses_what_a_smaller_id_has(spark):
+    long = " ".join(f"v{k % 9973}x{k % 101}" for k in range(120_000))
+    got = {r.doc_id: r.n_removed for r in substring.deduplicate(frame(spark, [(1, long), (2, "start " + long), (3, "alone " * 5)]), keep_text=False).collect()}
+    assert got == {1: 0, 2: 120_000, 3: 0}
+
+
 # 4 sharding
 
 
@@ -395,6 +440,16 @@ def test_join_edges_and_one_of_each(spark):
     assert ngram_join.similarity_components(frame(spark, []), 4, 85).count() == 0
 
 
+def test_many_texts_without_a_doc_id(spark):
+    """Each finds its own text again by its hash, not all that have no id."""
+    rng = random.Random(6)
+    texts = [" ".join(f"q{rng.randrange(300)}" for _ in range(30)) for _ in range(1500)]
+    rows = [(None, t) for t in texts] + [(None, t + " more") for t in texts[:700]] + [(5, texts[0])]
+    began = time.time()
+    got = Counter(r.component_id for r in ngram_join.similarity_components(frame(spark, rows), 5, 80).collect())
+    assert got == {None: len(rows) - 3, 5: 3} and time.time() - began < 60
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 120)] + [(7, 7)]
     got = {r.node: r.root for r in graph_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -676,6 +731,17 @@ def test_decontamination_against_brute_force(spark, block):
     assert not any(r.spans for r in decontam.decontaminate(docs, none, ["doc_id"]).collect())
 
 
+def test_blocks_leave_one_table_at_most(spark):
+    rows = corpus(seed=11, n=30)
+    bench = spark.createDataFrame([(str(k), t) for k, t in rows[:20]], "item_id string, text string")
+    with collected(spark, keep="none"):
+        made = _made.get()
+        got = decontam.decontaminate(frame(spark, rows), bench, ["doc_id"], block_windows=20, part_windows=7)
+        left = [p for p in made if Path(p.removeprefix("file://")).exists()]
+        assert len(made) > 10 and len(left) == 1
+        assert {r.doc_id for r in got.collect() if r.spans} >= {i for i, t in rows[:20] if len(t.split()) > 12}
+
+
 def test_long_runs_are_cut_into_shards_without_loss(monkeypatch):
     rng = random.Random(3)
     words = [f"w{rng.randrange(6)}" for _ in range(400)]

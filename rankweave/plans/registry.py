@@ -14,7 +14,7 @@ from ..operators import badges, matching, merging
 from ..schema import DEFAULT_SCHOOL, STRINGS, VENUE
 from ..scratch import folder as folder_of
 from ..sources import bundled, catalog, distribution, files, pages
-from ..streaming import labels
+from ..streaming import labels, pacing
 from ..streaming import pages as streaming
 
 _QUERIES: dict = {}
@@ -840,6 +840,60 @@ def stale_revisions(spark, sf_dir):
     return streaming.current(spark, sink).select("page_id", "title", "revision")
 
 
+@query("""WITH r1 AS (SELECT user_id, max(event_id) AS revision FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+r2 AS (SELECT user_id, max(event_id) AS revision FROM events WHERE event_id % 2 = 1 GROUP BY user_id),
+parsed AS (FROM r1 UNION ALL SELECT r2.* FROM r2 LEFT JOIN r1 USING (user_id) WHERE r1.revision IS NULL OR r2.revision > r1.revision)
+SELECT parsed.user_id AS page_id, revision, event_type AS title FROM parsed JOIN events ON event_id = revision""")
+def guarded_pages(spark, sf_dir):
+    """A stream in two runs; what is older than what its page has seen is not parsed, and a run adds its own rows alone."""
+    sink, source = folder_of(spark, "guarded"), folder_of(spark, "guarded-in")
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.lit("").alias("url"), F.col("event_type").alias("html"), F.col("event_id").alias("revision"))
+    heads = lambda df: df.select("page_id", F.lit(0).alias("node_pos"), F.col("html").alias("title"))
+    for part in (0, 1):
+        e.where(F.col("revision") % 2 == part).write.mode("append").parquet(source)
+        streaming.stream_pages(spark.readStream.schema(e.schema).parquet(source), sink, f"{sink}.checkpoint", extract=heads, delay_ms=0).awaitTermination()
+    return streaming.history(spark, sink).where("node_pos is not null").select("page_id", "revision", "title")
+
+
+_QUARTER_DAY = 21_600_000  # milliseconds, for changes that lie hours apart
+_CHANGES = """e AS (SELECT user_id AS page_id, event_type AS title, event_id - CASE WHEN event_id % 7 = 0 THEN 400 ELSE 0 END AS revision, epoch_us(ts) // 1000 AS ms FROM events),
+known AS (SELECT *, max(revision) OVER (PARTITION BY page_id ORDER BY ms, revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e),
+fresh AS (SELECT page_id, title, revision, ms, row_number() OVER (PARTITION BY page_id ORDER BY ms, revision) AS n, lead(ms) OVER (PARTITION BY page_id ORDER BY ms, revision) AS following
+  FROM known WHERE newest IS NULL OR revision > newest)"""
+
+
+def _paced(spark: SparkSession, sf_dir: str, leading: bool) -> DataFrame:
+    """Events as changes of a page a user, some with an older revision, replayed by their time; a change much later closes the stream."""
+    source, sink = folder_of(spark, "changes"), folder_of(spark, "paced")
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.lit("").alias("url"), F.col("event_type").alias("html"),
+                                           F.expr("event_id - if(event_id % 7 = 0, 400, 0)").alias("revision"), F.col("ts").cast("timestamp").alias("ts"))
+    close = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("page_id"), F.lit("").alias("url"), F.lit("").alias("html"), F.lit(0).cast("long").alias("revision"), F.expr("ts + interval 9 days").alias("ts"))
+    for part in (e, close):
+        part.write.mode("append").parquet(source)
+        paced = pacing.pace(spark.readStream.schema(e.schema).parquet(source), _QUARTER_DAY, leading, replayed=True)
+        run = paced.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}.checkpoint")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(pacing.PARSE).parquet(sink).where("page_id >= 0").select("page_id", "revision", F.col("html").alias("title"), F.col("due").cast("timestamp_ntz").alias("due"))
+
+
+@query(f"""WITH {_CHANGES}
+SELECT page_id, revision, title, make_timestamp_ms(ms + {_QUARTER_DAY}) AS due FROM fresh WHERE following IS NULL OR following >= ms + {_QUARTER_DAY}""")
+def debounced_pages(spark, sf_dir):
+    """Of changes that follow each other within a quarter of a day, the last is parsed, that much later."""
+    return _paced(spark, sf_dir, leading=False)
+
+
+@query(f"""WITH RECURSIVE {_CHANGES},
+jumps AS (SELECT a.page_id, a.n, a.ms, min(b.n) AS next FROM fresh a LEFT JOIN fresh b ON a.page_id = b.page_id AND b.ms >= a.ms + {_QUARTER_DAY} GROUP BY ALL),
+armed AS (SELECT * FROM jumps WHERE n = 2 UNION ALL SELECT jumps.* FROM armed JOIN jumps ON jumps.page_id = armed.page_id AND jumps.n = armed.next),
+ends AS (SELECT page_id, max(n) AS last FROM fresh GROUP BY page_id)
+SELECT page_id, revision, title, make_timestamp_ms(ms) AS due FROM fresh WHERE n = 1
+UNION ALL SELECT f.page_id, f.revision, f.title, make_timestamp_ms(a.ms + {_QUARTER_DAY}) FROM armed a JOIN ends USING (page_id) JOIN fresh f ON f.page_id = a.page_id AND f.n = coalesce(a.next - 1, last)""")
+def throttled_pages(spark, sf_dir):
+    """The first change is parsed at once, then the newest at most every quarter of a day."""
+    return _paced(spark, sf_dir, leading=True)
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()

@@ -54,14 +54,14 @@ class Pacer(StatefulProcessor):
         waits = self.waiting.get() if self.waiting.exists() else None
         armed = waits[0] if waits else None
         newest = waits[2] if waits else seen
-        for changed, revision, url, html in self._changes(rows, timerValues.getCurrentProcessingTimeInMs()):
+        for changed, revision, url, html in self._changes(rows, timerValues.getCurrentProcessingTimeInMs() if self.delay else 0):
             if newest is not None and revision <= newest:
                 continue
             newest = revision
             if waits and waits[0] <= changed:
                 yield self._parse(key, waits, waits[0])
                 seen, waits = waits[2], None
-            if self.leading and seen is None and not waits:
+            if not self.delay or self.leading and seen is None and not waits:
                 yield self._parse(key, (0, changed, revision, url, html), changed)
                 seen = revision
                 continue
@@ -99,6 +99,7 @@ def configure(spark: SparkSession) -> None:
 def pace(changes: DataFrame, delay_ms: int, leading: bool = False, replayed: bool = False, late: str = "0 seconds") -> DataFrame:
     """The snapshots to parse, with the time at which they were ``due``, of a stream of changes (page_id, url, html, revision).
 
+    Without a delay a snapshot newer than its page's last is parsed at once.
     ``replayed`` streams also have ``ts``, the time of the change, which is read to the
     millisecond; changes more than ``late`` behind the newest are left out. Changes
     without a page_id or revision are left out.
@@ -110,5 +111,5 @@ def pace(changes: DataFrame, delay_ms: int, leading: bool = False, replayed: boo
         known = known.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").withWatermark("ts", late)
         columns += [F.unix_millis("ts").alias("changed"), "ts"]
     parsed = known.select(*columns).groupBy("page_id").transformWithState(
-        Pacer(delay_ms, leading, replayed), f"{PAGE}, due long", "append", "EventTime" if replayed else "ProcessingTime")
-    return parsed.withColumn("due", F.timestamp_millis("due"))
+        Pacer(delay_ms, leading, replayed), f"{PAGE}, due long", "append", "EventTime" if replayed else "ProcessingTime" if delay_ms else "None")
+    return parsed.withColumn("due", F.timestamp_millis("due") if delay_ms or replayed else F.current_timestamp())

@@ -1,12 +1,15 @@
 """Page snapshots as a stream: every micro-batch replaces the papers of its pages.
 
-The sink holds the papers of the latest revision of every page, in buckets of pages.
-A batch writes the buckets of its pages anew, next to the old ones, and then a commit
-that says where each bucket is; the commit appears by one rename. So a batch that stops
-half-way changes nothing, and readers see one commit or the next. A snapshot that is
-older than what the sink has for its page is ignored, so a slow refresh can't undo a
-newer one. Each page has a marker row (node_pos null), also when it has no paper, and a
-replayed batch gives the same table.
+The sink holds the papers of the pages' revisions, in buckets of pages. A batch adds one
+piece to each bucket of its pages, and then a commit that says which pieces a bucket has;
+the commit appears by one rename. So a batch writes what it holds, one that stops half-way changes nothing, and
+readers see one commit or the next. A bucket of more than ``PIECES`` pieces is folded into
+one with the newest revisions alone. Readers take the newest revision of each page, so
+an older snapshot can't undo a newer one. Each page has a marker row (node_pos null),
+also when it has no paper, and a replayed batch gives the same table.
+
+A stream with a delay is paced first (``pacing``): what is not newer than what its page
+has seen is not even parsed.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.pages import extract_papers
+from .pacing import pace
 
-#: Of a new sink; choose more for a sink of very many pages, since a batch rewrites the buckets it touches.
+#: Of a new sink; choose more for a sink of very many pages, since a bucket is folded as a whole.
 BUCKETS = 64
+#: Pieces of a bucket that readers put together before it is folded.
+PIECES = 16
 
 
 def latest(snapshots: DataFrame, key: str = "page_id", revision: str = "revision") -> DataFrame:
@@ -58,38 +64,57 @@ def _commit(spark: SparkSession, sink: str, number: int, content: dict) -> None:
         raise RuntimeError(f"{sink}: commit {number} exists already")
 
 
+def _pieces(state: dict, sink: str) -> list[str]:
+    return [f"{sink}/{piece}" for pieces in state["at"].values() for piece in pieces]
+
+
+def _newest_rows(rows: DataFrame) -> DataFrame:
+    newest = rows.where("node_pos is null").groupBy("page_id").agg(F.max("revision").alias("revision"))
+    return rows.join(newest, ["page_id", "revision"]).dropDuplicates(["page_id", "node_pos", "revision"])
+
+
 def upsert(batch: DataFrame, sink: str, extract: Callable[[DataFrame], DataFrame] = extract_papers, buckets: int = BUCKETS) -> None:
     """Replace the rows of the pages in ``batch`` (page_id, url, html, revision)."""
     spark = batch.sparkSession
     number, state = _newest(spark, sink)
     buckets = state.get("buckets", buckets)
     bucket = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")
-    pages = latest(batch)
-    touched = [str(r["b"]) for r in pages.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` rows
-    if not touched:
-        return
-    new = extract(pages).join(pages.select("page_id", "revision"), "page_id")
-    rows = new.unionByName(pages.select("page_id", "revision"), allowMissingColumns=True)
-    old = [f"{sink}/{state['at'][b]}" for b in touched if b in state["at"]]
-    if old:
-        every = spark.read.schema(rows.schema).parquet(*old).unionByName(rows)
-        newest = F.max("revision").over(Window.partitionBy("page_id"))
-        rows = every.withColumn("__newest", newest).where("revision = __newest").drop("__newest").dropDuplicates(["page_id", "node_pos", "revision"])
     version = f"{number + 1:09d}-{uuid.uuid4().hex}"
-    rows.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{sink}/{version}")
-    stale = [state["at"][b] for b in touched if b in state["at"]]
-    _commit(spark, sink, number + 1, {"buckets": buckets, "at": state["at"] | {b: f"{version}/bucket={b}" for b in touched}, "stale": stale})
+    put = lambda rows, folder: rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{sink}/{folder}")
+    pages = latest(batch).persist()
+    try:
+        new = extract(pages).join(pages.select("page_id", "revision"), "page_id")
+        put(new.unionByName(pages.select("page_id", "revision"), allowMissingColumns=True), version)
+    finally:
+        pages.unpersist()
+    fs, where = _place(spark, f"{sink}/{version}")
+    written = [x.getPath().getName() for x in fs.listStatus(where) if x.getPath().getName().startswith("bucket=")]
+    if not written:
+        fs.delete(where, True)
+        return
+    at = {**state["at"], **{(b := name.split("=")[1]): [*state["at"].get(b, []), f"{version}/{name}"] for name in written}}
+    full, stale = [b for b, pieces in at.items() if len(pieces) > PIECES], []
+    if full:
+        stale = [piece for b in full for piece in at[b]]
+        put(_newest_rows(spark.read.option("mergeSchema", "true").parquet(*[f"{sink}/{piece}" for piece in stale])), f"{version}-folded")
+        at |= {b: [f"{version}-folded/bucket={b}"] for b in full}
+    _commit(spark, sink, number + 1, {"buckets": buckets, "at": at, "stale": stale})
     for path in state["stale"]:  # readers of the commit before may still read what this one has replaced, but nothing older
         fs, where = _place(spark, f"{sink}/{path}")
         fs.delete(where, True)
 
 
-def snapshot(spark: SparkSession, sink: str) -> DataFrame:
-    """All rows of the newest commit, markers included."""
-    at = _newest(spark, sink)[1]["at"]
-    if not at:
+def history(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows of the newest commit: the newest revisions, markers included, and older ones of buckets not folded since."""
+    pieces = _pieces(_newest(spark, sink)[1], sink)
+    if not pieces:
         raise ValueError(f"{sink} has no commit")
-    return spark.read.option("mergeSchema", "true").parquet(*[f"{sink}/{x}" for x in at.values()])
+    return spark.read.option("mergeSchema", "true").parquet(*pieces)
+
+
+def snapshot(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows of the latest revisions, markers included."""
+    return _newest_rows(history(spark, sink))
 
 
 def current(spark: SparkSession, sink: str) -> DataFrame:
@@ -97,9 +122,16 @@ def current(spark: SparkSession, sink: str) -> DataFrame:
     return snapshot(spark, sink).where("node_pos is not null")
 
 
-def stream_pages(snapshots: DataFrame, sink: str, checkpoint: str, interval: str | None = None, extract=extract_papers) -> StreamingQuery:
-    """Start the stream; without an interval it takes what is there and stops."""
-    writer = snapshots.writeStream.foreachBatch(lambda batch, _: upsert(batch, sink, extract)).option("checkpointLocation", checkpoint)
+def stream_pages(snapshots: DataFrame, sink: str, checkpoint: str, interval: str | None = None, extract=extract_papers, delay_ms: int | None = None, leading: bool = False) -> StreamingQuery:
+    """Start the stream; without an interval it takes what is there and stops.
+
+    With ``delay_ms`` snapshots are paced: 0 leaves out what is not newer, more lets
+    changes wait (``leading``: but the first), which takes an interval.
+    """
+    if delay_ms and not interval:
+        raise ValueError("changes that wait need an interval: the stream must be there when they are due")
+    paced = snapshots if delay_ms is None else pace(snapshots, delay_ms, leading).drop("due")
+    writer = paced.writeStream.foreachBatch(lambda batch, _: upsert(batch, sink, extract)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

@@ -60,3 +60,34 @@ def test_a_batch_that_stops_changes_nothing(spark, tmp_path, monkeypatch):
     pages.upsert(batch(spark, (1, "u", "new", 2)), sink, heads)
     pages.upsert(batch(spark, (1, "u", "newer", 3)), sink, heads)
     assert papers(spark, sink) == sorted([*[x for x in before if x[0] != 1], (1, "newer", 3)])
+
+
+def test_a_batch_writes_what_it_holds(spark, tmp_path):
+    """Many small batches over a wide table: no bucket is rewritten before it has PIECES pieces."""
+    sink = str(tmp_path / "sink")
+    wide = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("t"), "id").alias("html"), F.lit(1).alias("revision"))
+    pages.upsert(wide, sink, heads, buckets=8)
+    for k in range(4):
+        pages.upsert(batch(spark, *[(10 * k + j, "u", f"new {k}", 2) for j in range(10)]), sink, heads)
+    assert pages.history(spark, sink).count() == 2 * (20_000 + 40)  # papers and markers
+    assert pages.snapshot(spark, sink).count() == 2 * 20_000
+    assert pages.current(spark, sink).where("revision = 2").count() == 40
+
+
+def test_a_bucket_of_many_pieces_is_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "PIECES", 3)
+    sink = str(tmp_path / "sink")
+    for k in range(6):
+        pages.upsert(batch(spark, (1, "u", f"a{k}", k), (2, "u", f"b{k}", 10 - k)), sink, heads, buckets=1)
+    assert papers(spark, sink) == [(1, "a5", 5), (2, "b0", 10)]
+    assert pages.history(spark, sink).count() < 2 * 12
+    pages.upsert(batch(spark), sink, heads)  # an empty batch makes no commit
+    assert papers(spark, sink) == [(1, "a5", 5), (2, "b0", 10)]
+
+
+def test_a_guarded_stream_does_not_parse_stale_snapshots(spark, tmp_path):
+    source, sink, schema = str(tmp_path / "in"), str(tmp_path / "sink"), "page_id long, url string, html string, revision int"
+    for rows in ([(1, "u", "x", 5), (1, "u", "w", 4), (2, "u", "p", 1)], [(1, "u", "old", 3), (2, "u", "q", 2)]):
+        batch(spark, *rows).coalesce(1).write.mode("append").parquet(source)
+        pages.stream_pages(spark.readStream.schema(schema).parquet(source), sink, str(tmp_path / "cp"), extract=heads, delay_ms=0).awaitTermination()
+    assert sorted((r.page_id, r.title) for r in pages.history(spark, sink).where("node_pos is not null").collect()) == [(1, "x"), (2, "p"), (2, "q")]

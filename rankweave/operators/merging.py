@@ -264,6 +264,29 @@ def rename_or_truncation(a: Column, b: Column) -> Column:
     return (a == b) | extends(a, b) | extends(b, a)
 
 
+def rename_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id): rows (id, name) of ``a`` and of ``b`` of which one name may be a rename or truncation of the other.
+
+    What ``rename_or_truncation`` tells of two loose names, for all pairs at once and
+    without comparing all: a name is joined, as a whole, with what stands before each
+    rename mark of another, and with the beginnings of another from ``LONG_NAME`` letters
+    on. So a name costs its own length, and a common beginning makes no block of pairs. Rows
+    without a letter pair with none but such rows, as equal names; a null name with none.
+    """
+    def names(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col("id").alias(f"{side}_id"), loose_name("name").alias("loose")).where("loose is not null")
+
+    def bases(df: DataFrame, side: str) -> DataFrame:
+        """Every name that one of these may extend."""
+        at = F.sequence(F.lit(1), F.length("loose") - 1)
+        cut = F.when(F.length("loose") > 1, F.filter(at, lambda n: (n >= LONG_NAME) | F.substring(F.col("loose"), n + 1, F.length("loose")).rlike(RENAMED)))
+        return df.select(f"{side}_id", F.explode(F.transform(cut, lambda n: F.substring(F.col("loose"), F.lit(1), n))).alias("loose"))
+
+    x, y = written(names(a, "a"), "names"), written(names(b, "b"), "names")
+    pairs = x.join(y, "loose").unionByName(bases(x, "a").join(y, "loose")).unionByName(bases(y, "b").join(x, "loose"))
+    return pairs.select("a_id", "b_id").distinct()
+
+
 def resolve_management(source: DataFrame, target: DataFrame, known: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
     """How each source row resolves: (pos, by_name, by_issn, outcome, venue_id).
 

@@ -442,6 +442,24 @@ def management_folds(spark, sf_dir):
     return got.select("id", F.col("canonical_name").alias("name"), F.array_join("aliases", ";").alias("aliases"), F.array_join("issn", ";").alias("issn"), F.col("dblp_key").cast("long").alias("dblp"), managed.alias("managed"))
 
 
+_TITLES = """SELECT p_partkey AS k, p_name || CASE p_partkey % 4 WHEN 1 THEN ' formerly ' || p_type WHEN 2 THEN ' ' || p_type WHEN 3 THEN ' previously known' ELSE '' END AS name FROM part
+  UNION ALL SELECT p_partkey + 1000000000, left(p_name || ' ' || p_type, 20 + p_partkey % 16) FROM part WHERE p_partkey % 5 = 0"""
+
+
+@query(f"""WITH t AS (SELECT k, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS n FROM ({_TITLES})),
+ext AS (SELECT v.k AS long, b.k AS short FROM t v JOIN t b ON b.n <> '' AND v.k <> b.k AND starts_with(v.n, b.n)
+  AND (length(b.n) >= 24 OR regexp_matches(substr(v.n, length(b.n) + 1), '^(formerly|previously)') OR v.n = b.n))
+SELECT long AS a_id, short AS b_id FROM ext UNION SELECT short, long FROM ext""")
+def rename_pairs(spark, sf_dir):
+    """All renames and truncations among the titles of a whole catalog."""
+    part = _t(spark, sf_dir, "part")
+    more = F.expr("case p_partkey % 4 when 1 then concat(' formerly ', p_type) when 2 then concat(' ', p_type) when 3 then ' previously known' else '' end")
+    cut = F.expr("left(concat(p_name, ' ', p_type), cast(20 + p_partkey % 16 as int))")
+    titles = part.select(F.col("p_partkey").cast("long").alias("id"), F.concat("p_name", more).alias("name")).unionByName(
+        part.where("p_partkey % 5 = 0").select((F.col("p_partkey") + 1000000000).cast("long").alias("id"), cut.alias("name")))
+    return merging.rename_pairs(titles, titles).where("a_id <> b_id")
+
+
 @query("SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type")
 def counts_by_rank(spark, sf_dir):
     """A13, P22."""

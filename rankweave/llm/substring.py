@@ -101,31 +101,33 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int, anchor: int, shard
         for doc, th, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")), strict=True):
             raw = _raw(text)
             words, grams = raw.split(), None
-            shards: dict[tuple, np.ndarray] = {}
+            nexts: dict[int, list[int]] = {}
+            shards: dict[tuple, list] = {}  # windows in a row, from and to
             for p in places:
                 first, n = divmod(p["place"], _RUN)
-                subs = np.zeros(n, dtype=np.int64)
-                if p["subs"] > 1:
-                    if grams is None:
-                        grams = window_hashes(word_hashes(raw), anchor)
-                    more = 1
-                    while shard_rows ** more < p["subs"]:  # so many hashes as part that many rows
-                        more += 1
-                    own = next_anchors(grams[first : first + n + window - anchor], window - anchor + 1, more)
-                    subs = 1 + (own % np.uint64(p["subs"])).astype(np.int64)
-                for sub in np.unique(subs).tolist():
-                    at = (p["hub"], p["section"], sub)
-                    if at not in shards:
-                        shards[at] = np.zeros(len(words) - window + 1, dtype=bool)
-                    shards[at][first : first + n] |= subs == sub
-            for at, starts in shards.items():
-                spans = [(int(a), int(b) + window - 1) for a, b in zip(*runs(starts), strict=True)]
-                if at[2] == 0:  # passages that overlap are one
-                    covered = np.zeros(len(words), dtype=bool)
-                    for a, b in spans:
-                        covered[a:b] = True
-                    spans = [(int(a), int(b)) for a, b in zip(*runs(covered), strict=True)]
-                rows += [(*at, doc, th, a, b - a, b" ".join(words[a:b])) for a, b in spans]
+                subs = p["subs"]
+                if subs <= 1:
+                    shards.setdefault((p["hub"], p["section"], 0), []).append((first, first + n))
+                    continue
+                more = 1
+                while shard_rows ** more < subs:  # so many hashes as part that many rows
+                    more += 1
+                if more not in nexts:
+                    grams = window_hashes(word_hashes(raw), anchor) if grams is None else grams
+                    nexts[more] = next_anchors(grams, window - anchor + 1, more).tolist()
+                own = nexts[more]
+                for k in range(first, first + n):
+                    shards.setdefault((p["hub"], p["section"], 1 + own[k] % subs), []).append((k, k + 1))
+            for at, own in shards.items():
+                own.sort()
+                reach = 0 if at[2] else window - 1  # of no sub-shard: passages that overlap are one
+                spans = [list(own[0])]
+                for a, b in own[1:]:
+                    if a <= spans[-1][1] + reach:
+                        spans[-1][1] = max(b, spans[-1][1])
+                    else:
+                        spans.append([a, b])
+                rows += [(*at, doc, th, a, b + window - 1 - a, b" ".join(words[a : b + window - 1])) for a, b in spans]
             del shards
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)

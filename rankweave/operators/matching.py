@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import acronym_of_name, venue_acronym, venue_name
+from ..scratch import written
 
 BROADCAST_KEYS = 200_000
+#: Bytes of keys and owners that ``tell`` sends to every task at most.
+BROADCAST_BYTES = 32 << 20
 _ENTRY = "array<struct<venue_id:string,priority:int,pos:int,matched_by:string,matched_value:string>>"
 
 
@@ -56,6 +59,8 @@ class VenueIndex:
         entry = F.struct("venue_id", "priority", "pos", "matched_by", "matched_value")
         self.entries = self.keys.groupBy("namespace", "key").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
         self._small: bool | None = None
+        self._owned: DataFrame | None = None
+        self._sent = False
 
     def _table(self, namespace: str, key: str, entries: str) -> DataFrame:
         own = self.entries.where(F.col("namespace") == namespace).select(F.col("key").alias(key), F.col("entries").alias(entries))
@@ -90,6 +95,50 @@ class VenueIndex:
         )
         return joined.withColumn("__hits", found).select(*[F.col(f"`{c}`") for c in candidates.columns], result.alias("match"))
 
+    def _owners(self) -> DataFrame:
+        """(namespace, key, n, one), written: how many venues own a key, and the least of them. A key of very many venues is one row of bounded size."""
+        if self._owned is None:
+            one = F.min(F.struct("venue_id", "matched_by", "matched_value")).alias("one")
+            self._owned = written(self.keys.groupBy("namespace", "key").agg(F.count("*").alias("n"), one), "venue-owners")
+            size = F.sum(F.length("key") * 4 + F.length("one.matched_value") * 4 + F.length("one.venue_id") * 4 + 64)
+            self._sent = (self._owned.agg(F.coalesce(size, F.lit(0)).alias("b")).first()["b"]) <= BROADCAST_BYTES
+        return F.broadcast(self._owned) if self._sent else self._owned
+
+    def tell(self, candidates: DataFrame, candidate: str = "candidate", truncated: str | None = None) -> DataFrame:
+        """``candidates`` plus a struct ``match`` as of ``match``, but without the list of candidates: it has keys to look them up by.
+
+        Counts and one owner a key decide every outcome, so no list of a key's owners is
+        made, and the candidates are not shuffled where the keys are few. ``owners_of`` has the lists, as rows.
+        """
+        name = F.coalesce(venue_name(F.col(candidate)), F.lit(""))
+        cut = F.coalesce(F.col(truncated), F.lit(False)) if truncated else F.lit(False)
+        probed = candidates.withColumn("__name", name).withColumn("__acronym", acronym_of_name(F.col("__name"))).withColumn("__cut", cut)
+        own = lambda namespace, key, at: self._owners().where(F.col("namespace") == namespace).select(F.col("key").alias(key), F.struct("n", "one").alias(at))
+        joined = probed.join(own("name", "__name", "__n"), "__name", "left").join(own("acronym", "__acronym", "__a"), "__acronym", "left")
+        sought = (F.col("__name") != "") & ~F.col("__cut")
+        n, a = F.when(sought, F.coalesce("__n.n", F.lit(0))).otherwise(0), F.when(sought, F.coalesce("__a.n", F.lit(0))).otherwise(0)
+        alike = (n == 1) & (a == 1) & (F.col("__n.one.venue_id") == F.col("__a.one.venue_id"))
+        single = alike | (n + a == 1)
+        one = F.when(n > 0, F.col("__n.one")).otherwise(F.col("__a.one"))
+        reason = (
+            F.when(F.col("__name") == "", "missing-candidate").when(F.col("__cut"), "truncated-source")
+            .when(n + a == 0, "no-exact-match").when(~single, "key-conflict")
+        )
+        result = F.struct(
+            F.when(single, "matched").when(n + a == 0, "unmatched").otherwise("ambiguous").alias("status"), reason.alias("reason"),
+            F.when(single, one["matched_by"]).alias("matched_by"), F.when(single, one["matched_value"]).alias("matched_value"),
+            F.when(single, F.when(one["matched_by"] == "acronym", "medium").otherwise("high")).alias("confidence"),
+            F.col("__name").alias("normalized_candidate"), F.col("__acronym").alias("acronym"), F.when(single, one["venue_id"]).alias("venue_id"),
+        )
+        return joined.select(*[F.col(f"`{c}`") for c in candidates.columns], result.alias("match"))
+
+    def owners_of(self, told: DataFrame, *row: str) -> DataFrame:
+        """(row, venue_id): the venues of each ambiguous row of ``tell``, one row each; only keys that are ambiguous are looked up."""
+        key = lambda namespace, at: F.struct(F.lit(namespace).alias("__namespace"), F.col(at).alias("__key"))
+        asked = told.where("match.status = 'ambiguous'").select(*row, F.explode(F.array(key("name", "match.normalized_candidate"), key("acronym", "match.acronym"))).alias("__asked")).select(*row, "__asked.*")
+        owned = self.keys.select(F.col("namespace").alias("__namespace"), F.col("key").alias("__key"), F.col("venue_id").alias("__venue"))
+        return asked.join(owned, ["__namespace", "__key"]).select(*row, F.col("__venue").alias("venue_id")).distinct()
+
     def conflicts(self) -> DataFrame:
         """(namespace, key, ids): keys that several venues own, within and across namespaces."""
         ids = F.collect_set("venue_id").alias("ids")

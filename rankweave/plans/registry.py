@@ -185,6 +185,21 @@ def match_detail(spark, sf_dir):
     return df.withColumn("n_candidates", F.greatest("n_candidates", F.lit(0)))
 
 
+@query(_MATCH + "SELECT candidate, truncated, hits.id AS venue_id FROM hits JOIN counts USING (candidate, truncated) WHERE c > 1")
+def ambiguous_owners(spark, sf_dir):
+    """The venues of every ambiguous candidate, looked up for those alone; outcomes are told from counts and one owner a key."""
+    index = matching.VenueIndex(_dimension(spark, sf_dir), checked=False)
+    return index.owners_of(index.tell(_candidates(spark, sf_dir), truncated="truncated"), "candidate", "truncated")
+
+
+@query(_MATCH + "SELECT candidate, truncated, normalized, status, reason, matched_by, confidence, venue_id FROM result")
+def told_outcomes(spark, sf_dir):
+    """Outcomes without lists of owners, as for keys that very many venues own."""
+    told = matching.VenueIndex(_dimension(spark, sf_dir), checked=False).tell(_candidates(spark, sf_dir), truncated="truncated")
+    m = F.col("match")
+    return told.select("candidate", "truncated", m["normalized_candidate"].alias("normalized"), *[m[c].alias(c) for c in ("status", "reason", "matched_by", "confidence", "venue_id")])
+
+
 @query(_MATCH + "SELECT status, reason, count(*) AS n FROM result GROUP BY ALL")
 def match_status_counts(spark, sf_dir):
     """J4, A13."""

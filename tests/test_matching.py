@@ -52,3 +52,29 @@ def test_probe_side_is_not_shuffled(spark, base):
     plan = VenueIndex(base).match(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "Python" not in plan
+
+
+def test_told_outcomes_are_those_of_match(spark, base):
+    texts = ["ALPHA conference on testing!", "alpha  conf", "act", "A.C.T", "foobar", "foo bar", None, " .", "Gamma", "Gamma 2026", "Beta Journal", "none"]
+    df = spark.createDataFrame([(k, c, k == 8) for k, c in enumerate(texts)], "k int, candidate string, cut boolean")
+    index = VenueIndex(base)
+    matched = {r.k: r.match.asDict() for r in index.match(df, truncated="cut").collect()}
+    told = index.tell(df, truncated="cut")
+    for r in told.collect():
+        want = matched[r.k]
+        assert {c: v for c, v in r.match.asDict().items() if c != "acronym"} == {c: v for c, v in want.items() if c != "candidates"}
+    owners = {}
+    for r in index.owners_of(told, "k").collect():
+        owners.setdefault(r.k, []).append(r.venue_id)
+    assert {k: sorted(v) for k, v in owners.items()} == {k: m["candidates"] for k, m in matched.items() if m["candidates"]}
+
+
+def test_a_key_of_very_many_venues_makes_no_list(spark):
+    many = spark.range(50_000).selectExpr("concat('v', id) as id", "'journal' as type", "if(id < 40000, 'Common Name', concat('Own ', id)) as canonical_name",
+                                          "cast(array() as array<string>) as aliases", "cast(null as array<string>) as acronyms", "cast(id as int) as pos")
+    index = VenueIndex(many, checked=False)
+    told = index.tell(spark.createDataFrame([(1, "common name"), (2, "own 45000"), (3, "x")], "k int, candidate string"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert {r.k: (r.match.status, r.match.venue_id) for r in told.collect()} == {1: ("ambiguous", None), 2: ("matched", "v45000"), 3: ("unmatched", None)}
+    assert index.owners_of(told, "k").count() == 40_000

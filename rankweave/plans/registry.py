@@ -841,6 +841,29 @@ def swapped_catalog(spark, sf_dir):
     return labels.rendered(spark, sink).select(F.col("page_id").cast("long").alias("page_id"), F.array_join(F.transform("labels", lambda x: x["text"]), "|").alias("labels"), "written_by")
 
 
+@query("""SELECT p_partkey::BIGINT AS page_id, CASE WHEN p_size % 3 = 0 THEN 'CCF-B 类推荐' ELSE 'CCF-A 类推荐' END AS labels,
+  CASE WHEN p_partkey % 2 = 0 THEN 3 WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS written_by FROM part""")
+def swapped_while_streaming(spark, sf_dir):
+    """The catalog is swapped while the stream of papers runs; the stream itself labels anew those papers whose venue keys have changed."""
+    sink, source = folder_of(spark, "labels"), folder_of(spark, "papers")
+    part, now = _t(spark, sf_dir, "part"), ["first"]
+    rank = {"first": "'A'", "second": "if(p_size % 3 = 0, 'B', 'A')"}
+    venues = lambda: _venues(part, id="concat('p:', p_partkey)", type="'journal'", canonical_name="concat(p_name, ' ', p_partkey)", pos="cast(p_partkey as int)",
+                             ccf=F.expr(f"cast(struct({rank[now[0]]}, null, null, 'CCF') as {_RANK})"))
+    papers = part.select(F.col("p_partkey").cast("long").alias("page_id"), F.lit(0).alias("node_pos"), F.expr("concat(p_name, ' ', p_partkey)").alias("venue_candidate"), F.lit(False).alias("source_truncated"))
+    papers.where("page_id % 2 = 1").write.parquet(source)
+    stream = labels.stream_labels(spark.readStream.schema(papers.schema).parquet(source), venues, sink, f"{sink}.checkpoint",
+                                  badges.DisplaySettings(hidden_kinds=["source"]), "1 second", version=lambda: now[0])
+    try:
+        stream.processAllAvailable()
+        now[0] = "second"
+        papers.where("page_id % 2 = 0").write.mode("append").parquet(source)
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return labels.rendered(spark, sink).select("page_id", F.array_join(F.transform("labels", lambda x: x["text"]), "|").alias("labels"), "written_by")
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_snapshot(spark, sf_dir):
     """T4."""

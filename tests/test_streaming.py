@@ -91,3 +91,21 @@ def test_a_guarded_stream_does_not_parse_stale_snapshots(spark, tmp_path):
         batch(spark, *rows).coalesce(1).write.mode("append").parquet(source)
         pages.stream_pages(spark.readStream.schema(schema).parquet(source), sink, str(tmp_path / "cp"), extract=heads, delay_ms=0).awaitTermination()
     assert sorted((r.page_id, r.title) for r in pages.history(spark, sink).where("node_pos is not null").collect()) == [(1, "x"), (2, "p"), (2, "q")]
+
+
+def test_a_swap_labels_only_papers_whose_keys_changed(spark, tmp_path):
+    from rankweave.operators.badges import DisplaySettings
+    from rankweave.streaming import labels
+
+    from .helpers import rank, venue, venues
+
+    sink, shown = str(tmp_path / "labels"), DisplaySettings()
+    papers = spark.createDataFrame([(1, 0, "Alpha", False), (2, 0, "Beta", False), (3, 0, "gm", None), (4, 0, None, False)], "page_id long, node_pos int, venue_candidate string, source_truncated boolean")
+    old = venues(spark, venue(0, "a", "Alpha", ccf=rank("A")), venue(1, "b", "Beta", ccf=rank("A")), venue(2, "g", "Gamma", acronyms=["GM"], ccf=rank("C")))
+    new = venues(spark, venue(5, "a", "Alpha", ccf=rank("A")), venue(1, "b", "Beta", ccf=rank("B")), venue(2, "g", "Gamma", ccf=rank("C")), venue(3, "d", "Delta"))
+    assert labels.render(papers, old, sink, shown)
+    keys = {(r.namespace, r.key) for r in labels.changed_keys(old, new).collect()}
+    assert keys == {("name", "beta"), ("name", "gamma"), ("acronym", "gm"), ("name", "delta")}  # a place alone is no change
+    assert labels.swap(old, new, sink, shown) and not labels.swap(old, new, sink, shown) and not labels.swap(new, new, sink, shown)
+    got = {r.page_id: (r.written_by, "|".join(x.text for x in r.labels)) for r in labels.rendered(spark, sink).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 2, 3: 2, 4: 1} and "B" in got[2][1]

@@ -227,7 +227,8 @@ def venues_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranking = lambda rank, edition, catalog: F.when(rank.isNotNull(), F.struct(
         rank.alias("rank"), read_string(edition).alias("edition"), url.alias("source_url"), catalog.alias("catalog")))
     keyed = rows.withColumn("__key", venue_name("__name"))
-    own = Window.partitionBy("__type", "__key").orderBy("row_no")
+    alone = F.when(F.col("__type").isNull() | F.col("__name").isNull(), F.col("row_no"))  # such rows are no duplicates, and no group
+    own = Window.partitionBy("__type", "__key", alone).orderBy("row_no")
     keyed = keyed.withColumn("__first", F.when(F.col("__type").isNotNull() & F.col("__name").isNotNull(), F.first("row_no").over(own)))
     line = lambda *x: F.concat(F.lit("第 "), F.col("row_no").cast("string"), *[F.lit(v) if isinstance(v, str) else v for v in x])
     error = F.coalesce(

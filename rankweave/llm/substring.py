@@ -110,7 +110,7 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int, anchor: int, shard
                     shards.setdefault((p["hub"], p["section"], 0), []).append((first, first + n))
                     continue
                 more = 1
-                while shard_rows ** more < subs:  # so many hashes as part that many rows
+                while more < window - anchor and max(2, shard_rows) ** more < subs:  # so many hashes as part that many rows
                     more += 1
                 if more not in nexts:
                     grams = window_hashes(word_hashes(raw), anchor) if grams is None else grams

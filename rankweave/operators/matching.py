@@ -139,28 +139,23 @@ class VenueIndex:
         owned = self.keys.select(F.col("namespace").alias("__namespace"), F.col("key").alias("__key"), F.col("venue_id").alias("__venue"))
         return asked.join(owned, ["__namespace", "__key"]).select(*row, F.col("__venue").alias("venue_id")).distinct()
 
+    def shared(self) -> DataFrame:
+        """(namespace, key, venue_id): the owners of every key, a row each; in ``cross`` those of a name key that is also an acronym, of both kinds."""
+        own = written(self.keys.select("namespace", "key", "venue_id"), "key-owners")
+        names, short = own.where("namespace = 'name'"), own.where("namespace = 'acronym'").select(F.col("key").alias("short"), "venue_id")
+        both = names.select("key").distinct().withColumn("short", acronym_of_name(F.col("key"))).join(short.select("short").distinct(), "short")
+        cross = names.join(both.select("key"), "key").select("key", "venue_id").unionByName(both.join(short, "short").select("key", "venue_id"))
+        return own.unionByName(cross.distinct().select(F.lit("cross").alias("namespace"), "key", "venue_id"))
+
     def conflicts(self) -> DataFrame:
         """(namespace, key, ids): keys that several venues own, within and across namespaces."""
-        ids = F.collect_set("venue_id").alias("ids")
-        within = self.keys.groupBy("namespace", "key").agg(ids)
-        names = self.keys.where("namespace = 'name'").withColumn("short", acronym_of_name(F.col("key")))
-        short = self.keys.where("namespace = 'acronym'").select(F.col("key").alias("short"), F.col("venue_id").alias("other"))
-        both = names.join(short, "short")
-        cross = (
-            both.select("key", F.explode(F.array("venue_id", "other")).alias("venue_id"))
-            .groupBy("key").agg(ids).select(F.lit("cross").alias("namespace"), "key", "ids")
-        )
-        out = within.unionByName(cross).where(F.size("ids") > 1)
+        out = self.shared().groupBy("namespace", "key").agg(F.collect_set("venue_id").alias("ids")).where(F.size("ids") > 1)
         ordered = F.array_sort(F.transform("ids", lambda i: F.collate(i, "UNICODE")))
         return out.select("namespace", "key", F.transform(ordered, lambda i: F.collate(i, "UTF8_BINARY")).alias("ids"))
 
 
-def signature(namespace="namespace", key="key", ids="ids") -> Column:
-    return F.concat_ws("\u0000", namespace, key, F.array_join(F.array_sort(ids), "\u0000"))
-
-
 def cross_type(conflicts: DataFrame, venues: DataFrame) -> DataFrame:
     """``conflicts`` with all_types_differ: every venue has a type of its own."""
-    each = conflicts.select("namespace", "key", "ids", F.explode("ids").alias("id")).join(venues.select("id", "type"), "id")
-    return each.groupBy("namespace", "key").agg(
-        F.first("ids").alias("ids"), (F.countDistinct("type") == F.count("*")).alias("all_types_differ"))
+    each = conflicts.select("namespace", "key", F.explode("ids").alias("id")).join(venues.select("id", "type"), "id")
+    told = each.groupBy("namespace", "key").agg((F.countDistinct("type") == F.count("*")).alias("all_types_differ"))
+    return conflicts.join(told, ["namespace", "key"])

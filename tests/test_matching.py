@@ -1,5 +1,6 @@
 import pytest
 
+from rankweave.operators import merging
 from rankweave.operators.matching import VenueIndex, cross_type
 
 from .helpers import venue, venues
@@ -78,3 +79,15 @@ def test_a_key_of_very_many_venues_makes_no_list(spark):
     assert "collect" not in plan and plan.count("BroadcastHashJoin") == 2
     assert {r.k: (r.match.status, r.match.venue_id) for r in told.collect()} == {1: ("ambiguous", None), 2: ("matched", "v45000"), 3: ("unmatched", None)}
     assert index.owners_of(told, "k").count() == 40_000
+
+
+def test_conflicts_of_one_name_stay_rows(spark):
+    """Plans of conflicts have no list of a key's owners in a row of each owner."""
+    made = lambda n: spark.range(n).selectExpr("concat('p', id) as id", "if(id % 2 = 0, 'journal', 'conference') as type", "'One name' as canonical_name", "cast(array() as array<string>) as aliases",
+                                               "if(id = 0, array('one name'), null) as acronyms", "cast(id as int) as pos")
+    new = merging.new_conflicts(made(3000), made(2999))
+    assert {(r.namespace, r.n, r.all_types_differ) for r in new.collect()} == {("name", 3000, False), ("cross", 3000, False)}
+    assert "collect_set" not in new._jdf.queryExecution().optimizedPlan().toString()
+    assert merging.new_conflicts(made(50), made(50)).isEmpty() and merging.new_conflicts(made(2), made(3)).where("all_types_differ").count() == 2
+    told = cross_type(VenueIndex(made(40)).conflicts(), made(40))
+    assert {(r.namespace, len(r.ids), r.all_types_differ) for r in told.collect()} == {("name", 40, False), ("cross", 40, False)}

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.sources.html import parse_html
-from rankweave.sources.pages import cnki_detail, cnki_results, extract_papers, papers_of, scholar_results
+from rankweave.sources.pages import cnki_detail, cnki_results, extract_papers, papers_of, scholar_results, select_elements
 
 
 def venue_of(html, url="https://lib.example.org/"):
@@ -173,3 +174,19 @@ def test_references_without_a_semicolon():
     root = parse_html(html, open_references=False)
     assert root.first("h1").text == "x &< y&amp z&copy &unknown; A &#65 &&lt;" and root.first("h1").get("title") == "a&amp&b" and root.first("script").text == "a&amp"
     assert parse_html(html).first("h1").text == "x &< y& z© &unknown; A A &&lt;"
+
+
+def test_pages_are_dealt_among_tasks(spark):
+    """Pages of one partition are parsed by many tasks, each once."""
+    made = spark.range(200).selectExpr("id as page_id", "'https://pubmed.ncbi.nlm.nih.gov/' as url", "concat('<article class=\"full-docsum\"><div class=\"docsum-content\"><a class=\"docsum-title\" href=\"/', id, '/\">T</a><span class=\"full-journal-citation\">J. 2020 May;1.</span></div></article>') as html").coalesce(1)
+    for got in (extract_papers(made), select_elements(made, "a.docsum-title")):
+        rows = got.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.page_id for r in rows) == list(range(200)) and len({r.task for r in rows}) > 4
+
+
+def test_selectors_find_inside_and_in_order():
+    root = parse_html('<div class="a b a" id="x"><p>1<b class="a">2</b></p><i id="x">3</i></div><p class="a" id="y">4</p>')
+    text = lambda found: [n.text for n in found]
+    assert text(root.select(".a")) == ["123", "2", "4"] and text(root.first("#x").select(".a, p, [id]")) == ["12", "2", "3"]
+    assert text(root.select("p, .a, #x")) == ["123", "12", "2", "3", "4"] and root.first("i, p").text == "12" and root.first("p").first("p") is None
+    assert root.first("div.a.b p b").closest("#x.b").tag == "div" and root.first("i").closest(".a").tag == "div" and root.first("b").first("i") is None

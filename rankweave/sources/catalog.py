@@ -387,18 +387,23 @@ def preview(venues: DataFrame, schools: Column, rows: int = PREVIEW_ROWS) -> Dat
         F.when(F.size(labels) == 0, "—").when(more > 0, F.concat(few, F.lit(" / 另 "), more.cast("string"), F.lit(" 项"))).otherwise(few).alias("labels"))
 
 
-def serialize_catalogs(venues: DataFrame) -> Iterator[str]:
-    """The texts of as many files as the rows need within the format's rules, one at least."""
+def serialize_files(venues: DataFrame) -> Iterator[tuple[str, int]]:
+    """Text and rows of as many files as the rows need within the format's rules, one at least; a file at a time is in memory."""
     head = ",".join(map(csv_cell, EXPORT_HEADERS))
     lines, size = [head], len(head.encode())
     for r in _lines(venues).toLocalIterator():
         more = len(r["line"].encode()) + 1
         if len(lines) > MAX_RECORDS or (len(lines) > 1 and size + more > MAX_FILE_BYTES):
-            yield "\n".join(lines)
+            yield "\n".join(lines), len(lines) - 1
             lines, size = [head], len(head.encode())
         lines.append(r["line"])
         size += more
-    yield "\n".join(lines)
+    yield "\n".join(lines), len(lines) - 1
+
+
+def serialize_catalogs(venues: DataFrame) -> Iterator[str]:
+    """The texts of ``serialize_files``."""
+    return (text for text, _ in serialize_files(venues))
 
 
 def write_catalog(venues: DataFrame, path: str, bom: bool = False) -> None:

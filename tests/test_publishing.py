@@ -73,3 +73,21 @@ def test_download_has_a_mark(spark, tmp_path):
     catalog.write_catalog(v, f"{tmp_path}/x.csv", bom=True)
     catalog.write_catalog(v, f"{tmp_path}/x.csv")
     assert not (tmp_path / "x.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+
+
+def test_more_rows_than_a_file_may_have_are_published_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "MAX_RECORDS", 4)
+    base = venues(spark, *[venue(k, f"b{k}", f"Base {k}", ccf=rank("B")) for k in range(9)])
+    with pytest.raises(ValueError, match="最多允许 4 条"):
+        distribution.publish_source(spark, "name,ccf\nNew,A", "s.csv", base, "1", "x", f"{tmp_path}/one", "2026-01-01T00:00:00Z")
+    made, n, _ = distribution.publish_source_parts(spark, "name,ccf\nNew,A\nbase 3,A", "s.csv", base, "1", "x", f"{tmp_path}/p", "2026-01-01T00:00:00Z")
+    assert [m.recordCount for m in made] == [4, 4, 2] and n == 2
+    told = distribution.verify_catalog_parts(spark, f"{tmp_path}/p", base)
+    assert (told["records"], told["activeRecords"], told["warnings"]) == (10, 10, 0)
+    read = distribution.read_published(f"{tmp_path}/p", "https://h.org/c/")
+    _, got, _ = distribution.fetch_parts(spark, "https://h.org/c/parts.json", read)
+    rows = got.orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(10)) and [r.canonical_name for r in rows] == [*(f"Base {k}" for k in range(9)), "New"] and rows[3].aliases == []
+    (tmp_path / "p/part-1/public-catalog.csv").write_text("x")
+    with pytest.raises(ValueError, match="大小不一致"):
+        distribution.verify_catalog_parts(spark, f"{tmp_path}/p", base)

@@ -88,6 +88,6 @@ def test_more_rows_than_a_file_may_have_are_published_in_parts(spark, tmp_path,
     _, got, _ = distribution.fetch_parts(spark, "https://h.org/c/parts.json", read)
     rows = got.orderBy("pos").collect()
     assert [r.pos for r in rows] == list(range(10)) and [r.canonical_name for r in rows] == [*(f"Base {k}" for k in range(9)), "New"] and rows[3].aliases == []
-    (tmp_path / "p/part-1/public-catalog.csv").write_text("x")
+    files.write_bytes(f"{tmp_path}/p/part-1/public-catalog.csv", b"x")
     with pytest.raises(ValueError, match="大小不一致"):
         distribution.verify_catalog_parts(spark, f"{tmp_path}/p", base)

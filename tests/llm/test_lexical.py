@@ -202,6 +202,40 @@ def test_sample_is_bounded(spark):
     assert few.weights.any() and np.isfinite(few.threshold)
 
 
+def test_every_labelled_document_trains(spark):
+    """The strange documents are few; a sample of 20 a label may miss them, and its threshold, means and cuts are not those of all."""
+    graded = _graded(8, 260)
+    docs = frame(spark, [(k, t, "en", "s") for k, t, _ in graded])
+    labels = spark.createDataFrame([(k, q) for k, _, q in graded], "doc_id long, quality int")
+    packer = zstandard.ZstdCompressor(level=3)
+    rows = np.array([ranking.statistics(t, packer) for _, t, _ in graded])
+    order = [r["doc_id"] for r in docs.selectExpr("doc_id", "xxhash64('pairwise', doc_id) as h").orderBy("h").collect()]
+    side = lambda q: np.array([rows[k] for k in order if graded[k][2] == q])
+    poor = len(side(0))
+    one, many = ranking.train(docs, labels, per_label=1000), ranking.train(docs, labels, per_label=20)
+    whole = ranking.fit(side(1), side(0), poor / 260)
+    assert np.allclose(one.weights, whole.weights, atol=1e-5) and abs(one.threshold - whole.threshold) < 1e-4
+    for model in (one, many):
+        assert np.allclose(model.mean, rows.mean(axis=0)) and np.allclose(model.spread, whole.spread) and np.allclose(model.cuts, np.quantile(rows, ranking.CUTS, axis=0).T)
+        assert (model.scores(rows) < 0.5).sum() == poor  # the quantile over all documents
+
+
+def test_a_rare_label_is_in_every_block(spark):
+    rows = [(k, int(k >= 3), [float(k % 7)] * len(ranking.STATISTICS)) for k in range(50)]
+    known = spark.createDataFrame(rows, "doc_id long, q int, statistics array<double>")
+    blocks = ranking._in_blocks(known, {0: 3, 1: 47}, 5).collect()
+    assert len(blocks) == 10 and all({m["q"] for m in r["members"]} == {0, 1} and len(r["members"]) == 1 + sum(m["q"] for m in r["members"]) for r in blocks)
+    assert sorted(m["number"] for r in blocks for m in r["members"] if m["q"]) == list(range(47))
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(1)
+    values = np.stack([rng.normal(0, 1e3, 400), rng.integers(-2, 3, 400) * 0.1, np.zeros(400) * -1.0], axis=1)
+    df = spark.createDataFrame([(v.tolist(),) for v in values], "x array<double>").repartition(3)
+    ranks = [0, 17, 18, 200, 399]
+    assert (ranking.order_statistics(df, "x", 3, ranks) == np.sort(values, axis=0)[ranks].T).all()
+
+
 def test_statistics_of_a_text():
     got = dict(zip(ranking.STATISTICS, ranking.statistics("Ab ab! ab!\n\nx1 é", zstandard.ZstdCompressor()), strict=True))
     assert got["distinct"] == 4 / 5 and got["commonest"] == 2 / 5 and got["stutter"] == 1 / 5 and got["marked_words"] == 2 / 5 and got["bare_words"] == 0

@@ -15,6 +15,7 @@ length in earlier partitions.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ EOS = 1
 #: ``CACHE_CHARS`` are encoded each time, so the memory is bounded in bytes too.
 CACHE_CHUNKS = 500_000
 CACHE_CHARS = 40
+#: Texts are looked up together until they have so many characters.
+GROUP_CHARS = 1 << 20
 #: Chunks that are encoded in one call.
 ASK_CHUNKS = 50_000
 _SHIFT = 44
@@ -71,7 +74,7 @@ def _parts_at_space(tok) -> bool:
 
 
 def _le(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _learn(chunks: set[str], tok, remember: int) -> dict[str, bytes]:
@@ -130,19 +133,31 @@ def encode(texts: list[str], path: str, remember: int | None = None) -> list[byt
     """
     tok, apart = _tokenizer(path)
     out: list[bytes] = []
+    group: list[list[str]] = []
+    size = 0
     for text in texts:
-        if not apart or any(c in text for c in _ODD):
+        odd = not apart or any(c in text for c in _ODD)
+        if not odd:
+            group.append(_chunks(text))
+            size += len(text)
+        if odd or size >= GROUP_CHARS:
+            out += _joined(group, tok, remember or CACHE_CHUNKS)
+            group, size = [], 0
+        if odd:
             out.append(_le(tok.encode(text, add_special_tokens=False).ids))
-            continue
-        chunks = _chunks(text)
+    return out + _joined(group, tok, remember or CACHE_CHUNKS)
+
+
+def _joined(group: list[list[str]], tok, remember: int) -> list[bytes]:
+    """Ids of each text of a group, whose chunks are looked up, and learned, once for all."""
+    new = {c for chunks in group for c in chunks if c not in _cache}
+    learned = _learn(new, tok, remember) if new else {}
+    out = []
+    for chunks in group:
         try:
             out.append(b"".join(map(_cache.__getitem__, chunks)))
-        except KeyError:
-            # the text's own ids: the memory may be too small for all of them
-            own = set(chunks)
-            ids = {c: i for c in own if (i := _cache.get(c)) is not None}
-            ids |= _learn(own.difference(ids), tok, remember or CACHE_CHUNKS)
-            out.append(b"".join(map(ids.__getitem__, chunks)))
+        except KeyError:  # the memory holds no long chunks; and what it held before the group may be the older part now
+            out.append(b"".join(learned[c] if c in learned else _cache[c] if c in _cache else _older[c] for c in chunks))
     return out
 
 

@@ -139,6 +139,24 @@ def test_packing_of_more_chunks_than_are_remembered(monkeypatch):
     assert len(packing._cache) <= 50 and len(packing._older) <= 50
 
 
+def test_packing_asks_the_tokenizer_once_for_a_group_of_texts(monkeypatch):
+    path = packing.tokenizer_path()
+    tok, apart = packing._tokenizer(path)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, chunks, **more):
+            asked.append(len(chunks))
+            return tok.encode_batch_fast(chunks, **more)
+
+    monkeypatch.setitem(packing._tokenizers, path, (Counted(), apart))
+    packing._cache.clear()
+    packing._older.clear()
+    texts = [f"group{k} of{k} texts, {'y' * 50}{k} texts" for k in range(40)]
+    assert packing.encode(texts, path) == [packing._le(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(asked) == 1
+
+
 def test_packing_of_one_very_long_chunk_is_not_remembered(monkeypatch):
     path = packing.tokenizer_path()
     tok, _ = packing._tokenizer(path)

@@ -59,7 +59,7 @@ def badges(matched: Column, source: Column, truncated: Column, brand: str = "Ran
     def of(kinds: tuple[str, ...]) -> Column:
         ranked = lambda k: F.filter(labels, lambda x: x["kind"] == F.lit(k))
         made = lambda x: _badge(x["kind"], label_text(x["kind"], x["text"]), x["edition"], null)
-        return F.flatten(F.array(*[F.transform(ranked(k), made) for k in kinds]))
+        return F.transform(F.flatten(F.array(*[ranked(k) for k in kinds])), made)
 
     one = lambda when, *b: F.when(when, F.array(_badge(*b))).otherwise(none)
     detailed = F.exists(labels, lambda x: x["kind"].isin("cas-upgraded", "cas-discipline"))

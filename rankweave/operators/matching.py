@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import acronym_of_name, venue_acronym, venue_name
-from ..scratch import written
+from ..scratch import drop, tasks, written
 
 BROADCAST_KEYS = 200_000
 #: Bytes of keys and owners that ``tell`` sends to every task at most.
@@ -32,19 +32,20 @@ def check_ids(venues: DataFrame) -> None:
 
 def venue_keys(venues: DataFrame) -> DataFrame:
     """(namespace, key, venue_id, priority, pos, matched_by, matched_value), the best of each venue and key."""
-    def source(names: Column, kind: str, priority: int, namespace: str, key) -> DataFrame:
+    def source(names: Column, kind: str, priority: int, namespace: str) -> DataFrame:
         rows = venues.select(F.col("id").alias("venue_id"), "pos", F.posexplode(names).alias("nth", "matched_value"))
-        return rows.select(
-            F.lit(namespace).alias("namespace"), key(F.col("matched_value")).alias("key"), "venue_id", F.lit(priority).alias("priority"),
-            "pos", F.lit(kind).alias("matched_by"), "matched_value", "nth")
+        return rows.select(F.lit(namespace).alias("namespace"), "venue_id", F.lit(priority).alias("priority"), "pos", F.lit(kind).alias("matched_by"), "matched_value", "nth")
 
     every = (
-        source(F.array("canonical_name"), "canonicalName", 0, "name", venue_name)
-        .unionByName(source(F.col("aliases"), "alias", 1, "name", venue_name))
-        .unionByName(source(F.coalesce("acronyms", F.array().cast("array<string>")), "acronym", 2, "acronym", venue_acronym))
+        source(F.array("canonical_name"), "canonicalName", 0, "name")
+        .unionByName(source(F.col("aliases"), "alias", 1, "name"))
+        .unionByName(source(F.coalesce("acronyms", F.array().cast("array<string>")), "acronym", 2, "acronym"))
     )
+    # a small file is one task, and keys cost far more than its bytes: names are dealt first; exploded, so that no filter on keys makes them before that
+    key = F.when(F.col("namespace") == "name", venue_name(F.col("matched_value"))).otherwise(venue_acronym(F.col("matched_value")))
+    dealt = every.repartition(tasks(venues.sparkSession), "venue_id", "matched_value").select("*", F.explode(F.array(key)).alias("key"))
     best = F.min(F.struct("priority", "pos", "nth", "matched_by", "matched_value"))
-    return every.where("key <> ''").groupBy("namespace", "key", "venue_id").agg(best.alias("b")).select(
+    return dealt.where("key <> ''").groupBy("namespace", "key", "venue_id").agg(best.alias("b")).select(
         "namespace", "key", "venue_id", "b.priority", "b.pos", "b.matched_by", "b.matched_value")
 
 
@@ -132,6 +133,12 @@ class VenueIndex:
         )
         return joined.select(*[F.col(f"`{c}`") for c in candidates.columns], result.alias("match"))
 
+    def drop(self) -> None:
+        """Delete what ``tell`` has written, once nothing still to run reads it."""
+        if self._owned is not None:
+            drop(self._owned)
+            self._owned = None
+
     def owners_of(self, told: DataFrame, *row: str) -> DataFrame:
         """(row, venue_id): the venues of each ambiguous row of ``tell``, one row each; only keys that are ambiguous are looked up."""
         key = lambda namespace, at: F.struct(F.lit(namespace).alias("__namespace"), F.col(at).alias("__key"))

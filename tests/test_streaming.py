@@ -93,6 +93,31 @@ def test_a_guarded_stream_does_not_parse_stale_snapshots(spark, tmp_path):
     assert sorted((r.page_id, r.title) for r in pages.history(spark, sink).where("node_pos is not null").collect()) == [(1, "x"), (2, "p"), (2, "q")]
 
 
+def test_papers_and_names_are_dealt_among_tasks(spark, tmp_path):
+    """Papers and venues of one partition are labelled by many tasks; what was written for that is deleted."""
+    from pathlib import Path
+
+    from rankweave import scratch
+    from rankweave.operators.badges import DisplaySettings
+    from rankweave.operators.matching import VenueIndex
+    from rankweave.streaming import labels
+
+    from .helpers import rank, venue, venues
+
+    held = lambda: set(Path(scratch.folder(spark, "x").removeprefix("file://")).parent.glob("venue-owners-*"))
+    base = venues(spark, *[venue(k, f"v{k}", f"Name {k}", ccf=rank("A")) for k in range(200)]).coalesce(1)
+    papers = spark.range(200).selectExpr("id as page_id", "0 as node_pos", "concat('Name ', id) as venue_candidate", "false as source_truncated").coalesce(1)
+    index, before = VenueIndex(base), held()
+    rows = labels.labelled(papers, base, DisplaySettings(), index=index).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.page_id for r in rows) == list(range(200)) and len({r.task for r in rows}) > 4
+    index.drop()
+    assert labels.render(papers, base, str(tmp_path / "labels"), DisplaySettings()) and held() == before
+    plan = index.keys._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    above, below = plan.split("REPARTITION_BY_NUM", 1)
+    assert "lower(" in above and "lower(" not in below  # keys are made after names are dealt
+
+
 def test_a_swap_labels_only_papers_whose_keys_changed(spark, tmp_path):
     from rankweave.operators.badges import DisplaySettings
     from rankweave.streaming import labels

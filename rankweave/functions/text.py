@@ -138,12 +138,15 @@ def edition_text(c: Column | str) -> Column:
 JS_SPACE = "\t\n\x0b\x0c\r                  　﻿"
 
 
+_SPACES = re.compile(f"[{JS_SPACE}]+")
+
+
 def py_trim(value: str) -> str:
     return value.strip(JS_SPACE)
 
 
 def py_squeeze(value: str | None) -> str:
-    return re.sub(f"[{JS_SPACE}]+", " ", value or "").strip(" ")
+    return _SPACES.sub(" ", value).strip(" ") if value else ""
 
 
 def header_key(value: str) -> str:

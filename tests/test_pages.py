@@ -1,6 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.plans import registry
+from rankweave.sources import pages
 from rankweave.sources.html import parse_html
 from rankweave.sources.pages import cnki_detail, cnki_results, extract_papers, papers_of, scholar_results, select_elements
 
@@ -190,3 +195,61 @@ def test_selectors_find_inside_and_in_order():
     assert text(root.select(".a")) == ["123", "2", "4"] and text(root.first("#x").select(".a, p, [id]")) == ["12", "2", "3"]
     assert text(root.select("p, .a, #x")) == ["123", "12", "2", "3", "4"] and root.first("i, p").text == "12" and root.first("p").first("p") is None
     assert root.first("div.a.b p b").closest("#x.b").tag == "div" and root.first("i").closest(".a").tag == "div" and root.first("b").first("i") is None
+
+
+class Visited(list):
+    """Counts the elements that are looked at."""
+
+    visits = 0
+
+    def __getitem__(self, k):
+        Visited.visits += 1
+        return super().__getitem__(k)
+
+    def __iter__(self):
+        for node in super().__iter__():
+            Visited.visits += 1
+            yield node
+
+
+PRO_CARD = '<div class="card"><div class="card-body"><div class="card-main-content"><h5 class="card-title"><a href="x">T{}</a></h5><p class="card-meta">A - V, 2021 - P</p></div></div></div>'
+LONG = {  # a page around its rows, a row, the address
+    "scholar_pro_cards": ('<div class="search-results">{}</div>', PRO_CARD, "https://www.googlescholar.pro/s"),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_long_page_costs_in_proportion_to_its_rows(monkeypatch, name):
+    page, row, url = LONG[name]
+    visits = []
+
+    def watched(html):
+        root = parse_html(html)
+        for mark, nodes in root.index.items():
+            root.index[mark] = Visited(nodes)
+        return root
+
+    monkeypatch.setattr(pages, "parse_html", watched)
+    for n in (50, 400):
+        Visited.visits = 0
+        assert len(papers_of(page.format("".join(row.format(k) for k in range(n))), url)) == n
+        visits.append(Visited.visits)
+    assert visits[1] < 16 * visits[0]
+
+
+@pytest.mark.parametrize("name", ["scholar_pro_cards"])
+def test_pages_are_dealt_before_anything_looks_into_them(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Filter" not in plan and "RLIKE" not in plan
+
+
+def test_plain_tags_are_read_as_the_library_reads_all(monkeypatch):
+    def tree(node):
+        return node.tag, node.attrs, [c if isinstance(c, str) else tree(c) for c in node.children]
+
+    pieces = ["<A HREF='u'>", '<a b="1" C="&lt;&amp" b="2" d>', "<br/>", '<i k="x"/>', "</a>", "</A >", "t &amp; &", "<script>a<b</script>", "<!-- <i> -->", '<a b="c"d="e">', "<p>", "<li>", "<div>", "</div>", '<b c="', "<"]
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 25))) for _ in range(400)]
+    quick = [tree(parse_html(t, o)) for t in texts for o in (True, False)]
+    monkeypatch.setattr("rankweave.sources.html._PLAIN", re.compile("(?!)"))
+    assert quick == [tree(parse_html(t, o)) for t in texts for o in (True, False)]

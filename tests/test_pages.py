@@ -216,6 +216,7 @@ PRO_CARD = '<div class="card"><div class="card-body"><div class="card-main-conte
 LONG = {  # a page around its rows, a row, the address
     "scholar_pro_cards": ('<div class="search-results">{}</div>', PRO_CARD, "https://www.googlescholar.pro/s"),
     "jmlr_volumes": ('<div id="content"><h1>JMLR Volume 3</h1>{}</div>', '<dl><dt>T{}</dt><dd><a href="/papers/v3/a.html">abs</a></dd></dl>', "https://jmlr.org/papers/v3/"),
+    "cvf_lists": ('<dl>{}</dl>', '<dt class="ptitle"><a href="/content/ICCV2023/html/A_paper.html">T{}</a></dt>', "https://openaccess.thecvf.com/ICCV2023"),
 }
 
 
@@ -238,7 +239,7 @@ def test_a_long_page_costs_in_proportion_to_its_rows(monkeypatch, name):
     assert visits[1] < 16 * visits[0]
 
 
-@pytest.mark.parametrize("name", ["scholar_pro_cards", "jmlr_volumes"])
+@pytest.mark.parametrize("name", ["scholar_pro_cards", "jmlr_volumes", "cvf_lists"])
 def test_pages_are_dealt_before_anything_looks_into_them(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "Filter" not in plan and "RLIKE" not in plan

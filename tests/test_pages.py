@@ -218,6 +218,7 @@ LONG = {  # a page around its rows, a row, the address
     "jmlr_volumes": ('<div id="content"><h1>JMLR Volume 3</h1>{}</div>', '<dl><dt>T{}</dt><dd><a href="/papers/v3/a.html">abs</a></dd></dl>', "https://jmlr.org/papers/v3/"),
     "cvf_lists": ('<dl>{}</dl>', '<dt class="ptitle"><a href="/content/ICCV2023/html/A_paper.html">T{}</a></dt>', "https://openaccess.thecvf.com/ICCV2023"),
     "usenix_sessions": ("{}", '<div class="node-paper"><h2><a href="/conference/fast23/presentation/p-1">T{}</a></h2><span class="usenix-schedule-media pdf"></span></div>', "https://www.usenix.org/conference/fast23/technical-sessions"),
+    "cnki_rows": ('<table class="result-table-list"><tbody>{}</tbody></table>', '<tr><td class="name"><a href="/a">T{}</a></td><td class="source">V</td></tr>', "https://kns.example.org/"),
 }
 
 
@@ -240,7 +241,7 @@ def test_a_long_page_costs_in_proportion_to_its_rows(monkeypatch, name):
     assert visits[1] < 16 * visits[0]
 
 
-@pytest.mark.parametrize("name", ["scholar_pro_cards", "jmlr_volumes", "cvf_lists", "usenix_sessions", "citation_details", "cnki_details", "neurips_lists"])
+@pytest.mark.parametrize("name", ["scholar_pro_cards", "jmlr_volumes", "cvf_lists", "usenix_sessions", "citation_details", "cnki_details", "neurips_lists", "cnki_rows"])
 def test_pages_are_dealt_before_anything_looks_into_them(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "Filter" not in plan and "RLIKE" not in plan

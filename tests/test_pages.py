@@ -241,7 +241,7 @@ def test_a_long_page_costs_in_proportion_to_its_rows(monkeypatch, name):
     assert visits[1] < 16 * visits[0]
 
 
-@pytest.mark.parametrize("name", ["scholar_pro_cards", "jmlr_volumes", "cvf_lists", "usenix_sessions", "citation_details", "cnki_details", "neurips_lists", "cnki_rows"])
+@pytest.mark.parametrize("name", ["scholar_pro_cards", "jmlr_volumes", "cvf_lists", "usenix_sessions", "citation_details", "cnki_details", "neurips_lists", "cnki_rows", "cvf_details"])
 def test_pages_are_dealt_before_anything_looks_into_them(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "Filter" not in plan and "RLIKE" not in plan
